@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trailframe.llm import bpe, line_dedup, near_dedup, secrets, token_files
+from trailframe.llm import bpe, decontamination, line_dedup, near_dedup, secrets, token_files
 
 QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
