@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from trailframe.llm import bpe, decontamination, line_dedup, near_dedup, secrets, token_files
+from trailframe.llm import bpe, chat_format, decontamination, exact_topk, line_dedup, near_dedup, secrets, token_files
 
 QUERIES = {
+    "op1_topk": exact_topk.op1_topk,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -12,4 +14,4 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
-SQL = {"op7_line_dedup": line_dedup.SQL}
+SQL = {"op1_topk": exact_topk.SQL, "op2_chat_format": chat_format.SQL, "op7_line_dedup": line_dedup.SQL}
