@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from trailframe.llm import bpe, chat_format, decontamination, exact_topk, line_dedup, near_dedup, secrets, token_files
+from trailframe.llm import bpe, chat_format, decontamination, exact_topk, language_id, line_dedup, near_dedup, quality, secrets, token_files
 
 QUERIES = {
     "op1_topk": exact_topk.op1_topk,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_quality": quality.op3_quality,
+    "op4_language_id": language_id.op4_language_id,
     "op5_bpe": bpe.op5_bpe,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
