@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def cut(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,8 +70,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
     """Cut batches so that each holds about `size` bytes of text, or one longer row."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
-        length = np.asarray(pc.fill_null(pc.binary_length(batch.column(i).cast(pa.large_string())), 0), np.int64)
-        ends = np.cumsum(length)
+        yield from binary_slices(iter([batch]), i, size)
+
+
+def binary_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about `size` bytes of a binary column, or one longer row."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -80,10 +85,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             start = stop
 
 
-def strings(values: list[str] | np.ndarray) -> pa.Array:
-    return pa.array(values, pa.string())
-
-
 def pack(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A large_string or large_binary array over one byte buffer."""
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

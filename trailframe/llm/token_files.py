@@ -5,15 +5,17 @@ Spark reaches can hold it; each row carries one block's bytes. Ids are replaced
 by their frequency rank over all documents, so that frequent ids take one byte.
 A block's bytes are
 
-    magic 'TKB1' | n_docs u32 | n_ids u64 | n_docs lengths u32
+    magic 'TKB1' | n_docs u32 | n_docs id counts u32
     | control bytes, four 2-bit byte counts each | rank bytes, little-endian
 
+where each document begins a new control byte
 and are decoded by table lookup on the control bytes. `base` is the number of
 ids of the same part before the block; `part` numbers the sorted ranges.
 
 Steps: documents are encoded once into the shared folder; ids are counted with
-partial sums (one row per vocabulary id at most reaches the driver); documents
-are range-sorted by id and packed block by block; the totals of the parts give
+partial sums (one row per vocabulary id at most reaches the driver); each
+document's ids are coded, the coded documents are range-sorted by id and joined
+to blocks; the totals of the parts give
 the global start of each block when the files are read.
 
 Defined cases: null text counts as empty and holds the end id alone; rows that
@@ -32,47 +34,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import cut, pack, read, shared_dir, slices, utf8
-from trailframe.llm.bpe import encoder, model_bytes
+from trailframe.llm._text import binary_slices, cut, pack, read, shared_dir, slices, utf8
+from trailframe.llm.bpe import WordBpe, encoder, model_bytes
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
-MAGIC = np.frombuffer(b"TKB1", np.uint8)
+MAGIC = b"TKB1"
 #: Byte counts of the four ids under each control byte.
 _SIZES = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 
 
-def pack_block(ranks: np.ndarray, lengths: np.ndarray) -> bytes:
-    """One block of documents with the given id counts."""
+def code_ranks(ranks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes, then rank bytes of each document, and their offsets."""
+    n = np.diff(offsets)
+    groups = -(-n // 4)
     size = 1 + (ranks >= 1 << 8).astype(np.int64) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    code[: len(ranks)] = size - 1
+    group_off = np.concatenate([[0], np.cumsum(groups)])
+    slot = np.arange(len(ranks)) + np.repeat(4 * group_off[:-1] - offsets[:-1], n)
+    code = np.zeros(4 * int(group_off[-1]), np.uint8)
+    code[slot] = size - 1
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4) < size[:, None]]
-    head = [MAGIC, np.array([len(lengths)], "<u4").view(np.uint8), np.array([len(ranks)], "<u8").view(np.uint8), lengths.astype("<u4").view(np.uint8)]
-    return np.concatenate([*head, control, data]).tobytes()
+    data_off = np.concatenate([[0], np.cumsum(size)])[offsets]
+    out_off = group_off + data_off
+    out = np.empty(int(out_off[-1]), np.uint8)
+    out[np.arange(len(control)) + np.repeat(data_off[:-1], groups)] = control
+    out[np.arange(len(data)) + np.repeat(group_off[1:], np.diff(data_off))] = data
+    return out, out_off
+
+
+def pack_block(docs: list[bytes], counts: np.ndarray) -> bytes:
+    """One block of coded documents."""
+    cut_at = (-(-counts // 4)).tolist()
+    head = [MAGIC, np.array([len(docs)], "<u4").tobytes(), counts.astype("<u4").tobytes()]
+    return b"".join([*head, *(d[:c] for d, c in zip(docs, cut_at)), *(d[c:] for d, c in zip(docs, cut_at))])
 
 
 def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ranks and the id counts of the block's documents."""
     raw = np.frombuffer(block, np.uint8)
-    if not np.array_equal(raw[:4], MAGIC):
+    if block[:4] != MAGIC:
         raise ValueError("not a token block")
-    docs, ids = int(raw[4:8].view("<u4")[0]), int(raw[8:16].view("<u8")[0])
-    lengths = raw[16 : 16 + 4 * docs].view("<u4").astype(np.int64)
-    at = 16 + 4 * docs
-    groups = -(-ids // 4)
-    size = _SIZES[raw[at : at + groups]].reshape(-1)[:ids]
-    out = np.zeros((ids, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = raw[at + groups : at + groups + int(size.sum())]
-    return out.reshape(-1).view("<u4").astype(np.int64), lengths
+    docs = int(raw[4:8].view("<u4")[0])
+    counts = raw[8 : 8 + 4 * docs].view("<u4").astype(np.int64)
+    groups = -(-counts // 4)
+    control = raw[8 + 4 * docs : 8 + 4 * docs + int(groups.sum())]
+    first = 4 * (np.cumsum(groups) - groups)
+    slot = np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+    size = _SIZES[control].reshape(-1)[slot]
+    out = np.zeros((len(slot), 4), np.uint8)
+    data = raw[8 + 4 * docs + len(control) :]
+    out[np.arange(4) < size[:, None]] = data
+    return out.reshape(-1).view("<u4").astype(np.int64), counts
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, model: str | None, end_id: int) -> DataFrame:
-    """Rows (k, ids): ids as little-endian uint32, with the end id."""
-    spark = df.sparkSession
-    raw = spark.sparkContext.broadcast(model_bytes(model))
+    """Rows (k, ids): ids and the end id, little-endian, in `_width` bytes each."""
+    content = model_bytes(model)
+    raw = df.sparkSession.sparkContext.broadcast(content)
+    width = _width(content, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(raw.value, "library")
@@ -80,61 +101,72 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, model: str | None, end_i
             ids, offsets = own.encode(*utf8(part.column(1)))
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
-            yield pa.RecordBatch.from_arrays([part.column(0), pack(ids.astype("<u4").view(np.uint8), offsets * 4, pa.large_binary()).cast(pa.binary())], names=["k", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pack(ids.astype(f"<u{width}").view(np.uint8), offsets * width, pa.large_binary()).cast(pa.binary())], names=["k", "ids"])
 
     source = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"))
     return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, ids binary")
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _width(content: bytes, end_id: int) -> int:
+    return 2 if max(WordBpe(content).size - 1, end_id) < 1 << 16 else 4
+
+
+def _ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-    return data.view("<u4"), (off - off[0]) // 4
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        n = np.bincount(_ids(batch.column(0))[0])
-        if len(n) > len(total):
-            n, total = total, n.astype(np.int64)
-        total[: len(n)] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+    return data.view(f"<u{width}"), (off - off[0]) // width
 
 
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, end_id: int = END_ID) -> None:
-    """Write the file set of all documents below `path`: blocks/, ranks/ and parts/."""
+    """Write the file set of all documents below `path`: blocks/ and ranks/."""
     spark = df.sparkSession
+    width = _width(model_bytes(model), end_id)
     docs = cut(spark, _encoded(df, id_col, text_col, model, end_id), "ids")
-    ranks = docs.select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16 if width == 2 else 0, np.int64)
+        for batch in batches:
+            n = np.bincount(_ids(batch.column(0), width)[0], minlength=len(total))
+            n[: len(total)] += total
+            total = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+
+    ranks = docs.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     rows = ranks.orderBy(F.desc("n"), "id").collect()  # one row for each id of the vocabulary at most
     order = np.array([r["id"] for r in rows], np.int64)
     spark.createDataFrame([(i, r["id"], r["n"]) for i, r in enumerate(rows)], "rank bigint, id bigint, n bigint").write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.int64)
     rank_of[order] = np.arange(len(order))
     shared = spark.sparkContext.broadcast(rank_of)
-    kind = docs.schema["k"].dataType
+    kind = docs.schema["k"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in binary_slices(batches, 1):
+            ids, offsets = _ids(part.column(1), width)
+            data, at = code_ranks(shared.value[ids], offsets)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pack(data, at, pa.large_binary()).cast(pa.binary())], names=["k", "n", "coded"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = seq = 0
         for batch in batches:
-            ids, offsets = _ids(batch.column(1))
+            counts = np.asarray(batch.column(1))
+            ends = np.cumsum(counts)
             start = 0
             while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK_IDS, "right")) - 1)
-                own = shared.value[ids[offsets[start] : offsets[stop]]]
-                block = pack_block(own, np.diff(offsets[start : stop + 1]))
+                done = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + BLOCK_IDS, "right")))
+                block = pack_block(batch.column(2).slice(start, stop - start).to_pylist(), counts[start:stop])
                 keys = pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), batch.column(0).slice(start, stop - start))
-                part = batch.column(2)[start].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([base], pa.int64()), pa.array([len(own)], pa.int64()), keys, pa.array([block], pa.binary())], names=["part", "seq", "base", "n_ids", "doc_ids", "block"])
-                base, seq, start = base + len(own), seq + 1, stop
+                n = int(ends[stop - 1]) - done
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(start, 1), pa.array([seq], pa.int64()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), keys, pa.array([block], pa.binary())], names=["part", "seq", "base", "n_ids", "doc_ids", "block"])
+                base, seq, start = base + n, seq + 1, stop
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("ids").alias("tie")
-    dealt = docs.select("k", "ids", tie).repartitionByRange(parts, "k", "tie").sortWithinPartitions("k", "tie", "ids").select("k", "ids", F.spark_partition_id().alias("p"))
-    dealt.mapInArrow(run, f"part int, seq bigint, base bigint, n_ids bigint, doc_ids array<{kind.simpleString()}>, block binary").write.parquet(f"{path}/blocks")
+    coded = docs.mapInArrow(code, f"k {kind}, n bigint, coded binary").withColumn("tie", F.xxhash64("coded"))
+    dealt = coded.repartitionByRange(parts, "k", "tie").sortWithinPartitions("k", "tie", "coded").select("k", "n", "coded", F.spark_partition_id().alias("p"))
+    dealt.mapInArrow(join, f"part int, seq bigint, base bigint, n_ids bigint, doc_ids array<{kind}>, block binary").write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +186,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
                 start = first[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py() + offsets[:-1]
                 ids = order[ranks].astype("<u4").view(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(2)[i].values, pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pack(ids, offsets * 4, pa.large_binary()).cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1).flatten(), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()), pack(ids, offsets * 4, pa.large_binary()).cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return blocks.select("part", "base", "doc_ids", "block").mapInArrow(run, f"doc_id {kind.simpleString()}, start bigint, n_tokens bigint, ids binary")
 
