@@ -48,9 +48,10 @@ def _long(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(F.btrim(line, F.lit(_STRIP))) >= min_chars, _hash(key))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (id, text kept, n_lines, n_dropped), one per input row."""
-    docs = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"))
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, text kept, n_lines, n_dropped, rest), one per input row; rest is a struct of the carried columns, if any."""
+    rest = [F.struct(*(df[c] for c in carry)).alias("rest")] if carry else []
+    docs = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"), *rest)
     keys = docs.select("k", F.explode(F.array_distinct(F.filter(_hashes(F.col("t"), min_chars), lambda h: h.isNotNull()))).alias("h"))
     common = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
     drop = keys.join(common, "h").where(~F.col("k").eqNullSafe(F.col("last"))).groupBy(F.col("k").alias("d")).agg(F.collect_set("h").alias("drop"))
@@ -58,8 +59,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines = _lines(F.col("t"))
     marked = F.arrays_zip(lines.alias("line"), _hashes(F.col("t"), min_chars).alias("h"))
     kept = F.transform(F.filter(marked, lambda x: x["h"].isNull() | ~F.array_contains(F.col("drop"), x["h"])), lambda x: x["line"])
-    result = joined.select("k", F.when(F.col("drop").isNull(), lines).otherwise(kept).alias("kept"), F.size(lines).cast("long").alias("n_lines"))
-    return result.select(F.col("k").alias(id_col), F.array_join("kept", "\n").alias(text_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+    more = ["rest"] if carry else []
+    result = joined.select("k", *more, F.when(F.col("drop").isNull(), lines).otherwise(kept).alias("kept"), F.size(lines).cast("long").alias("n_lines"))
+    return result.select(F.col("k").alias(id_col), F.array_join("kept", "\n").alias(text_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *more)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

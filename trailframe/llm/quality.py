@@ -214,15 +214,32 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("k", "x").mapInArrow(run, f"k {stats.schema['k'].dataType.simpleString()}, score double")
 
 
+def keep_scored(df: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores the threshold or more, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            good = shared.value.score(statistics(*utf8(part.column(part.schema.get_field_index(text_col))))) >= threshold
+            yield part.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def learn_quality(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> Model:
+    """Fit on the statistics (k, x) of documents whose labels aren't held out."""
+    known = labels.select(labels[label_id].alias("j"), labels[label_col].cast("double").alias("y")).where(~held_out("j") & F.col("y").isNotNull())
+    return fit(stats.join(known, F.col("k") == F.col("j")).select("x", "y"))
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Rows (id, score), one per input row; learns from labels whose id isn't held out."""
     stats = cut(df.sparkSession, document_statistics(df, id_col, text_col), "statistics")
-    known = labels.select(labels[label_id].alias("j"), labels[label_col].cast("double").alias("y")).where(~held_out("j") & F.col("y").isNotNull())
-    model = fit(stats.join(known, F.col("k") == F.col("j")).select("x", "y"))
+    model = learn_quality(stats, labels, label_id, label_col)
     return score(stats, model).withColumnRenamed("k", id_col)
 
 
