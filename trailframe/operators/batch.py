@@ -9,14 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.storage import cut
+
 
 def numbered(df: DataFrame, order: list[str], row: str = "row_no") -> DataFrame:
     """Rows numbered from 0 in the given order: per range partition, offset by the partitions before it.
 
-    Only the partitions' counts reach the driver, so no task orders all rows.
+    The dealt rows are written once, as a second run may draw other range bounds;
+    only the partitions' counts reach the driver, so no task orders all rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    dealt = cut(df.sparkSession, df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "numbered")
     total, first = 0, {}
     for r in sorted(dealt.groupBy("_p").count().collect()):
         first[r["_p"]], total = total, total + r["count"]
