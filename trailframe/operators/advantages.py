@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.operators.batch import numbered, running_total
 from trailframe.registry import Registry
 
 EPS = 1e-6
@@ -122,17 +123,15 @@ def top_groups(df: DataFrame, group: str, r: str, share: float) -> DataFrame:
     """Rows of the ceil(share * groups) groups with the highest reward variance, one at least."""
     var = df.groupBy(group).agg(F.var_pop(r).alias("_v"))
     n = var.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(share))).alias("_k"))
-    ranked = var.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_v"), group)))
-    return df.join(ranked.join(n, F.col("_r") <= F.col("_k")).select(group), group, "left_semi")
+    ranked = numbered(var, [F.desc("_v"), group], "_r")
+    return df.join(ranked.join(n, F.col("_r") < F.col("_k")).select(group), group, "left_semi")
 
 
 def top_p_groups(df: DataFrame, group: str, r: str, p: float) -> DataFrame:
     """Groups by falling variance until p of the total variance is reached; all if there is none. Adds `scale`."""
     var = df.groupBy(group).agg(F.var_pop(r).alias("_v"))
-    order = Window.orderBy(F.desc("_v"), group)
     total = var.agg(F.sum("_v").alias("_t"))
-    before = F.coalesce(F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    taken = var.withColumn("_b", before).join(total, (F.col("_t") <= 0) | (F.col("_b") < F.col("_t") * p))
+    taken = running_total(var, [F.desc("_v"), group], F.col("_v"), "_b").join(total, (F.col("_t") <= 0) | (F.col("_b") < F.col("_t") * p))
     kept, groups = taken.agg(F.count(F.lit(1)).alias("_k")), var.agg(F.count(F.lit(1)).alias("_g"))
     factor = kept.join(groups, F.lit(True)).select(F.sqrt(F.col("_k") / F.col("_g")).alias("scale"))
     return df.join(taken.select(group), group, "left_semi").join(factor, F.lit(True))

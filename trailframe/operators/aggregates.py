@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailframe.operators.batch import running_total
+
 
 EPS = 1e-9
 
@@ -183,23 +185,17 @@ def best_step(df: DataFrame, step: str, score: str) -> DataFrame:
     return df.agg(F.min_by(F.struct(step, score), F.struct((-F.col(score)).alias("a"), F.col(step).alias("b"))).alias("b")).select("b.*")
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> Column:
-    """Average rank of ties, from counts of values; for use on value counts, not on all rows."""
-    w = Window.partitionBy(*(by or [])).orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), value)) - 1) / 2.0
-
-
 def spearman(df: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
     """Rank correlation; 0 for fewer rows than `least` or a constant side.
 
-    Ranks come from counts per distinct value, so the ordered window sees values, not rows.
+    Average ranks come from running counts over the distinct values.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     out = rows
     for c in (x, y):
         n = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        out = out.join(n.select(c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(f"_r{c}")), c)
+        ranked = running_total(n, [c], F.col("_n"), "_b")
+        out = out.join(ranked.select(c, (F.col("_b") + (F.col("_n") + 1) / 2.0).alias(f"_r{c}")), c)
     a, b = f"_r{x}", f"_r{y}"
     got = out.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.covar_pop(a, b).alias("c"))
     return got.select("n", F.when((F.col("n") < least) | (F.col("sa") == 0) | (F.col("sb") == 0), 0.0).otherwise(F.try_divide("c", F.col("sa") * F.col("sb"))).alias("rho"))

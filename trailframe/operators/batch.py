@@ -6,26 +6,36 @@ import heapq
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.storage import cut
 
 
-def numbered(df: DataFrame, order: list[str], row: str = "row_no") -> DataFrame:
-    """Rows numbered from 0 in the given order: per range partition, offset by the partitions before it.
+def running_total(df: DataFrame, order: list, value: Column | None = None, out: str = "before") -> DataFrame:
+    """Adds the sum of a value (or the count) over all rows before each, in an order without ties.
 
-    The dealt rows are written once, as a second run may draw other range bounds;
-    only the partitions' counts reach the driver, so no task orders all rows.
+    Sums run inside range partitions, offset by the partitions before. The dealt
+    rows are written once, as a second run may draw other range bounds; only one
+    sum per partition reaches the driver, so no task orders all rows.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.sparkSession, df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "numbered")
-    total, first = 0, {}
-    for r in sorted(dealt.groupBy("_p").count().collect()):
-        first[r["_p"]], total = total, total + r["count"]
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in (first or {0: 0}).items() for x in kv)), F.col("_p"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn(row, (base + local).cast("long")).drop("_p")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weighed = df.withColumn("__w", F.lit(1).cast("long") if value is None else value)
+    dealt = cut(spark, weighed.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ordered")
+    total, base = 0, []
+    for r in sorted(dealt.groupBy("__p").agg(F.sum("__w").alias("s")).collect()):
+        base.append((r["__p"], total))
+        total += r["s"] or 0
+    kind = dealt.schema["__w"].dataType.simpleString()
+    offsets = spark.createDataFrame([(p, type(total)(b)) for p, b in base], f"__p int, __b {kind}")
+    local = F.sum("__w").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("__l", local).join(offsets, "__p").withColumn(out, F.col("__b") + F.coalesce("__l", F.lit(0))).drop("__w", "__p", "__l", "__b")
+
+
+def numbered(df: DataFrame, order: list, row: str = "row_no") -> DataFrame:
+    """Rows numbered from 0 in the given order."""
+    return running_total(df, order, None, row)
 
 
 def concat(parts: Iterable[DataFrame], metas: Iterable[dict] = ()) -> tuple[DataFrame, dict]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.parse import action_count, tokens
+from trailframe.operators.batch import numbered
 from trailframe.operators.components import components
 from trailframe.operators.joins import induced
 from trailframe.operators.sampling import order_key
@@ -376,7 +377,7 @@ def random_walks(edges: DataFrame, walks: int, least: int, most: int, seed: int
     """
     spark = edges.sparkSession
     starts = edges.select("src").distinct()
-    ring = starts.withColumn("_r", F.row_number().over(Window.orderBy(order_key("start", "src", seed=seed), "src")) - 1)
+    ring = numbered(starts.withColumn("_h", order_key("start", "src", seed=seed)), ["_h", "src"], "_r").drop("_h")
     total = starts.agg(F.count(F.lit(1)).alias("_t"))
     new = spark.range(walks).withColumnRenamed("id", "walk").join(total, F.lit(True)).withColumn("_r", F.pmod(F.col("walk"), F.col("_t"))).join(ring, "_r")
     now = new.select("walk", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("actions"), (least + F.pmod(F.xxhash64(F.lit(seed), "walk"), F.lit(most - least + 1))).alias("goal"), F.lit(False).alias("over"))

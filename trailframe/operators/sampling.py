@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.operators.batch import numbered, running_total
+
 SEED = 42
 
 
@@ -44,11 +46,11 @@ def group_split(df: DataFrame, group: str, names: list[str], shares: list[float]
     """Rows with their split; whole groups, counted by largest remainder, in hashed order."""
     groups = df.select(group).distinct()
     total = groups.agg(F.count(F.lit(1)).alias("_t"))
-    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy(order_key("split", group, seed=seed), group))).join(total, F.lit(True))
+    ranked = numbered(groups.withColumn("_h", order_key("split", group, seed=seed)), ["_h", group], "_r").join(total, F.lit(True))
     bounds, acc = F.when(F.lit(False), ""), F.lit(0)
     for name, q in zip(names, quotas(shares, F.col("_t"))):
         acc = acc + q
-        bounds = bounds.when(F.col("_r") <= acc, name)
+        bounds = bounds.when(F.col("_r") < acc, name)
     return df.join(ranked.select(group, bounds.alias("split")), group)
 
 
@@ -59,8 +61,6 @@ def row_split(df: DataFrame, key: str, share: float, seed: int = SEED) -> DataFr
 
 def resampled(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     """n draws with replacement: draw i takes the row at its hashed place (rows are numbered per key order)."""
-    from trailframe.operators.batch import numbered
-
     rows = numbered(df, [key], "_n")
     count = df.agg(F.count(F.lit(1)).alias("_t"))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").join(count, F.lit(True))
@@ -70,9 +70,8 @@ def resampled(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
 
 def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: int = SEED) -> DataFrame:
     """n draws in proportion to a weight: hashed uniforms meet cumulative weights in equal-width buckets."""
-    w = Window.orderBy(key)
     total = df.agg(F.sum(weight).alias("_t"))
-    cum = df.withColumn("_hi", F.sum(weight).over(w)).join(total, F.lit(True)).withColumn("_lo", (F.col("_hi") - F.col(weight)) / F.col("_t")).withColumn("_hi", F.col("_hi") / F.col("_t"))
+    cum = running_total(df, [key], F.col(weight).cast("double"), "_lo").join(total, F.lit(True)).withColumn("_hi", (F.col("_lo") + F.col(weight)) / F.col("_t")).withColumn("_lo", F.col("_lo") / F.col("_t"))
     buckets = 1024
     spans = cum.where(F.col(weight) > 0).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") * buckets).cast("int"), F.least(F.lit(buckets - 1), F.floor(F.col("_hi") * buckets).cast("int")))))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", uniform("draw", "draw", seed=seed)).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
