@@ -33,11 +33,18 @@ from trailframe.llm._text import read
 
 SCOPE = 300
 KINDS = ["assign", "access", "hex", "ident", "secret", "endpoint"]
+
+
+def _either(words: str) -> str:
+    """A pattern with its ASCII letters in either case, alike in all engines."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
 #: The patterns of the base kinds; two groups where the second one's length counts.
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = rf"""((?:{_either("password|passwd|secret|token|api_?key")})["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-IDENT = r"""(?i:client|account|access_?key|key)_?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{4,}"""
+IDENT = rf"""(?:{_either("client|account|access_?key|key")})_?{_either("id")}["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]{{4,}}"""
 SECRET = r"[A-Za-z0-9+/]{40,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?:/[A-Za-z0-9._~/-]*)?"
 _OPEN, _MID, _SHUT, _ELSE = "\x01", "\x02", "\x03", "\x04"
@@ -122,3 +129,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     base = span_text(F.filter("spans", lambda s: s["kind"] < 3))
     return out.select("doc_id", *n, F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same in SQL: pieces between marks for the spans, and every pair of a document's parts for the links."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    arms = []
+    for n, p in enumerate((ASSIGN, ACCESS, HEX, IDENT, SECRET, ENDPOINT)):
+        put = r"chr(1) || '\1' || chr(2) || '\2' || chr(3)" if n == 0 else r"chr(1) || '\0' || chr(3)"
+        arms.append(f"SELECT doc_id, {n} AS kind, {2 if n == 0 else 1} AS marks, string_split(regexp_replace(t, {quoted(p)}, {put}, 'g'), chr(1)) AS a FROM d")
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || fin, ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS t FROM documents),
+s AS ({" UNION ALL ".join(arms)}),
+x AS (SELECT doc_id, kind, marks, unnest(a) AS piece, unnest(range(1, len(a) + 1)) AS i FROM s WHERE len(a) > 1),
+y AS (SELECT doc_id, kind, i, strpos(piece, chr(3)) AS shut, strpos(piece, chr(2)) AS mid, marks,
+  sum(length(piece) - CASE WHEN i = 1 THEN 0 ELSE marks END) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM x),
+p AS (SELECT doc_id, kind, CAST(start AS BIGINT) AS start, CAST(start + shut - marks AS BIGINT) AS fin FROM y WHERE i > 1 AND (kind > 0 OR shut - mid > 6)),
+near AS (SELECT a.doc_id, a.kind, a.start, a.fin,
+  bool_or(b.kind IN (1, 3) AND (a.start - b.fin <= {SCOPE} AND (b.start, b.kind) < (a.start, a.kind) OR b.start - a.fin <= {SCOPE} AND (b.start, b.kind) > (a.start, a.kind))) AS by_id,
+  bool_or(b.kind IN (0, 2, 4) AND (a.start - b.fin <= {SCOPE} AND (b.start, b.kind) < (a.start, a.kind) OR b.start - a.fin <= {SCOPE} AND (b.start, b.kind) > (a.start, a.kind))) AS by_secret,
+  bool_or(b.kind < 3 AND (b.fin > a.start AND (b.start, b.kind) < (a.start, a.kind) OR b.start < a.fin AND (b.start, b.kind) > (a.start, a.kind))) AS covered
+  FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND (a.start, a.kind) <> (b.start, b.kind) GROUP BY ALL),
+k AS (SELECT * FROM near WHERE kind < 3 OR NOT coalesce(covered, false) AND coalesce(CASE kind WHEN 3 THEN by_secret WHEN 4 THEN by_id ELSE by_id AND by_secret END, false))
+SELECT documents.doc_id, CAST(count(*) FILTER (WHERE kind = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE kind = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (WHERE kind = 2) AS BIGINT) AS n_hex,
+  sha256({text} FILTER (WHERE kind < 3), '')) AS base_sha256, {text} FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id GROUP BY documents.doc_id
+"""
+
+
+SQL = _sql()
