@@ -16,4 +16,11 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
-SQL = {"op1_topk": exact_topk.SQL, "op2_chat_format": chat_format.SQL, "op10_secrets": secrets.SQL, "op7_line_dedup": line_dedup.SQL}
+SQL = {
+    "op1_topk": exact_topk.SQL,
+    "op2_chat_format": chat_format.SQL,
+    "op6_near_dedup": near_dedup.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op8_decontamination": decontamination.SQL,
+    "op10_secrets": secrets.SQL,
+}
