@@ -9,7 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from trailframe.llm import bpe, token_files
-from trailframe.llm._text import shared_dir, utf8
+from trailframe.llm._text import utf8
+from trailframe.storage import shared_dir
 
 ALPHABET = "aabbAB zZ'’éÉèßΣσİıñÑ 01²½Ⅷ\t\n  ́\u0085\x1c<|endoftext|>!?.,-_漢字カナ한국😀​﻿"
 SPECIAL = ["", "   ", "<|endoftext|>x<|startoftext|>", "aaaaaaaaaaaaa", "it's WE'LL they'd", "é ΑΣ ΣΣ", "a" * 3000, "\n\n"]

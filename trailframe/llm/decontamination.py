@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import cut, read, slices, span_hashes, spans, utf8
+from trailframe.llm._text import read, slices, span_hashes, spans, utf8
 from trailframe.llm.fm_index import FmIndex, suffix_array
+from trailframe.storage import cut
 
 WINDOW = 10
 MAX_WORDS = 1_000_000

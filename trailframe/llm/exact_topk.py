@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import read, shared_dir
+from trailframe.llm._text import read
+from trailframe.storage import shared_dir
 
 LISTS = 4
 QUERY_BLOCK = 2048

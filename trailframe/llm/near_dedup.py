@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import SPACE, cut, mix, ragged_take, read, slices, span_hashes, spans, utf8
-from trailframe.llm.components import components
+from trailframe.llm._text import SPACE, mix, ragged_take, read, slices, span_hashes, spans, utf8
+from trailframe.operators.components import components
+from trailframe.storage import cut
 
 CHUNKS, WIDTH = 14, 6
 SYMBOLS = CHUNKS * WIDTH

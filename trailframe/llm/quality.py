@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import SPACE, cut, read, slices, span_hashes, spans, utf8
+from trailframe.llm._text import SPACE, read, slices, span_hashes, spans, utf8
+from trailframe.storage import cut
 
 FEATURES = 192
 WIDTH = 3.0

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import binary_slices, cut, pack, read, shared_dir, slices, utf8
+from trailframe.llm._text import binary_slices, pack, read, slices, utf8
 from trailframe.llm.bpe import WordBpe, encoder, model_bytes
+from trailframe.storage import cut, shared_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
