@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from trailframe.llm._text import read, slices
 
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 800
 SNIPPET = 400
 MAX_LANGUAGES = 500
-DICTIONARY = 64 << 10
+#: Bytes of a dictionary at most, and the size to which longer ones are cut if some language has less.
+DICTIONARY, EVEN = 128 << 10, 16 << 10
 PIECE = 4096
-LEVEL = 3
 #: Least margin, as a share of the letters, below which `rejected` is set.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -47,14 +47,22 @@ def distinct_words(text: str) -> bytes:
     return b" ".join(dict.fromkeys(text.lower().encode("utf-8", "replace").translate(_LETTERS).split()))
 
 
+def _parameters() -> zstandard.ZstdCompressionParameters:
+    """Greedy search for matches of four bytes and more: word parts tell languages apart better than long repeats."""
+    return zstandard.ZstdCompressionParameters(
+        window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=4, strategy=zstandard.STRATEGY_GREEDY,
+        write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+
+
 class Compressors:
     def __init__(self, contents: dict[str, bytes]) -> None:
         self.names = sorted(contents)
         self.own = []
         for name in self.names:
             data = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.own.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+            data.precompute_compress(compression_params=_parameters())
+            self.own.append(zstandard.ZstdCompressor(dict_data=data, compression_params=_parameters()))
 
     def sizes(self, words: bytes) -> np.ndarray:
         pieces = [words[i : i + PIECE] for i in range(0, len(words), PIECE)] or [b""]
@@ -73,8 +81,11 @@ class Compressors:
         return self.names[best], float(1 / np.exp(-gap).sum()), float(margin)
 
 
-def _contents(snippets: list[str]) -> bytes:
-    return b" ".join(distinct_words(s) for s in snippets)[-DICTIONARY:]
+def _contents(sample: dict[str, list[str]]) -> dict[str, bytes]:
+    """Dictionary contents of nearly even size, so that a larger one has no advantage."""
+    words = {k: b" ".join(distinct_words(s) for s in v) for k, v in sample.items() if v}
+    size = min(DICTIONARY, max(EVEN, min(map(len, words.values()), default=0)))
+    return {k: w[-size:] for k, w in words.items()}
 
 
 def learn(sample: dict[str, list[str]]) -> dict[str, bytes]:
@@ -83,10 +94,10 @@ def learn(sample: dict[str, list[str]]) -> dict[str, bytes]:
     halves = [{k: v[i::2] for k, v in sample.items()} for i in (0, 1)]
     kept: dict[str, list[str]] = {k: [] for k in sample}
     for mine, other in (halves, halves[::-1]):
-        judge = Compressors({k: _contents(v) for k, v in other.items() if v})
+        judge = Compressors(_contents(other))
         for name, snippets in mine.items():
             kept[name].extend(s for s in snippets if judge.judge(s)[0] == name)
-    return {k: _contents(kept[k] or sample[k]) for k in sample}
+    return _contents({k: kept[k] or sample[k] for k in sample})
 
 
 def sample_texts(df: DataFrame, text: Column, lang: Column, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
