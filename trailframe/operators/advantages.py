@@ -141,3 +141,57 @@ def drop_flat_groups(df: DataFrame, group: str, r: str) -> DataFrame:
     """Without groups of several rows that all have one reward."""
     w = _group(group)
     return df.withColumn("_k", (F.stddev_pop(r).over(w) > 0) | (F.count(F.lit(1)).over(w) == 1)).where("_k").drop("_k")
+
+
+losses = Registry("policy loss", replace=True)
+
+
+def _clip(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+@losses.register("vanilla")
+def clipped_loss(logp: Column, old: Column, adv: Column, eps: float = 0.2, dual: float = 3.0) -> Column:
+    """Token loss with the ratio clipped, and a floor for negative advantages."""
+    ratio = F.exp(_clip(logp - old, -20.0, 20.0))
+    worst = F.greatest(-adv * ratio, -adv * _clip(ratio, 1 - eps, 1 + eps))
+    return F.when(adv < 0, F.least(worst, -adv * dual)).otherwise(worst)
+
+
+@losses.register("gspo")
+def sequence_ratio_loss(logp: Column, old: Column, adv: Column, seq: str, low: float = 3e-4, high: float = 4e-4) -> Column:
+    """Token loss with the sequence's mean log ratio in place of the token's."""
+    ratio = F.exp(_clip(F.avg(logp - old).over(_group(seq)), -20.0, 10.0))
+    return F.greatest(-adv * ratio, -adv * _clip(ratio, 1 - low, 1 + high))
+
+
+@losses.register("gpg")
+def plain_loss(logp: Column, adv: Column) -> Column:
+    return -logp * adv
+
+
+@losses.register("geo_mean")
+def geometric_loss(logp: Column, old: Column, adv: Column, seq: str, low: float = 0.4, high: float = 0.4) -> Column:
+    """Sequence loss: the geometric mean of token ratios, each clipped on the side its advantage allows."""
+    d = logp - old
+    sign = F.signum(adv)
+    kept = sign * F.least(sign * d, sign * _clip(d, -low, high))
+    return -F.avg(adv).over(_group(seq)) * F.exp(F.avg(kept).over(_group(seq)))
+
+
+def value_loss(value: Column, old: Column, ret: Column, eps: float) -> Column:
+    """Half the larger squared error of the value and of its clipped form."""
+    held = old + _clip(value - old, -eps, eps)
+    return 0.5 * F.greatest((value - ret) * (value - ret), (held - ret) * (held - ret))
+
+
+class AdaptiveKl:
+    """A coefficient that follows a target by a proportional rule over so many samples."""
+
+    def __init__(self, start: float, target: float, horizon: int) -> None:
+        self.value, self.target, self.horizon = start, target, horizon
+
+    def update(self, kl: float, samples: int) -> float:
+        error = max(-0.2, min(0.2, kl / self.target - 1))
+        self.value *= 1 + error * samples / self.horizon
+        return self.value

@@ -96,7 +96,7 @@ def congruent(edges: DataFrame, preferred: DataFrame | None = None, rounds: int
     edges = cut(spark, edges, "congruence")
     for _ in range(rounds):
         side = lambda key, node: edges.groupBy(key, "action").agg(F.min(node).alias("m"), F.max(node).alias("x")).where("m <> x").join(edges, [key, "action"]).select("m", F.col(node).alias("n")).where("m <> n")
-        pairs = side("src", "dst").union(side("dst", "src")).distinct()
+        pairs = cut(spark, side("src", "dst").union(side("dst", "src")).distinct(), "pairs")
         if not pairs.limit(1).count():
             return edges
         names = pairs.select(F.col("m").alias("n")).union(pairs.select("n")).distinct().withColumn("id", F.xxhash64("n"))

@@ -202,3 +202,17 @@ def arc_consistent(cells: DataFrame, constraints: DataFrame, allowed: DataFrame,
             return now
         size = left
     raise RuntimeError("the filter did not settle")
+
+
+def detected_fields(df: DataFrame, json: str) -> DataFrame:
+    """Top-level fields of a JSON column: (field, n, n_distinct, numeric, groupable).
+
+    numeric: numbers in at least half of the rows, with a range of 1e-9 or more;
+    groupable: between 2 distinct values and 90 % of the rows.
+    """
+    rows = df.select(F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))
+    total = df.agg(F.count(F.lit(1)).alias("_t"))
+    v = F.col("value").try_cast("double")
+    per = rows.groupBy("field").agg(F.count("value").alias("n"), F.count_distinct("value").alias("n_distinct"), F.count(v).alias("_c"), (F.max(v) - F.min(v)).alias("_r")).join(total, F.lit(True))
+    numeric = (F.col("_c") * 2 >= F.col("_t")) & (F.col("_r") >= 1e-9)
+    return per.select("field", "n", "n_distinct", F.coalesce(numeric, F.lit(False)).alias("numeric"), ((F.col("n_distinct") >= 2) & (F.col("n_distinct") <= 0.9 * F.col("_t"))).alias("groupable"))

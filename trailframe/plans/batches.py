@@ -24,11 +24,11 @@ def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add("""
-WITH i AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) SELECT d.doc_id, coalesce(a.q, b.q) AS q FROM documents d LEFT JOIN i a ON a.doc_id = d.doc_id LEFT JOIN i b ON b.doc_id = d.doc_id // 2""")
+WITH i AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) SELECT d.doc_id, CAST(coalesce(a.q, b.q, -1) AS INTEGER) AS q FROM documents d LEFT JOIN i a ON a.doc_id = d.doc_id LEFT JOIN i b ON b.doc_id = d.doc_id // 2""")
 def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 2").alias("half"))
     index = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.col("quality").alias("q"))
-    return J.lookup_or(docs, index, [("doc_id", "k"), ("half", "k")], "q").select("doc_id", "q")
+    return J.lookup_or(docs, index, [("doc_id", "k"), ("half", "k")], "q").select("doc_id", F.coalesce("q", F.lit(-1)).alias("q"))
 
 
 @catalog.add("""
@@ -48,13 +48,13 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("""
 WITH a AS (SELECT l_orderkey AS uid, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
 b AS (SELECT l_orderkey AS uid, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey DESC, l_partkey) AS k FROM lineitem WHERE l_tax > 0.01)
-SELECT uid, CAST(k AS INTEGER) AS k, l_partkey, l_suppkey, l_partkey IS NOT NULL AND l_suppkey IS NOT NULL AS ok FROM a FULL JOIN b USING (uid, k)""")
+SELECT uid, CAST(k AS INTEGER) AS k, coalesce(l_partkey, -1) AS l_partkey, coalesce(l_suppkey, -1) AS l_suppkey, l_partkey IS NOT NULL AND l_suppkey IS NOT NULL AS ok FROM a FULL JOIN b USING (uid, k)""")
 def strict_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("uid", F.col("l_orderkey"))
     a = li.withColumn("_s", F.col("l_suppkey")).select("uid", "l_partkey", "l_linenumber", "_s")
     b = li.where("l_tax > 0.01").select("uid", "l_suppkey", F.col("l_partkey").alias("_p"))
     out = J.aligned(a, b, "uid", ["l_linenumber", "l_partkey", "_s"], [F.desc("l_suppkey"), "_p"])
-    return out.select("uid", "k", "l_partkey", "l_suppkey", "ok")
+    return out.select("uid", "k", F.coalesce("l_partkey", F.lit(-1)).alias("l_partkey"), F.coalesce("l_suppkey", F.lit(-1)).alias("l_suppkey"), "ok")
 
 
 @catalog.add("""

@@ -231,9 +231,9 @@ def bucket_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add(f"""
 WITH {METRICS}, r AS (SELECT l_orderkey, min(pos) AS min_pos, min(ang) AS min_ang, bool_or(pos <= 0.3 + 1e-9 AND ang <= 20 + 1e-9) AS reached, bool_or(flag) AS success FROM m GROUP BY l_orderkey)
-SELECT *, CASE WHEN success AND reached THEN 'reached' WHEN success THEN 'inferred' WHEN reached THEN 'passed' ELSE 'missed' END AS kind FROM r""")
+SELECT l_orderkey, min_pos, min_ang, reached, coalesce(success, false) AS success, CASE WHEN success AND reached THEN 'reached' WHEN success THEN 'inferred' WHEN reached THEN 'passed' ELSE 'missed' END AS kind FROM r""")
 def reach_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.reach(metric_rows(spark, sf_dir), "l_orderkey", "pos", "ang", 0.3, 20, "flag")
+    return A.reach(metric_rows(spark, sf_dir), "l_orderkey", "pos", "ang", 0.3, 20, "flag").fillna({"success": False})
 
 
 @catalog.add("""

@@ -213,3 +213,18 @@ WITH {METRICS}, s AS (SELECT l_orderkey, l_linenumber, pos FROM m WHERE flag)
 SELECT CAST(count(*) AS BIGINT) AS n, round(sum(pos), 6) + 0.0 AS total FROM s""")
 def state_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metric_rows(spark, sf_dir).where("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("total")))
+
+
+@catalog.add("""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_tax * 10 AS p, l_discount * 10 AS o, l_quantity - 25 AS a FROM lineitem), r AS (SELECT *, exp(p - o) AS r, exp(avg(p - o) OVER (PARTITION BY l_orderkey)) AS g FROM t),
+w AS (SELECT *, greatest(-a * r, -a * greatest(0.8, least(1.2, r))) AS v, greatest(-a * g, -a * greatest(0.7, least(1.3, g))) AS s FROM r)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN a < 0 THEN least(v, -a * 3.0) ELSE v END, 6) + 0.0 AS vanilla, round(s, 6) + 0.0 AS gspo, round(-p * a, 6) + 0.0 AS gpg,
+  round(-avg(a) OVER (PARTITION BY l_orderkey) * exp(avg(CASE WHEN a > 0 THEN least(p - o, greatest(-0.4, least(0.4, p - o))) WHEN a < 0 THEN greatest(p - o, greatest(-0.4, least(0.4, p - o))) ELSE 0 END) OVER (PARTITION BY l_orderkey)), 6) + 0.0 AS geo,
+  round(0.5 * greatest(pow(p - a, 2), pow(o + greatest(-0.2, least(0.2, p - o)) - a, 2)), 6) + 0.0 AS value_loss FROM w""")
+def policy_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, o, a = F.col("l_tax") * 10, F.col("l_discount") * 10, F.col("l_quantity") - 25
+    get = V.losses.get
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", r6(get("vanilla")(p, o, a)).alias("vanilla"), r6(get("gspo")(p, o, a, "l_orderkey", 0.3, 0.3)).alias("gspo"), r6(get("gpg")(p, a)).alias("gpg"),
+        r6(get("geo_mean")(p, o, a, "l_orderkey")).alias("geo"), r6(V.value_loss(p, o, a, 0.2)).alias("value_loss"),
+    )

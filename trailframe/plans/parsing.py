@@ -38,13 +38,13 @@ WITH t AS (SELECT o_orderkey, 'Go to scene' || lpad(CAST(o_custkey AS VARCHAR),
   CASE WHEN o_orderkey % 4 = 0 THEN 'Answer (x)' ELSE 'Turn_Left | ' || o_orderpriority || ' |move_forward|' END || '</action>' AS s FROM orders),
 a AS (SELECT o_orderkey, s, trim(regexp_extract(s, '(?s)<action>(.*?)</action>', 1)) AS body FROM t)
 SELECT o_orderkey, regexp_extract(s, 'scene(\d+_\d+)', 1) AS scene, CASE WHEN o_orderkey % 4 <> 0 THEN body END AS action,
-  CASE WHEN o_orderkey % 4 <> 0 THEN 'turn_left | move_forward' END AS cleaned, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(3 AS INTEGER) END AS n_actions FROM a""")
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'turn_left | move_forward' END AS cleaned, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN 3 ELSE 0 END AS INTEGER) AS n_actions FROM a""")
 def action_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     body = F.when(k % 4 == 0, "Answer (x)").otherwise(F.concat(F.lit("Turn_Left | "), "o_orderpriority", F.lit(" |move_forward|")))
     s = F.concat(F.lit("Go to scene"), F.lpad(F.col("o_custkey").cast("string"), 4, "0"), F.lit("_"), (k % 3).cast("string"), F.lit(" then <action> "), body, F.lit("</action>"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")).withColumn("action", parse.action(F.col("s")))
-    return rows.select("o_orderkey", parse.scene(F.col("s")).alias("scene"), "action", parse.clean_action(F.col("action")).alias("cleaned"), F.when(F.col("action").isNotNull(), parse.action_count(F.col("action"))).alias("n_actions"))
+    return rows.select("o_orderkey", parse.scene(F.col("s")).alias("scene"), "action", parse.clean_action(F.col("action")).alias("cleaned"), F.when(F.col("action").isNotNull(), parse.action_count(F.col("action"))).otherwise(0).alias("n_actions"))
 
 
 @catalog.add(r"""

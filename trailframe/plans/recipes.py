@@ -159,3 +159,12 @@ SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS VARCHAR) >= '1996-06-01'
 def iso_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     return table(spark, sf_dir, "orders").where((day >= "1996-06-01") & (day < "1997-06-01")).select("o_orderkey")
+
+
+@catalog.add("""
+WITH j AS (SELECT 'k' AS field, regexp_extract(props, '([0-9]+)', 1) AS value FROM events UNION ALL SELECT 't', event_type FROM events UNION ALL SELECT 'id', CAST(event_id AS VARCHAR) FROM events WHERE event_id % 2 = 0), n AS (SELECT count(*) AS t FROM events)
+SELECT field, CAST(count(value) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS n_distinct, count(try_cast(value AS DOUBLE)) * 2 >= any_value(t) AND coalesce(max(try_cast(value AS DOUBLE)) - min(try_cast(value AS DOUBLE)) >= 1e-9, false) AS numeric,
+  count(DISTINCT value) BETWEEN 2 AND 0.9 * any_value(t) AS groupable FROM j, n GROUP BY field""")
+def detected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.to_json(F.struct(F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"), F.col("event_type").alias("t"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("id")))
+    return X.detected_fields(table(spark, sf_dir, "events").select(doc.alias("j")), "j")
