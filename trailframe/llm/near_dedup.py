@@ -37,7 +37,7 @@ from trailframe.storage import cut
 
 CHUNKS, WIDTH = 14, 6
 SYMBOLS = CHUNKS * WIDTH
-#: Shingles in one block of a candidate group; a cell holds two blocks at most, or one longer text.
+#: Shingles in one block of a candidate group, on average; a cell holds two blocks.
 BLOCK_SHINGLES = 500_000
 _RNG = np.random.Generator(np.random.PCG64(11))
 _MUL = (_RNG.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -193,13 +193,15 @@ def _sets(df: DataFrame, size: int) -> DataFrame:
 
 
 def _cells(groups: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """The cells in which each member of a group is verified: (k, c, cells)."""
-    order = Window.partitionBy("c").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    """The cells in which each member of a group is verified: (k, c, cells).
+
+    A group has as many blocks as its shingles fill; members are dealt to them by hash.
+    """
     placed = groups.join(sizes.groupBy("k").agg(F.sum("n").alias("n")), "k")
-    placed = placed.withColumn("i", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / block)).select("c", "k", "i")
-    blocks = placed.groupBy("c").agg((F.max("i") + 1).alias("blocks"))
+    blocks = placed.groupBy("c").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    i = F.pmod(F.xxhash64("k"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    return placed.join(blocks, "c").select("k", "c", F.transform(others, lambda o: F.struct(F.least("i", o).alias("i"), F.greatest("i", o).alias("j"))).alias("cells"))
+    return placed.join(blocks, "c").select("k", "c", F.transform(others, lambda o: F.struct(F.least(i, o).alias("i"), F.greatest(i, o).alias("j"))).alias("cells"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
