@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.llm._text import read
+from trailframe.storage import cut
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -54,6 +55,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     docs = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"), *rest)
     keys = docs.select("k", F.explode(F.array_distinct(F.filter(_hashes(F.col("t"), min_chars), lambda h: h.isNotNull()))).alias("h"))
     common = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
+    # written, so that the join sees its size and can split a line that very many documents hold
+    common = cut(df.sparkSession, common, "common")
     drop = keys.join(common, "h").where(~F.col("k").eqNullSafe(F.col("last"))).groupBy(F.col("k").alias("d")).agg(F.collect_set("h").alias("drop"))
     joined = docs.join(drop, F.col("k").eqNullSafe(F.col("d")), "left")
     lines = _lines(F.col("t"))
