@@ -210,7 +210,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(df[id_col].cast("long").alias("k"), df[text_col].cast("string").alias("t"))
     signed = cut(spark, _signed(docs, shingle), "signed")
     own = signed.where("k IS NOT NULL AND n > 0")
-    classes = own.groupBy("a", "b").agg(F.min("k").alias("rep"))
+    classes = cut(spark, own.groupBy("a", "b").agg(F.min("k").alias("rep")), "classes")
     reps = own.join(classes, ["a", "b"]).where("k = rep").select("k", "n", "sig")
     keyed = reps.select("k", "sig").mapInArrow(_keys, "key bigint, k bigint")
     near = Window.partitionBy("key").orderBy("k")
