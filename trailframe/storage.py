@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir; one temporary folder where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailframe-"))
         base = spark.sparkContext.getCheckpointDir()
