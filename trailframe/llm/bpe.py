@@ -33,7 +33,7 @@ from trailframe.llm._text import SPACE, pack, ragged_take, read, slices, span_ha
 #: The split pattern that the vocabulary file declares, with its \s read as the Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 MAX_MODEL_BYTES = 64 << 20
-CACHE_CHUNKS = 1 << 19
+CACHE_CHUNKS = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -91,20 +91,26 @@ class WordBpe:
 
     def pieces(self, chunk: str) -> list[str | int]:
         """Words of one chunk without ASCII white space; a special token is its id."""
+        plain = self.plain(chunk)
+        if plain.isalpha():
+            return [plain]
         out: list[str | int] = []
         parts = self.special_split.split(chunk) if self.special_split and "<|" in chunk else [chunk]
         for part in parts:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()
-                else:
-                    part = part.lower()
-                out.extend(self.split.findall(part))
+                out.extend(self.split.findall(self.plain(part)))
         return out
 
+    @staticmethod
+    def plain(text: str) -> str:
+        """NFC, then each character's lower case (the final sigma has none of its own)."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -258,7 +264,7 @@ def library_merge(raw: bytes, model: WordBpe):
         ids: list[int] = []
         offsets = np.zeros(len(words) + 1, np.int64)
         for k, word in enumerate(words):
-            ids.extend(t.id for t in inner.tokenize(word.decode("latin-1").translate(table)))
+            ids += [t.id for t in inner.tokenize(word.decode("latin-1").translate(table))]
             offsets[k + 1] = len(ids)
         return np.array(ids, np.int64), offsets
 
