@@ -177,21 +177,52 @@ def sampling_seeds(spark, specs: dict[str, list[int]]) -> DataFrame:
     return out
 
 
+#: Items of a map's block; pairs of blocks are compared in one task each.
+MAP_BLOCK = 2048
+
+
+def agreeing_pairs(pairs: DataFrame, group: str, block: int = MAP_BLOCK) -> DataFrame:
+    """Per map the number of item pairs whose guess has the truth's signs of both axes; a missing guess agrees with nothing.
+
+    A map's items are dealt to blocks by hash and every two blocks meet once, so a large map is spread over tasks.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        a = pdf[pdf["_b"] == pdf["_i"].iloc[0]][["x", "y", "gx", "gy"]].to_numpy("float64")
+        b = a if same else pdf[pdf["_b"] == pdf["_j"].iloc[0]][["x", "y", "gx", "gy"]].to_numpy("float64")
+        hits = 0
+        for k, row in enumerate(a):
+            side = np.sign((b[k + 1 :] if same else b) - row)  # a null is NaN, which equals nothing
+            hits += int(((side[:, 0] == side[:, 2]) & (side[:, 1] == side[:, 3])).sum())
+        return pd.DataFrame({group: pdf[group].iloc[:1], "hits": [hits]})
+
+    sizes = pairs.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    place = F.pmod(F.xxhash64("item"), F.col("_n").cast("long")).cast("int")
+    others = F.sequence(F.lit(0), F.col("_n") - 1)
+    dealt = pairs.join(sizes, group).withColumn("_b", place).withColumn("_o", F.explode(others))
+    cells = dealt.select(group, *(F.col(c).cast("double").alias(c) for c in ("x", "y", "gx", "gy")), "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    counted = cells.groupBy(group, "_i", "_j").applyInPandas(run, f"{group} {pairs.schema[group].dataType.simpleString()}, hits long")
+    return counted.groupBy(group).agg(F.sum("hits").alias("hits"))
+
+
 def map_similarity(pairs: DataFrame, group: str) -> DataFrame:
     """Direction, facing and scaled distance agreement per map: pairs hold (x, y, facing) of truth and guess; absent guesses are null.
 
-    coverage * exp(-rmse / scale), the scale being the truth's extent; direction compares successive items.
+    coverage * exp(-rmse / scale), the scale being the truth's extent; direction compares all pairs of a
+    map's items and the initial place (0, 0), and a pair with a missing guess is wrong.
     """
-    w = Window.partitionBy(group).orderBy("item")
-    side = lambda a, b: F.signum(F.lead(a).over(w) - F.col(b))
-    agree = (side("x", "x") == side("gx", "gx")) & (side("y", "y") == side("gy", "gy"))
-    rows = pairs.withColumn("_dir", agree.cast("int")).withColumn("_sq", (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy")))
+    sign = lambda c: F.signum(F.col(c).cast("double"))
+    start = F.coalesce((sign("x") == sign("gx")) & (sign("y") == sign("gy")), F.lit(False))
+    rows = pairs.withColumn("_sq", (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy")))
     extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
+    n = F.count(F.lit(1))
     got = rows.groupBy(group).agg(
-        F.coalesce(F.avg("_dir"), F.lit(0.0)).alias("direction"), F.coalesce(F.avg((F.col("facing") == F.col("gfacing")).cast("int")), F.lit(0.0)).alias("facing"),
+        F.sum(start.cast("long")).alias("_start"), (n * (n + 1) / 2).alias("_pairs"), F.coalesce(F.avg((F.col("facing") == F.col("gfacing")).cast("int")), F.lit(0.0)).alias("facing"),
         F.coalesce(F.exp(-F.sqrt(F.avg("_sq")) / extent) * F.count("_sq") / F.count(F.lit(1)), F.lit(0.0)).alias("position"),
     )
-    return got.withColumn("overall", (F.col("direction") + F.col("facing") + F.col("position")) / 3)
+    got = got.join(agreeing_pairs(pairs, group), group).withColumn("direction", (F.col("hits") + F.col("_start")) / F.col("_pairs"))
+    return got.select(group, "direction", "facing", "position", ((F.col("direction") + F.col("facing") + F.col("position")) / 3).alias("overall"))
 
 
 def segment_messages(segments: list[tuple[str, str]]) -> list[tuple[str, str]]:
