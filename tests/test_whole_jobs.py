@@ -44,3 +44,9 @@ def test_missing_guesses_are_wrong_pairs(spark, block):
     df = spark.createDataFrame([(*i, 0, 0) for i in items], "g string, item string, x double, y double, gx double, gy double, facing int, gfacing int")
     assert sft.agreeing_pairs(df, "g", block).first()["hits"] == 2
     assert sft.map_similarity(df, "g").first()["direction"] == 0.5
+
+
+def test_masked_fields_mask_whole_texts(spark):
+    have = got(spark, "masked_fields")
+    assert have == wanted("SELECT doc_id, regexp_replace(text, '[aeiou]', '*', 'g') FROM documents")
+    assert max(len(m) for _, m in have) > 10000

@@ -119,7 +119,7 @@ def last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("""
 SELECT doc_id, regexp_replace(left(text, 50), '[aeiou]', '*', 'g') AS masked FROM documents""")
 def masked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", parse.masked(F.left("text", F.lit(50)), "[aeiou]").alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", parse.masked(F.col("text"), "[aeiou]").alias("masked"))
 
 
 @catalog.add("""
