@@ -1,5 +1,8 @@
 """Queries over whole tables and texts, held against SQL or brute force that is written here."""
 
+import re
+import string
+
 import duckdb
 import pytest
 
@@ -50,3 +53,14 @@ def test_masked_fields_mask_whole_texts(spark):
     have = got(spark, "masked_fields")
     assert have == wanted("SELECT doc_id, regexp_replace(text, '[aeiou]', '*', 'g') FROM documents")
     assert max(len(m) for _, m in have) > 10000
+
+
+def normalized(t):
+    t = "".join(c for c in t.lower() if c not in string.punctuation)
+    return " ".join(re.sub(r"\b(a|an|the)\b", " ", t).split())
+
+
+def test_em_normalize_drops_articles(spark):
+    want = [(i, normalized(t)) for i, t in wanted("SELECT doc_id, text FROM documents")]
+    assert any(normalized(t) != " ".join("".join(c for c in t.lower() if c not in string.punctuation).split()) for _, t in wanted("SELECT doc_id, text FROM documents"))
+    assert got(spark, "em_normalize") == want

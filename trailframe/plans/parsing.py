@@ -94,8 +94,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add(r"""
 SELECT doc_id, trim(regexp_replace(regexp_replace(lower(replace(text, chr(10), ' ')), '[[:punct:]]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM documents""")
 def em_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles' word boundary differs between engines, so none are removed here; tests cover them."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_answer(F.replace("text", F.lit("\n"), F.lit(" ")), articles="(?!)").alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_answer(F.col("text")).alias("norm"))
 
 
 @catalog.add("""
