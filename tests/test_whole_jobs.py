@@ -64,3 +64,21 @@ def test_em_normalize_drops_articles(spark):
     want = [(i, normalized(t)) for i, t in wanted("SELECT doc_id, text FROM documents")]
     assert any(normalized(t) != " ".join("".join(c for c in t.lower() if c not in string.punctuation).split()) for _, t in wanted("SELECT doc_id, text FROM documents"))
     assert got(spark, "em_normalize") == want
+
+
+TURNS = """
+WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: length(x)) AS p, [turn, turn] AS r FROM conversations)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS turns, array_to_string(flatten(list(list_concat(p, r) ORDER BY turn)), ',') AS ids,
+  array_to_string(flatten(list(list_concat(list_transform(p, lambda x: 0), [1, 1]) ORDER BY turn)), ',') AS mask, CAST(max(turn) AS BIGINT) AS extra FROM t GROUP BY conv_id"""
+
+
+def test_concat_turns_takes_whole_texts(spark):
+    assert got(spark, "concat_turns") == wanted(TURNS)
+
+
+def test_response_formats_read_whole_texts(spark, tmp_path):
+    # a tag past the tenth character is seen only in the whole text
+    texts = ["x" * 20 + "<action>a|b|c</action>", "y" * 20]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = sorted(QUERIES["response_formats"](spark, str(tmp_path)).collect())
+    assert [r["n_actions"] for r in rows] == [3, 2]

@@ -183,7 +183,7 @@ WITH t AS (SELECT conv_id, turn, list_transform(string_split(left(text, 20), ' '
 SELECT conv_id, CAST(count(*) AS INTEGER) AS turns, array_to_string(flatten(list(list_concat(p, r) ORDER BY turn)), ',') AS ids,
   array_to_string(flatten(list(list_concat(list_transform(p, lambda x: 0), [1, 1]) ORDER BY turn)), ',') AS mask, CAST(max(turn) AS BIGINT) AS extra FROM t GROUP BY conv_id""")
 def concat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(F.left("text", F.lit(20)), " "), lambda x: F.length(x).cast("long")).alias("p"), F.array("turn", "turn").alias("r"), F.col("turn").alias("extra"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda x: F.length(x).cast("long")).alias("p"), F.array("turn", "turn").alias("r"), F.col("turn").alias("extra"))
     out = T.concat_turns(rows, "conv_id", "turn", "p", "r", "extra")
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return out.select("conv_id", "turns", join("ids"), join("mask"), "extra")

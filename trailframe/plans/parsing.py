@@ -53,7 +53,7 @@ SELECT conv_id, turn, turn % 3 = 0 AS free_think, true AS eval_mode, turn % 3 =
   turn % 3 <> 2 AS list_ok, CAST(CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_actions FROM t""")
 def response_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn") % 3
-    s = F.when(turn == 0, F.concat(F.lit("<think>"), F.left("text", F.lit(10)), F.lit("</think><action>go|turn(left)</action>"))).when(turn == 1, "<action>go</action>").otherwise("no <action>x y(</action> z")
+    s = F.when(turn == 0, F.concat(F.lit("<think>"), "text", F.lit("</think><action>go|turn(left)</action>"))).when(turn == 1, "<action>go</action>").otherwise("no <action>x y(</action> z")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"))
     oks = [parse.formats.get(n)(F.col("s"))["ok"].alias(n) for n in ("free_think", "eval_mode", "no_think")]
     acts = parse.action_list(parse.formats.get("eval_mode")(F.col("s"))["actions"])
