@@ -5,8 +5,9 @@ import string
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from trailframe.operators import sft
+from trailframe.operators import sampling, sft
 from trailframe.plans import QUERIES
 from trailframe.plans.catalog import EVENTS
 
@@ -82,3 +83,33 @@ def test_response_formats_read_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = sorted(QUERIES["response_formats"](spark, str(tmp_path)).collect())
     assert [r["n_actions"] for r in rows] == [3, 2]
+
+
+def test_resample_draws_as_many_as_rows(spark):
+    n = wanted("SELECT count(*) FROM customer")[0][0]
+    draws = got(spark, "resample_draws")
+    assert [(h, d) for h, d, _ in draws] == [(h, d) for h in ("max_min", "max_random", "pow") for d in range(n)]
+    ends = {k for (k,) in wanted("SELECT c_custkey FROM customer WHERE c_acctbal IN (SELECT unnest([min(c_acctbal), max(c_acctbal)]) FROM customer)")}
+    assert {k for h, _, k in draws if h == "max_min"} == ends
+
+
+def test_negative_scores_are_drawn_by_their_size(spark):
+    df = sampling.draw_weights(spark.createDataFrame([(1, -3.0), (2, 1.0), (3, 0.0)], "k long, s double"), "s")
+    n = {r["k"]: r["count"] for r in sampling.weighted_draws(df, "k", "weight", 1000).groupBy("k").count().collect()}
+    assert sum(n.values()) == 1000 and 860 < n[1] < 940 and 3 not in n
+
+
+def test_draw_weights(spark):
+    df = spark.createDataFrame([(1, -2.0), (2, 0.0), (3, 3.0)], "k long, s double")
+    weights = lambda how: [r["weight"] for r in sampling.draw_weights(df, "s", how).orderBy("k").collect()]
+    assert weights("pow") == pytest.approx([4 + 1e-8, 1e-8, 9 + 1e-8], rel=1e-12)
+    assert weights("max_min") == pytest.approx([1 + 1e-8, 1e-8, 1 + 1e-8], rel=1e-12)
+    assert weights("max_random") == pytest.approx([0.1 + 1e-8, 0.1 + 1e-8, 0.4 + 1e-8], rel=1e-12)
+
+
+def test_every_draw_takes_one_row(spark):
+    df = spark.range(1, 301).select(F.col("id").alias("k"), (F.col("id") * 0.1).alias("w"))
+    n = {r["k"]: r["count"] for r in sampling.weighted_draws(df, "k", "w", 20000).groupBy("k").count().collect()}
+    assert sum(n.values()) == 20000
+    share = sum(n.get(k, 0) for k in range(201, 301)) / 20000
+    assert share == pytest.approx(sum(range(201, 301)) / sum(range(1, 301)), abs=0.02)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailframe.operators.batch import numbered, running_total
+from trailframe.storage import cut
 
 SEED = 42
 
@@ -68,14 +70,50 @@ def resampled(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     return draws.withColumn("_n", place).join(rows, "_n").drop("_n", "_t")
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, n: int, seed: int = SEED) -> DataFrame:
-    """n draws in proportion to a weight: hashed uniforms meet cumulative weights in equal-width buckets."""
-    total = df.agg(F.sum(weight).alias("_t"))
-    cum = running_total(df, [key], F.col(weight).cast("double"), "_lo").join(total, F.lit(True)).withColumn("_hi", (F.col("_lo") + F.col(weight)) / F.col("_t")).withColumn("_lo", F.col("_lo") / F.col("_t"))
-    buckets = 1024
-    spans = cum.where(F.col(weight) > 0).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") * buckets).cast("int"), F.least(F.lit(buckets - 1), F.floor(F.col("_hi") * buckets).cast("int")))))
-    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", uniform("draw", "draw", seed=seed)).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
-    return draws.join(spans, "_b").where("_u >= _lo AND _u < _hi").drop("_b", "_u", "_lo", "_hi", "_t")
+def draw_weights(df: DataFrame, score: str, how: str = "pow", power: float = 2.0, out: str = "weight") -> DataFrame:
+    """Adds a row's weight in a resampling by its score, at least 1e-8: pow |score|^power; max_min 1 at both extremes, else 0; max_random 0.4 at the maximum, else 0.1."""
+    s = F.col(score).cast("double")
+    if how == "pow":
+        return df.withColumn(out, F.pow(F.abs(s), F.lit(power)) + 1e-8)
+    ends = df.agg(F.min(s).alias("_min"), F.max(s).alias("_max"))
+    if how == "max_min":
+        weight = F.when((s == F.col("_max")) | (s == F.col("_min")), 1.0).otherwise(0.0)
+    elif how == "max_random":
+        weight = F.when(s == F.col("_max"), 0.4).otherwise(0.1)
+    else:
+        raise ValueError(how)
+    return df.join(ends, F.lit(True)).withColumn(out, weight + 1e-8).drop("_min", "_max")
+
+
+def weighted_draws(df: DataFrame, key: str, weight: str, n: int | None = None, seed: int = SEED) -> DataFrame:
+    """n draws (as many as rows, if not given) in proportion to a weight.
+
+    Weights are counted in 2^-50 of their sum, one unit at least, so that spans meet without gaps and each
+    draw falls into one. Spans and draws are dealt by place into written ranges; a draw takes the last span
+    that starts at or before it, and one span per range reaches the driver for the draws at the next one's start.
+    """
+    spark = df.sparkSession
+    n = df.count() if n is None else n
+    w = F.col(weight).cast("double")
+    total = df.where(w > 0).agg(F.sum(w).alias("_t"))
+    units = F.greatest(F.lit(1).cast("long"), F.floor(w / F.col("_t") * float(1 << 50)).cast("long"))
+    spans = running_total(df.where(w > 0).join(total, F.lit(True)).withColumn("_w", units).drop("_t"), [key], F.col("_w"), "_at")
+    size = spans.agg(F.sum("_w").alias("s")).first()["s"]
+    if not size:
+        return df.select(F.lit(0).cast("long").alias("draw"), "*").where("false")
+    u = F.conv(F.substring(order_key("draw", "draw", seed=seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_at", F.least(F.lit(size - 1), F.floor(u * size).cast("long")))
+    starts = spans.select("_at", F.lit(None).cast("long").alias("draw"), F.struct(*df.columns).alias("_row"))
+    marks = starts.unionByName(draws, allowMissingColumns=True).withColumn("_k", F.col("draw").isNotNull())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(spark, marks.repartitionByRange(parts, "_at", "_k").withColumn("_p", F.spark_partition_id()), "draws")
+    ends, carried, last = {r["_p"]: r["r"] for r in dealt.groupBy("_p").agg(F.max_by("_row", F.when(~F.col("_k"), F.col("_at"))).alias("r")).collect()}, [], None
+    for p in sorted(ends):
+        carried.append((p, last))
+        last = ends[p] or last
+    before = spark.createDataFrame(carried, T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_before", dealt.schema["_row"].dataType)]))
+    near = F.last("_row", ignorenulls=True).over(Window.partitionBy("_p").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_near", near).where("_k").join(before, "_p").select("draw", F.coalesce("_near", "_before").alias("_row")).select("draw", "_row.*")
 
 
 def weighted_mix(df: DataFrame, source: str, key: str, weights: dict[str, float], seed: int = SEED) -> DataFrame:

@@ -179,9 +179,10 @@ def mcq_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add()
 def resample_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many weighted draws with replacement as there are customers."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("w"))
-    return S.weighted_draws(rows, "c_custkey", "w", 2000).select("draw", "c_custkey")
+    """By each weighting as many draws with replacement as there are customers."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    parts = [S.weighted_draws(S.draw_weights(rows, "c_acctbal", how), "c_custkey", "weight").select(F.lit(how).alias("weighting"), "draw", "c_custkey") for how in ("pow", "max_min", "max_random")]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @catalog.add("""
