@@ -6,7 +6,7 @@ pieces against every dictionary; the smallest total wins, and the margin to the
 second smallest tells how sure that is.
 
 The dictionaries come from a bounded sample: per language about SAMPLE_DOCS
-documents chosen by the hash of their text, SNIPPET characters from the middle
+distinct texts chosen by their hash, SNIPPET characters from the middle
 of each. Half of the sample judges the other half, and snippets whose own
 language doesn't win are left out, since labels can be wrong. Everything else
 covers all documents.
@@ -101,9 +101,10 @@ def learn(sample: dict[str, list[str]]) -> dict[str, bytes]:
 
 
 def sample_texts(df: DataFrame, text: Column, lang: Column, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Snippets by language; the number of languages is checked, that of snippets bounded."""
+    """Snippets by language, of distinct texts; the number of languages is checked, that of snippets bounded."""
     rows = df.select(text.alias("t"), lang.cast("string").alias("l")).where("l IS NOT NULL AND length(t) > 0")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    texts = rows.select("l", F.xxhash64("t").alias("h")).distinct()
+    counts = {r["l"]: r["n"] for r in texts.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
