@@ -113,3 +113,7 @@ def test_every_draw_takes_one_row(spark):
     assert sum(n.values()) == 20000
     share = sum(n.get(k, 0) for k in range(201, 301)) / 20000
     assert share == pytest.approx(sum(range(201, 301)) / sum(range(1, 301)), abs=0.02)
+
+
+def test_pair_unpivot_carries_whole_texts(spark):
+    assert got(spark, "pair_unpivot") == wanted("SELECT doc_id, 'chosen', text FROM documents UNION ALL SELECT doc_id, 'rejected', lower(text) FROM documents")
