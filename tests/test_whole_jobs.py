@@ -1,5 +1,6 @@
 """Queries over whole tables and texts, held against SQL or brute force that is written here."""
 
+import math
 import re
 import string
 
@@ -117,3 +118,34 @@ def test_every_draw_takes_one_row(spark):
 
 def test_pair_unpivot_carries_whole_texts(spark):
     assert got(spark, "pair_unpivot") == wanted("SELECT doc_id, 'chosen', text FROM documents UNION ALL SELECT doc_id, 'rejected', lower(text) FROM documents")
+
+
+def regions(cells):
+    out, left = {}, set(cells)
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            x, y = todo.pop()
+            part.add((x, y))
+            near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & left
+            left -= near
+            todo.extend(near)
+        out |= dict.fromkeys(part, min(f"{x},{y}" for x, y in part))
+    return out
+
+
+def test_grid_regions_grow_with_the_table(spark):
+    parts = wanted("SELECT p_partkey, p_size FROM part")
+    width = math.ceil(math.sqrt(len(parts)))
+    cells = [(k // width, k % width) for k, size in parts if size > 18]
+    assert got(spark, "grid_regions") == sorted((*c, r) for c, r in regions(cells).items())
+    assert len(set(cells)) == len(cells)
+
+
+def test_room_distances_take_every_part(spark):
+    cells = {(k // 400, k % 400 // 20, k % 20) for k, size in wanted("SELECT p_partkey, p_size FROM part") if size > 12}
+    want = []
+    for room in {c[0] for c in cells}:
+        found = sft.flood({c[1:] for c in cells if c[0] == room}, min(c[1:] for c in cells if c[0] == room))
+        want += [(str(room), *state, n) for state, n in found.items()]
+    assert got(spark, "room_distances") == sorted(want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,5 +151,7 @@ WITH RECURSIVE c AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS x, p_partkey % 40
 r AS (SELECT x, y, x AS rx, y AS ry FROM c UNION SELECT c.x, c.y, r.rx, r.ry FROM r JOIN c ON abs(c.x - r.x) + abs(c.y - r.y) = 1)
 SELECT x, y, min(rx || ',' || ry) AS region FROM r GROUP BY x, y""")
 def grid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "part").where("p_size % 3 <> 0").select(F.col("p_size").cast("long").alias("x"), (F.col("p_partkey") % 40).alias("y"))
-    return G.grid_regions(cells)
+    """Parts in rows of a square as wide as the table needs; the small ones are walls."""
+    parts = table(spark, sf_dir, "part")
+    width = math.isqrt(max(parts.count(), 1) - 1) + 1
+    return G.grid_regions(parts.where("p_size > 18").selectExpr(f"p_partkey div {width} AS x", f"p_partkey % {width} AS y"))

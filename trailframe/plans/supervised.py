@@ -88,8 +88,9 @@ def action_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add()
 def room_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "part").where("p_size % 4 <> 0").select("p_brand", F.col("p_size").alias("x"), (F.col("p_partkey") % 10).alias("y"))
-    return sft.room_distances(cells, "p_brand")
+    """Every 400 parts are a room of 20 by 20 cells; the small ones are walls."""
+    cells = table(spark, sf_dir, "part").where("p_size > 12").selectExpr("p_partkey div 400 AS room", "p_partkey % 400 div 20 AS x", "p_partkey % 20 AS y")
+    return sft.room_distances(cells, "room")
 
 
 @catalog.add(f"""
