@@ -11,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.storage import cut
-
-MAX_ROUNDS = 100
+from trailframe.storage import cut, discard
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -29,15 +27,19 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a long, b long) in any order, self-loops allowed. Rows (node, root): root is the component's least node."""
+    """edges: (a long, b long) in any order, self-loops allowed. Rows (node, root): root is the component's least node.
+
+    The rounds end by themselves, after about the square of the logarithm of the nodes.
+    """
     spark = edges.sparkSession
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = cut(spark, edges, "edges")
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (row["n"], row["x"]) == seen or not row["n"]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = (row["n"], row["x"])
-        edges = cut(spark, _star(_star(edges, small=False), small=True), "edges")
-    raise RuntimeError("components did not settle")
+        after = cut(spark, _star(_star(edges, small=False), small=True), "edges")
+        discard(edges)
+        edges = after
