@@ -20,7 +20,7 @@ def lines_brute(rows, min_chars=40, min_docs=5):
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                held.setdefault(k, []).append(i)
+                held.setdefault(k, set()).add(i)
     last = {k: max((i for i in v if i is not None), default=None) for k, v in held.items() if len(v) >= min_docs}
     out = []
     for i, t in rows:
@@ -42,6 +42,22 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_count_documents_not_rows(spark):
+    line = "a line of more than forty characters, in rows that repeat ids"
+    rows = [(1, line)] * 3 + [(2, line)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.dedup_lines(df).collect())) == lines_brute(rows) == sorted((i, t, 1, 0) for i, t in rows)
+    rows += [(3, f"{line}\nx\n{line}"), (4, line), (4, "other"), (None, line), (None, f"y\n{line}"), (5, f"{line}\n" * 4)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == lines_brute(rows)
+
+
+def test_very_many_dropped_lines_take_linear_time(spark):
+    lines = [f"line {i} of a text that is as long as it has to be" for i in range(100_000)]
+    df = spark.createDataFrame([(i, "\n".join(lines)) for i in range(5)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect()) == [(i, 100_000) for i in range(4)] + [(4, 0)]
+
+
 def shingles(t, size):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP))
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])

@@ -1,16 +1,19 @@
 """Line dedup with DataFrame functions only.
 
-Lines are normalised and hashed (two 64-bit hashes), each distinct hash of a
-document becomes one row, documents are counted per hash with map-side partial
-sums, and a line goes if its key is long enough, stands in enough documents and
-this is not the largest document id that holds it. The keys to drop are joined
-back to the documents, whose lines keep their order and their original bytes.
-
-Defined cases: null or empty text is one empty line; every row counts as a
-document, so rows that repeat a doc_id count each, and all rows of the largest
-doc_id keep the line; a null doc_id is smaller than any other; line length has
-no limit; an empty table gives an empty result; columns other than the id and
-the text are ignored, whatever their names.
+Lines are exploded with their position and normalised; each key that is long
+enough becomes one row (document, position, two 64-bit hashes), written once.
+Hashes that fewer rows than the threshold hold are out by a count with map-side
+partial sums; for the others distinct documents are counted, and the largest
+document id that holds each. Positions to drop are collected per document, and
+the lines between them are put together again in order, in linear time, with
+their original bytes.
+
+Defined cases: null or empty text is one empty line; rows that repeat a doc_id
+are one document when documents are counted, each keeps and drops its own lines,
+and all rows of the largest doc_id keep the line; rows without a doc_id are one
+document, smaller than any other; line length and the number of lines have no
+limit; an empty table gives an empty result; columns other than the id and the
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,39 +35,41 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_STRIP)), _UP, _UP.lower())
+    key = F.btrim(line, F.lit(_STRIP))
+    # both forms agree on ASCII, where the first one is faster
+    return F.when(F.octet_length(key) == F.char_length(key), F.lower(key)).otherwise(F.translate(key, _UP, _UP.lower()))
 
 
-def _hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
-
-
-def _hashes(text: Column, min_chars: int) -> Column:
-    """Of each line: the key's hash, or null where the key is short."""
-    return F.transform(_lines(text), lambda x: F.when(F.char_length(x) >= min_chars, _long(x, min_chars)))
-
-
-def _long(line: Column, min_chars: int) -> Column:
-    key = _key(line)
-    return F.when(F.char_length(F.btrim(line, F.lit(_STRIP))) >= min_chars, _hash(key))
+def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
+    """docs: (k, t). Rows (k, u, pos, a, b) for each line whose key has min_chars code points; u is the text's hash."""
+    hashed = docs.select("k", "t", F.xxhash64("t").alias("u"))  # before the lines: once for each text
+    lines = hashed.select("k", "u", F.posexplode(_lines(F.col("t"))).alias("pos", "line"))
+    keys = lines.where(F.octet_length("line") >= min_chars).select("k", "u", "pos", _key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keys.select("k", "u", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, text kept, n_lines, n_dropped, rest), one per input row; rest is a struct of the carried columns, if any."""
+    spark = df.sparkSession
     rest = [F.struct(*(df[c] for c in carry)).alias("rest")] if carry else []
     docs = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"), *rest)
-    keys = docs.select("k", F.explode(F.array_distinct(F.filter(_hashes(F.col("t"), min_chars), lambda h: h.isNotNull()))).alias("h"))
-    common = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
-    # written, so that the join sees its size and can split a line that very many documents hold
-    common = cut(df.sparkSession, common, "common")
-    drop = keys.join(common, "h").where(~F.col("k").eqNullSafe(F.col("last"))).groupBy(F.col("k").alias("d")).agg(F.collect_set("h").alias("drop"))
-    joined = docs.join(drop, F.col("k").eqNullSafe(F.col("d")), "left")
-    lines = _lines(F.col("t"))
-    marked = F.arrays_zip(lines.alias("line"), _hashes(F.col("t"), min_chars).alias("h"))
-    kept = F.transform(F.filter(marked, lambda x: x["h"].isNull() | ~F.array_contains(F.col("drop"), x["h"])), lambda x: x["line"])
+    keys = cut(spark, line_keys(docs.select("k", "t"), min_chars), "lines")
+    # written, so that the joins see their sizes and can split a line that very many documents hold
+    often = cut(spark, keys.groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b"), "often")
+    held = cut(spark, keys.join(often, ["a", "b"]), "held")
+    common = held.select("a", "b", "k").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last")).where(F.col("n") >= min_docs).select("a", "b", "last")
+    common = cut(spark, common, "common")
+    drop = held.join(common, ["a", "b"]).where(~F.col("k").eqNullSafe(F.col("last")))
+    drop = drop.groupBy(F.col("k").alias("d"), F.col("u").alias("v")).agg(F.collect_set("pos").alias("drop"))
+    joined = docs.withColumn("u", F.xxhash64("t")).join(drop, (F.col("u") == F.col("v")) & F.col("k").eqNullSafe(F.col("d")), "left")
     more = ["rest"] if carry else []
-    result = joined.select("k", *more, F.when(F.col("drop").isNull(), lines).otherwise(kept).alias("kept"), F.size(lines).cast("long").alias("n_lines"))
-    return result.select(F.col("k").alias(id_col), F.array_join("kept", "\n").alias(text_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *more)
+    # the lambda below must find the lines as a column: an expression would be split again for each of its steps
+    split = joined.select("k", *more, "t", "drop", F.explode(F.array(_lines(F.col("t")))).alias("line"))
+    size = F.size("line")
+    stay = F.array_except(F.sequence(F.lit(0), size - 1), "drop")  # by a hash set, in order
+    text = F.when(F.col("drop").isNull(), F.coalesce("t", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("line", i)), "\n"))
+    result = split.select("k", *more, text.alias("kept"), size.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return result.select(F.col("k").alias(id_col), F.col("kept").alias(text_col), "n_lines", "n_dropped", *more)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
