@@ -1,15 +1,18 @@
 """Exact top-k and chat formatting."""
 
 import hashlib
+import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from trailframe.llm import chat_format, exact_topk
 
 
 def brute(rows, every, k, scale=256):
-    ok = [(i, np.floor(np.array(v, float) * scale).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.array([math.floor(Fraction(x) * scale) for x in v], object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out, seen = [], set()
     for i, q in sorted(ok, key=lambda x: (len(x[1]), x[0], x[1].tolist())):
         if i % every or (len(q), i) in seen:
@@ -38,6 +41,43 @@ def test_topk_of_huge_components_and_few_rows(spark):
     assert exact_topk.topk(spark.createDataFrame([], "vec_id long, embedding array<double>"), 2, 5).count() == 0
 
 
+def test_topk_of_components_beyond_long_and_of_scores_that_do_not_fit(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [0.0, 1.0]), (1, [1e17, 0.0]), (2, [0.0, 3.0]), (3, [1e300, 5.0]), (5, [1.7e308, -2.0])]
+    got = sorted(tuple(r) for r in exact_topk.topk(spark.createDataFrame(rows, schema), 10, 5).collect())
+    assert got == brute(rows, 10, 5) and len(got) == 4
+    with pytest.raises(Exception, match="(?i)overflow|too large|too big|int64|convert"):
+        exact_topk.topk(spark.createDataFrame([(0, [1e17, 0.0]), (1, [1e17, 0.0])], schema), 10, 5).collect()
+
+
+def test_the_cutoff_leaves_most_pairs_unresolved():
+    rng = np.random.default_rng(3)
+    rows = np.floor(256 * rng.normal(size=(20, 64))[rng.integers(0, 20, 4000)] + 40 * rng.normal(size=(4000, 64)))
+    queries, other = rows[:32], np.ones((32, 4000), bool)
+    exact = queries @ rows.T
+    q, r, score = exact_topk.lists_of(queries, rows, other, 5, 4)
+    assert (exact[q, r] == score).all()
+    t = np.array([np.sort(score[q == i])[-5] for i in range(32)])
+    q, r, score, work = exact_topk.resolve_tile(queries, rows, other, t, 4)
+    assert (exact[q, r] == score).all() and {*zip(*np.nonzero(exact >= t[:, None]))} <= {*zip(q, r)}
+    assert len(q) < 0.1 * exact.size and work < 0.6 * 4 * exact.size
+
+
+def test_repeated_turns_are_ordered_across_partitions(spark):
+    rows = [(1, 3, f"role{i % 7}" + "x" * (40 * (i % 2)), "same beginning of the text " * (i % 3) + f"{i * 7919 % 3000}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat_format.digests(chat_format.format_turns(df)).collect()
+    assert [tuple(r)[1:5] for r in got] == [expected(sorted((t, r, x) for _, t, r, x in rows))]
+
+
+def test_digests_of_no_rows_and_of_one_very_long_text(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert chat_format.digests(chat_format.format_turns(spark.createDataFrame([], schema))).count() == 0
+    rows = [(1, 0, "assistant", "é<|x " * 1_500_000), (1, 1, "user", "b")]
+    got = chat_format.digests(chat_format.format_turns(spark.createDataFrame(rows, schema))).collect()
+    assert [tuple(r)[1:5] for r in got] == [expected([r[1:] for r in rows])]
+
+
 def expected(turns):
     text = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in turns)
     loss = "".join(t or "" for _, r, t in turns if r == "assistant")

@@ -4,18 +4,23 @@ A vector's dimensions are split into m lists, so a score is a sum of m partial
 scores. For a block of queries:
 
 1. every task gathers, per query and list, its k highest partial scores; the
-   entries' full scores give a lower bound t of the k-th best score;
+   full scores of these entries give a lower bound t of the k-th best score;
 2. the safe cutoff t / m goes out with the queries: a row that scores t or more
-   must reach t / m in some list, so the entries at or above it suffice;
-3. a row's upper bound takes t / m for lists below the cutoff; rows whose bound
-   reaches t are resolved exactly, and each task returns its k best.
+   must reach t / m in some list. Lists are taken one after the other; one whose
+   product of norms stays below the cutoff is not computed, an entry below the
+   cutoff counts as the cutoff in the row's upper bound, lists to come count with
+   the product of norms, and a row that can't reach t for any query of a tile is
+   not looked at again;
+3. rows with an entry whose upper bound reaches t are resolved: the partial
+   scores still missing are computed for just these pairs.
 
 Queries are taken in id order in blocks of QUERY_BLOCK, the only thing that is
-broadcast or held on the driver; every block scans all rows once per phase, and
-its k best rows per query go to the shared folder. No pairs are materialised.
+broadcast or held on the driver; every block scans the written vectors once per
+phase, and its k best rows per query go to the shared folder. No pairs are
+materialised.
 
 Scores are exact: integer products in float64 while below 2**53, otherwise in
-Python integers, with an error if a score doesn't fit a long.
+Python integers, with an error if a score of the result doesn't fit a long.
 
 Defined cases: vectors that are null, hold null or non-finite components, or
 have another length than the query's, take no part; queries without candidates
@@ -35,146 +40,194 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailframe.llm._text import read
-from trailframe.storage import shared_dir
+from trailframe.storage import cut, discard, shared_dir
 
 LISTS = 4
 QUERY_BLOCK = 2048
+#: Queries in a tile, for which a row is dropped or kept together.
+TILE = 64
 ROWS = 1024
 _EXACT = float(1 << 53)
+_SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors in id order, a bounded number of rows at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], width: int, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and integer vectors in id order, a bounded number of rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            vectors = part.column(1)
-            length = np.asarray(vectors.value_lengths())
-            if (length != width).any():
-                part = part.filter(pa.array(length == width))
-                vectors = part.column(1)
+            part = part.filter(pa.array(np.asarray(part.column(1).value_lengths()) == width))
             ids = np.asarray(part.column(0))
             order = np.argsort(ids, kind="stable")
             if len(ids):
-                yield ids[order], np.asarray(vectors.flatten()).reshape(len(ids), width)[order]
-
-
-def _partials(queries: np.ndarray, rows: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Partial scores (queries x rows) of each list of dimensions."""
-    cuts = np.linspace(0, queries.shape[1], lists + 1).astype(int)
-    top = max(1.0, float(np.abs(queries).max(initial=0))) * max(1.0, float(np.abs(rows).max(initial=0))) * queries.shape[1]
-    kind = np.float64 if top < _EXACT else object
-    q, r = queries.astype(kind), rows.astype(kind)
-    return [q[:, a:b] @ r[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the places of its k highest scores, ties to smaller ids; -inf takes no part. ids ascend."""
-    out = []
-    for row in scores:
-        if row.dtype != object and len(row) > 4 * k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            at = np.flatnonzero(row >= least)
-        else:
-            at = np.arange(len(row))
-        at = at[row[at] > -np.inf]
-        out.append(at[np.argsort(-row[at], kind="stable")][:k])
+                yield ids[order], integers(np.asarray(part.column(1).flatten()).reshape(len(ids), width)[order], scale)
+
+
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), as float64 where that is exact, otherwise as Python integers."""
+    with np.errstate(over="ignore"):
+        v = np.floor(x * scale)
+    if np.abs(v).max(initial=0) < _EXACT:
+        return v
+    whole = [int(y) if np.isfinite(y) else int(z) * scale for y, z in zip(v.reshape(-1).tolist(), x.reshape(-1).tolist())]
+    return np.array(whole, object).reshape(x.shape)
+
+
+def _cuts(width: int, lists: int) -> list[tuple[int, int]]:
+    at = np.linspace(0, width, lists + 1).astype(int).tolist()
+    return list(zip(at[:-1], at[1:]))
+
+
+def _together(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the kind of number that keeps their scores exact."""
+    if queries.dtype != object and rows.dtype != object:
+        top = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(rows).max(initial=0)) * queries.shape[1]
+        if top < _EXACT:
+            return queries, rows
+    exact = [x if x.dtype == object else np.array([int(y) for y in x.reshape(-1).tolist()], object).reshape(x.shape) for x in (queries, rows)]
+    return exact[0], exact[1]
+
+
+def _top_places(part: np.ndarray, k: int) -> np.ndarray:
+    """Whether each entry is among the k highest of its row; some k of equal ones."""
+    out = np.zeros(part.shape, bool)
+    if part.shape[1] <= k:
+        out[:] = True
+    elif part.dtype == object:
+        for row, mark in zip(part, out):
+            mark[sorted(range(len(row)), key=row.__getitem__)[-k:]] = True
+    else:
+        np.put_along_axis(out, np.argpartition(part, part.shape[1] - k, axis=1)[:, -k:], True, axis=1)
     return out
 
 
 class _Keep:
-    """The k best of each query so far."""
+    """The k best (query, id, score) of each query so far; ties to smaller ids."""
 
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.best = k, [(np.zeros(0, np.int64), np.zeros(0, object)) for _ in range(n)]
+    def __init__(self, k: int) -> None:
+        self.k, self.rows = k, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for q, at in enumerate(_best(scores, ids, self.k)):
-            if len(at):
-                i, s = self.best[q]
-                i, s = np.concatenate([i, ids[at]]), np.concatenate([s, scores[q][at].astype(object)])
-                order = np.lexsort((i, -s.astype(float))) if s.astype(float).max() < _EXACT else np.array(sorted(range(len(i)), key=lambda x: (-s[x], i[x])))
-                self.best[q] = i[order[: self.k]], s[order[: self.k]]
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        q, i, s = (np.concatenate([a, b]) for a, b in zip(self.rows, (query, ids, score)))
+        if s.dtype == object:
+            order = np.array(sorted(range(len(q)), key=lambda x: (q[x], -s[x], i[x])), np.int64)
+        else:
+            order = np.lexsort((i, -s, q))
+        first = np.searchsorted(q[order], q[order])
+        order = order[np.arange(len(order)) - first < self.k]
+        self.rows = [q[order], i[order], s[order]]
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        count = [len(i) for i, _ in self.best]
-        ids = np.concatenate([i for i, _ in self.best]) if count else np.zeros(0, np.int64)
-        score = [int(x) for _, s in self.best for x in s]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, count)), pa.array(ids, pa.int64()), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
-
-
-def _block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, lists: int) -> DataFrame:
+        q, i, s = self.rows
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(i), pa.array([int(x) for x in s], pa.int64())], names=["query_id", "vec_id", "score"])
+
+
+def lists_of(queries: np.ndarray, rows: np.ndarray, other: np.ndarray, k: int, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1: (query, row, score) of the k highest entries of each query and list; `other` marks the pairs that count."""
+    queries, rows = _together(queries, rows)
+    parts = [queries[:, a:b] @ rows[:, a:b].T for a, b in _cuts(queries.shape[1], lists)]
+    seen = np.zeros(other.shape, bool)
+    for part in parts:
+        seen |= _top_places(np.where(other, part, -np.inf), k)
+    q, r = np.nonzero(seen & other)
+    return q, r, sum(part[q, r] for part in parts)
+
+
+def resolve_tile(queries: np.ndarray, rows: np.ndarray, other: np.ndarray, t: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases 2 and 3: (query, row, score) of all pairs that score t or more, some below, and the number of partial scores computed."""
+    queries, rows = _together(queries, rows)
+    cuts = _cuts(queries.shape[1], lists)
+    if queries.dtype == object or not np.isfinite(t).all():
+        q, r = np.nonzero(other)
+        score = sum(queries[:, a:b] @ rows[:, a:b].T for a, b in cuts)[q, r]
+        keep = np.array([s >= x for s, x in zip(score, t[q])], bool)
+        return q[keep], r[keep], score[keep], lists * other.size
+    t = t[:, None]
+    slack = 1e-6 * (1 + np.abs(t))  # rounding of the bounds must not lose a row
+    share = t / lists - slack
+    most = [np.sqrt((queries[:, a:b] ** 2).sum(1))[:, None] * np.sqrt((rows[:, a:b] ** 2).sum(1)) * (1 + 1e-9) for a, b in cuts]
+    bound = sum(most)
+    alive = other & (bound >= t - slack)
+    entry = np.zeros(other.shape, bool)
+    total = np.zeros(other.shape)
+    missing, work = [], 0
+    for (a, b), cap in zip(cuts, most):
+        live = np.flatnonzero((alive & (cap >= share)).any(0))
+        work += len(queries) * len(live)
+        part = queries[:, a:b] @ rows[live, a:b].T
+        over = part >= share
+        entry[:, live] |= over
+        total[:, live] += part
+        bound[:, live] += np.where(over, part, np.minimum(share + slack, cap[:, live])) - cap[:, live]
+        alive &= bound >= t - slack
+        left = np.ones(rows.shape[0], bool)
+        left[live] = False
+        missing.append(left)
+    q, r = np.nonzero(alive & entry)
+    score = total[q, r]
+    for (a, b), left in zip(cuts, missing):
+        at = np.flatnonzero(left[r])
+        work += len(at)
+        score[at] += np.einsum("ij,ij->i", queries[q[at], a:b], rows[r[at], a:b])
+    return q, r, score, work
+
+
+def _block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, lists: int, scale: int) -> DataFrame:
     spark = rows.sparkSession
-    width = queries.shape[1]
-    shared = spark.sparkContext.broadcast((ids, queries))
+    width = vectors.shape[1]
+    shared = spark.sparkContext.broadcast((ids, integers(vectors, scale)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1: full scores of each list's k best entries, k best per query."""
         query_ids, queries = shared.value
-        keep = _Keep(len(query_ids), k)
-        for vec_ids, vectors in _chunks(batches, width):
-            parts = _partials(queries, vectors, lists)
-            total = sum(parts)
-            other = query_ids[:, None] != vec_ids
-            seen = np.zeros(total.shape, bool)
-            for part in parts:
-                for q, at in enumerate(_best(np.where(other, part, -np.inf), vec_ids, k)):
-                    seen[q, at] = True
-            keep.add(np.where(seen, total, -np.inf), vec_ids)
+        keep = _Keep(k)
+        for vec_ids, own in _chunks(batches, width, scale):
+            q, r, score = lists_of(queries, own, query_ids[:, None] != vec_ids, k, lists)
+            keep.add(q, vec_ids[r], score)
         yield keep.batch(query_ids)
 
-    schema = "query_id bigint, vec_id bigint, score bigint"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    low = rows.mapInArrow(gather, schema).withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", "score").collect()  # a row for each query of the block at most
+    low = rows.mapInArrow(gather, _SCHEMA).withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", "score").collect()  # a row for each query of the block at most
     bound = {r["query_id"]: r["score"] for r in low}
     cutoff = spark.sparkContext.broadcast([bound.get(int(i)) for i in ids])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phases 2 and 3: entries at or above the cutoff, then exact scores of rows whose bound reaches t."""
         query_ids, queries = shared.value
-        t = np.array([-np.inf if x is None else x for x in cutoff.value], object if any(abs(x or 0) >= _EXACT for x in cutoff.value) else float)[:, None]
-        keep = _Keep(len(query_ids), k)
-        for vec_ids, vectors in _chunks(batches, width):
-            parts = _partials(queries, vectors, lists)
-            share = t / lists
-            reach = np.zeros(parts[0].shape, bool)
-            upper = 0.0
-            for part in parts:
-                over = part >= share
-                reach |= over
-                upper = upper + np.where(over, part, share)
-            # the bound's rounding must not lose a row
-            reach &= (upper >= t - 1e-6 * (1 + abs(t))) & (query_ids[:, None] != vec_ids)
-            if reach.any():
-                keep.add(np.where(reach, sum(parts), -np.inf), vec_ids)
+        big = any(abs(x or 0) >= _EXACT for x in cutoff.value)
+        t = np.array([-np.inf if x is None else x for x in cutoff.value], object if big else float)
+        open_, closed = ([i for i, x in enumerate(cutoff.value) if (x is None or big) == none] for none in (True, False))
+        tiles = [np.array(part[i : i + TILE]) for part in (open_, closed) for i in range(0, len(part), TILE)]
+        keep = _Keep(k)
+        for vec_ids, own in _chunks(batches, width, scale):
+            for tile in tiles:
+                q, r, score, _ = resolve_tile(queries[tile], own, query_ids[tile][:, None] != vec_ids, t[tile].astype(float) if not big else t[tile], lists)
+                if len(q):
+                    keep.add(tile[q], vec_ids[r], score)
         yield keep.batch(query_ids)
 
-    return rows.mapInArrow(resolve, schema)
+    return rows.mapInArrow(resolve, _SCHEMA)
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """Rows (i, v): floor(scale * x) of each component; unusable vectors are left out."""
-    v: Column = F.transform(df[vector_col].cast("array<double>"), lambda x: x * scale)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 9e18))
-    return df.select(df[id_col].cast("long").alias("i"), v.alias("v")).where(F.col("i").isNotNull() & F.coalesce(fine, F.lit(False))).select("i", F.transform("v", lambda x: F.floor(x)).alias("v"))
+def finite_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows (i, v array<double>); unusable vectors are left out."""
+    v: Column = df[vector_col].cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return df.select(df[id_col].cast("long").alias("i"), v.alias("v")).where(F.col("i").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def topk(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lists: int = LISTS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k highest of all other rows for each id divisible by `every`."""
     spark: SparkSession = df.sparkSession
-    rows = integer_vectors(df, id_col, vector_col, scale)
+    rows = cut(spark, finite_vectors(df, id_col, vector_col), "vectors")
     path = shared_dir(spark, "topk")
-    schema = "query_id bigint, vec_id bigint, score bigint"
-    spark.createDataFrame([], schema).write.parquet(path)
-    width = F.size("v")
-    queries = rows.where(F.col("i") % every == 0).orderBy(width, "i", "v").toLocalIterator()
+    spark.createDataFrame([], _SCHEMA).write.parquet(path)
+    queries = rows.where(F.col("i") % every == 0).orderBy(F.size("v"), "i", "v").toLocalIterator()
     ids: list[int] = []
-    vectors: list[list[int]] = []
+    vectors: list[list[float]] = []
     seen = None
 
     def flush() -> None:
         if ids:
-            _block(rows, np.array(ids, np.int64), np.array(vectors, np.int64), k, lists).write.mode("append").parquet(path)
+            _block(rows, np.array(ids, np.int64), np.array(vectors, float).reshape(len(ids), -1), k, lists, scale).write.mode("append").parquet(path)
             ids.clear()
             vectors.clear()
 
@@ -186,8 +239,9 @@ def topk(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col:
             ids.append(row["i"])
             vectors.append(row["v"])
     flush()
+    discard(rows)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(_SCHEMA).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
