@@ -110,3 +110,48 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds(spark, f"client_id = robot7 key {BLOB} at https://host.example/v1") == ["ident", "secret", "endpoint"]
     assert kinds(spark, f"{KEY} at https://host.example/v1") == ["access"]
     assert kinds(spark, f"see https://host.example/v1 {gap} client_id = robot7 password = hunter2hunter") == ["ident", "assign"]
+    # one value is one part
+    value = "Ab3" * 21
+    assert kinds(spark, f"client_id={value}") == []
+    assert kinds(spark, f"key_id: {'Z' * 45}") == []
+    assert kinds(spark, f"https://host.example/{value} client_id = robot7") == []
+    assert kinds(spark, f"token={KEY} https://host.example/v1") == ["assign", "access"]
+    assert kinds(spark, f"token={KEY} https://host.example/v1 password = hunter2hunter") == ["assign", "access", "endpoint", "assign"]
+
+
+def links_brute(spans, scope):
+    """spans: (kind, start, end). By the definition: every pair of a document's parts."""
+    over = lambda a, b: a != b and a[1] < b[2] and b[1] < a[2]
+    gap = lambda a, b: max(b[1] - a[2], a[1] - b[2])
+    base = [s for s in spans if s[0] < 3]
+    weak = [s for s in spans if s[0] > 2 and not any(over(s, b) for b in base)]
+    weak = [s for s in weak if not any(over(s, w) and (w[1], w[0]) < (s[1], s[0]) for w in weak)]
+    identifiers = [s for s in base + weak if s[0] in (1, 3)]
+    hidden = [s for s in base + weak if s[0] == 4 or s[0] in (0, 2) and not any(over(s, b) for b in base if b[0] == 1)]
+    near = lambda s, parts: any(0 <= gap(s, p) <= scope for p in parts if p != s)
+    need = {3: [hidden], 4: [identifiers], 5: [identifiers, hidden]}
+    return sorted(base + [s for s in weak if all(near(s, parts) for parts in need[s[0]])])
+
+
+def test_links_equal_the_definition(spark):
+    rng = random.Random(9)
+    docs = {}
+    for k in range(300):
+        spans, at = [], dict.fromkeys(range(6), 0)
+        for _ in range(rng.randint(0, 9)):
+            kind = rng.randrange(6)
+            start = at[kind] + rng.randint(0, 25)
+            at[kind] = start + rng.randint(1, 12)  # spans of one kind never overlap
+            spans.append((kind, start, at[kind]))
+        docs[k] = spans
+    parts = spark.createDataFrame([(k, k, *s) for k, spans in docs.items() for s in spans], "k long, h long, kind int, start long, end long")
+    got = {k: [] for k in docs}
+    for r in secrets.link_parts(parts, 8).collect():
+        got[r["k"]].append((r["kind"], r["start"], r["end"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: links_brute(v, 8) for k, v in docs.items()}
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = f"{KEY} {'word ' * 200_000}" * 3
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
+    assert [(s["start"], s["kind"], s["end"]) for s in got] == spans_brute(text)

@@ -11,12 +11,15 @@ scan. Running sums over the pieces give code-point spans. Kinds, as listed:
     secret    run of 40 or more base64 characters (weak secret)
     endpoint  URL with a host (weak)
 
-The first three are reported always. The weak ones are linked by an interval
-join within a scope of SCOPE code points: an `ident` needs a secret part
-(assign, hex, secret), a `secret` an identifier (access, ident), an `endpoint`
-both. As only the existence of a partner counts, the join looks at the nearest
-partner before and after, by two sorted passes over a document's parts, and
-never makes pairs. Weak spans that overlap a base span are not reported.
+The first three are reported always. A weak span that overlaps one of them is
+dropped, and so is one that overlaps a weak span before it (by start, then in
+the order above): one value is one part. Identifiers are `access` and `ident`;
+secrets are `secret`, and those of `assign` and `hex` that don't overlap an
+`access`. The weak spans left are linked by an interval join within a scope of
+SCOPE code points: an `ident` needs a secret, a `secret` an identifier, an
+`endpoint` both. As only the existence of a partner counts, the join looks at
+the nearest partner before and after, by two sorted passes over a document's
+parts, and never makes pairs.
 
 Defined cases: null text counts as empty; rows that repeat an id and a text
 give repeated results; texts are never cut and the work is linear in them and
@@ -93,19 +96,27 @@ def secret_parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Base spans, and the weak ones whose complementary parts stand within the scope."""
     kind = F.col("kind")
-    identifier, secret, base = kind.isin(1, 3), kind.isin(0, 2, 4), kind < 3
+    base = kind < 3
     ahead = Window.partitionBy("k", "h").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("k", "h").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
 
+    def before(of: Column) -> Column:
+        return F.max(F.when(of, F.col("end"))).over(ahead)
+
+    def after(of: Column) -> Column:
+        return F.min(F.when(of, F.col("start"))).over(behind)
+
+    def overlaps(of: Column) -> Column:
+        return F.coalesce(before(of) > F.col("start"), F.lit(False)) | F.coalesce(after(of) < F.col("end"), F.lit(False))
+
     def near(of: Column) -> Column:
-        """Some part of the kind ends or begins within the scope."""
-        before = F.max(F.when(of, F.col("end"))).over(ahead)
-        after = F.min(F.when(of, F.col("start"))).over(behind)
-        return F.coalesce(F.col("start") - before <= scope, F.lit(False)) | F.coalesce(after - F.col("end") <= scope, F.lit(False))
-
-    covered = F.coalesce(F.max(F.when(base, F.col("end"))).over(ahead) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(behind) < F.col("end"), F.lit(False))
-    rows = parts.withColumns({"by_id": near(identifier), "by_secret": near(secret), "covered": covered})
-    keep = base | ~F.col("covered") & F.when(kind == 3, F.col("by_secret")).when(kind == 4, F.col("by_id")).otherwise(F.col("by_id") & F.col("by_secret"))
+        return F.coalesce(F.col("start") - before(of) <= scope, F.lit(False)) | F.coalesce(after(of) - F.col("end") <= scope, F.lit(False))
+
+    rows = parts.withColumns({"covered": overlaps(base), "one": overlaps(kind == 1)}).where(base | ~F.col("covered"))
+    rows = rows.withColumn("second", F.coalesce(before(~base) > F.col("start"), F.lit(False))).where(base | ~F.col("second"))
+    secret = (kind == 4) | kind.isin(0, 2) & ~F.col("one")
+    rows = rows.withColumns({"by_id": near(kind.isin(1, 3)), "by_secret": near(secret)})
+    keep = base | F.when(kind == 3, F.col("by_secret")).when(kind == 4, F.col("by_id")).otherwise(F.col("by_id") & F.col("by_secret"))
     return rows.where(keep).select("k", "h", "kind", "start", "end")
 
 
@@ -147,12 +158,14 @@ x AS (SELECT doc_id, kind, marks, unnest(a) AS piece, unnest(range(1, len(a) + 1
 y AS (SELECT doc_id, kind, i, strpos(piece, chr(3)) AS shut, strpos(piece, chr(2)) AS mid, marks,
   sum(length(piece) - CASE WHEN i = 1 THEN 0 ELSE marks END) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM x),
 p AS (SELECT doc_id, kind, CAST(start AS BIGINT) AS start, CAST(start + shut - marks AS BIGINT) AS fin FROM y WHERE i > 1 AND (kind > 0 OR shut - mid > 6)),
-near AS (SELECT a.doc_id, a.kind, a.start, a.fin,
-  bool_or(b.kind IN (1, 3) AND (a.start - b.fin <= {SCOPE} AND (b.start, b.kind) < (a.start, a.kind) OR b.start - a.fin <= {SCOPE} AND (b.start, b.kind) > (a.start, a.kind))) AS by_id,
-  bool_or(b.kind IN (0, 2, 4) AND (a.start - b.fin <= {SCOPE} AND (b.start, b.kind) < (a.start, a.kind) OR b.start - a.fin <= {SCOPE} AND (b.start, b.kind) > (a.start, a.kind))) AS by_secret,
-  bool_or(b.kind < 3 AND (b.fin > a.start AND (b.start, b.kind) < (a.start, a.kind) OR b.start < a.fin AND (b.start, b.kind) > (a.start, a.kind))) AS covered
-  FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND (a.start, a.kind) <> (b.start, b.kind) GROUP BY ALL),
-k AS (SELECT * FROM near WHERE kind < 3 OR NOT coalesce(covered, false) AND coalesce(CASE kind WHEN 3 THEN by_secret WHEN 4 THEN by_id ELSE by_id AND by_secret END, false))
+o AS (SELECT a.doc_id, a.kind, a.start, a.fin, coalesce(bool_or(b.kind < 3), false) AS covered, coalesce(bool_or(b.kind = 1), false) AS one
+  FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND (a.start, a.kind) <> (b.start, b.kind) AND b.start < a.fin AND a.start < b.fin GROUP BY ALL),
+w AS (SELECT * FROM o WHERE kind < 3 OR NOT covered),
+v AS (SELECT a.* FROM w a WHERE a.kind < 3 UNION ALL
+  SELECT a.* FROM w a ANTI JOIN w b ON a.doc_id = b.doc_id AND b.kind > 2 AND (b.start, b.kind) < (a.start, a.kind) AND b.fin > a.start WHERE a.kind > 2),
+near AS (SELECT a.doc_id, a.kind, a.start, a.fin, coalesce(bool_or(b.kind IN (1, 3)), false) AS by_id, coalesce(bool_or(b.kind = 4 OR b.kind IN (0, 2) AND NOT b.one), false) AS by_secret
+  FROM v a LEFT JOIN v b ON a.doc_id = b.doc_id AND (a.start - b.fin BETWEEN 0 AND {SCOPE} OR b.start - a.fin BETWEEN 0 AND {SCOPE}) GROUP BY ALL),
+k AS (SELECT * FROM near WHERE CASE kind WHEN 3 THEN by_secret WHEN 4 THEN by_id WHEN 5 THEN by_id AND by_secret ELSE true END)
 SELECT documents.doc_id, CAST(count(*) FILTER (WHERE kind = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (WHERE kind = 1) AS BIGINT) AS n_access, CAST(count(*) FILTER (WHERE kind = 2) AS BIGINT) AS n_hex,
   sha256({text} FILTER (WHERE kind < 3), '')) AS base_sha256, {text} FILTER (WHERE kind IS NOT NULL), '') AS spans
 FROM documents LEFT JOIN k ON documents.doc_id = k.doc_id GROUP BY documents.doc_id
