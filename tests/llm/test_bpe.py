@@ -40,6 +40,35 @@ def test_ids_and_text_equal_the_library(library, kind):
             assert data[at[i] : at[i + 1]].tobytes().decode() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("kind", ["numpy", "library"])
+def test_ids_equal_the_library_over_all_code_points(library, kind):
+    own = bpe.encoder(bpe.model_bytes(), kind)
+    part = [f"a{chr(c)}b" for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    own.clear()
+    want = library.encode_batch(part, add_special_tokens=False)
+    for i in range(0, len(part), 100_000):
+        ids, off = own.encode(*utf8(pa.array(part[i : i + 100_000])))
+        assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(off[:-1], off[1:], want[i : i + 100_000]))
+
+
+@pytest.mark.parametrize("kind", ["numpy", "library"])
+def test_chunks_that_hash_alike_keep_their_own_ids(library, monkeypatch, kind):
+    from tests.llm.test_dedup import thue_morse
+
+    own = bpe.encoder(bpe.model_bytes(), kind)
+    own.clear()
+    part = [thue_morse(b, f) for b in (7, 8, 11) for f in (0, 1)] + ["ab", "cd", "ef", "ab", "\u0378x", "z" * 20_000]
+    want = [library.encode(t, add_special_tokens=False).ids for t in part]
+    for hashed in (bpe.span_hashes, lambda data, starts, ends, fold=False: (ends - starts).astype(np.uint64)):
+        monkeypatch.setattr("trailframe.llm._text.span_hashes", hashed)
+        monkeypatch.setattr(bpe, "span_hashes", hashed)
+        own.clear()
+        for texts_ in (part, part[::-1]):
+            ids, off = own.encode(*utf8(pa.array(texts_)))
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == (want if texts_ is part else want[::-1])
+    own.clear()
+
+
 def test_cache_starts_anew_within_its_bound(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_CHUNKS", 5)
     own = bpe.ChunkEncoder(bpe.WordBpe(bpe.model_bytes()))
@@ -82,6 +111,19 @@ def test_file_set(spark, library, monkeypatch, block):
     assert next(r["n"] for r in ranks if r["id"] == 2) == len(rows)
 
 
+def test_file_set_of_clashing_names_repeated_rows_and_a_very_long_text(spark, library):
+    long = "word, " * 200_000
+    rows = [(2, long, 1, 1), *[(1, "same text", 1, 1)] * 40, (1, "other", 1, 1), (3, None, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int, tie int").withColumn("counts", token_files.F.lit(1)).withColumn("p", token_files.F.lit(1)).repartition(3)
+    path = shared_dir(spark, "t")
+    token_files.write_tokens(df, path)
+    got = sorted(token_files.read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [1] * 41 + [2, 3]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert bytes(got[41]["ids"]) == np.array(library.encode(long, add_special_tokens=False).ids + [2], "<u4").tobytes()
+    assert not any("ids-" in str(f) for f in __import__("pathlib").Path(path).parent.iterdir())
+
+
 def test_empty_file_set(spark):
     path = shared_dir(spark, "t")
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path)

@@ -8,16 +8,19 @@ passes instead of a Python loop over words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 4 << 20
-_BLOCK = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Spans beyond this many bytes are hashed and compared whole instead of in rounds.
+LONG = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,22 +87,6 @@ def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def _table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 64, 256, dtype=np.uint64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_BYTE = _table(7)
-_BYTE_FOLDED = _BYTE[UPPER]
-_POW = _powers(_BASE, _BLOCK + 1)
-_INV = _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     h = h ^ (h >> np.uint64(30))
@@ -109,30 +96,80 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit polynomial hash of each span by prefix sums modulo 2**64; fold: A-Z count as a-z."""
-    table = _BYTE_FOLDED if fold else _BYTE
-    out = np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = int(np.searchsorted(ends, low + _BLOCK, "right"))
-        if j <= i:  # one span longer than a block
-            total, shift = 0, 1
-            for at in range(int(low), int(ends[i]), _BLOCK):
-                part = table[data[at : min(at + _BLOCK, int(ends[i]))]]
-                total = (total + shift * int((part * _POW[: len(part)]).sum(dtype=np.uint64))) & _MASK
-                shift = shift * pow(_BASE, _BLOCK, 1 << 64) & _MASK
-            out[i] = total
-            i += 1
-            continue
-        part = table[data[low : ends[j - 1]]] * _POW[: ends[j - 1] - low]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=sums[1:])
-        s = starts[i:j] - low
-        out[i:j] = (sums[ends[i:j] - low] - sums[s]) * _INV[s]
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of each span, eight bytes a round, by BLAKE2 beyond LONG bytes; fold: A-Z count as a-z.
+
+    A hash only groups spans: what must be exact compares their bytes (`same_spans`, `word_codes`).
+    """
+    if fold:
+        data = UPPER[data]
+    view, size = lanes(data), ends - starts
+    out = size.astype(np.uint64) * _STEP
+    _blend(out, view[starts] & _FIRST[np.minimum(size, 8)])
+    at = 8
+    live = np.flatnonzero((size > at) & (size <= LONG))
+    while len(live):
+        left = size[live] - at
+        part = out[live] + _STEP
+        out[live] = _blend(part, view[starts[live] + at] & _FIRST[np.minimum(left, 8)])
+        live = live[left > 8]
+        at += 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+def _blend(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """One round of a hash, in place; a bijection of each part."""
+    h ^= part
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span equal those of its counterpart."""
+    one, two, size = lanes(data), lanes(other) if other is not data else None, ends - starts
+    two = one if two is None else two
+    out = (size == other_ends - other_starts) & (((one[starts] ^ two[other_starts]) & _FIRST[np.minimum(size, 8)]) == 0)
+    live, at = np.flatnonzero(out & (size > 8)), 8
+    while len(live) and at <= LONG:
+        left = size[live] - at
+        same = ((one[starts[live] + at] ^ two[other_starts[live] + at]) & _FIRST[np.minimum(left, 8)]) == 0
+        out[live[~same]] = False
+        live = live[same & (left > 8)]
+        at += 8
+    for i in live.tolist():
+        out[i] = np.array_equal(data[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+    return out
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal only for equal bytes, and the first span of each number."""
+    if fold:
+        data = UPPER[data]
+    code, distinct = pd.factorize(span_hashes(data, starts, ends))
+    first = np.zeros(len(distinct), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    odd = np.flatnonzero(~same_spans(data, starts, ends, data, starts[first[code]], ends[first[code]]))
+    if len(odd):  # spans that share a hash with others
+        known: dict[bytes, int] = {}
+        for i in odd.tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in known:
+                known[raw] = len(first)
+                first = np.append(first, i)
+            code[i] = known[raw]
+    return code.astype(np.int64), first
 
 
 def ragged_take(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,9 +18,11 @@ id and the text are ignored, whatever their names; null ids pass through.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import SPACE, pack, ragged_take, read, slices, span_hashes, spans, utf8
+from trailframe.llm._text import LONG, SPACE, pack, ragged_take, read, same_spans, slices, span_hashes, spans, utf8, word_codes
 
 #: The split pattern that the vocabulary file declares, with its \s read as the Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 MAX_MODEL_BYTES = 64 << 20
 CACHE_CHUNKS = 1 << 20
+#: Bytes of a word beyond which the merge rounds of numpy give way to the library.
+LONG_WORD = 1 << 14
 _NONE = np.int32(2**31 - 1)
 
 
@@ -59,6 +63,16 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@cache
+def _unassigned() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def odd(text: str) -> bool:
+    """Whether a code point isn't assigned in Python's Unicode version; other versions may split and fold it otherwise."""
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
+
+
 class WordBpe:
     """A loaded vocabulary; merge_words and ids are exact for every input."""
 
@@ -83,17 +97,33 @@ class WordBpe:
         self.keys = keys[order]
         self.rank_of = order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.split = regex.compile(SPLIT)
+        self.raw = raw
+        self.split = regex.compile(r"\n|" + SPLIT)
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         text = [(t + " ").encode() for t in self.tokens]
         self.text = np.frombuffer(b"".join(text), np.uint8)
         self.text_off = np.concatenate([[0], np.cumsum([len(t) for t in text])]).astype(np.int64)
 
+    def all_pieces(self, chunks: list[str]) -> tuple[list[str | int], np.ndarray]:
+        """Words of chunks without ASCII white space, split at once; special tokens are ids. The number of each chunk's words."""
+        joined = "\n".join(chunks)
+        if "<|" not in joined and not odd(joined):
+            flat = self.split.findall(self.plain(joined))
+            at = np.array([i for i, p in enumerate(flat) if p == "\n"], np.int64)
+            counts = np.diff(np.concatenate([[-1], at, [len(flat)]])) - 1
+            return [p for p in flat if p != "\n"], counts
+        out: list[str | int] = []
+        counts = np.zeros(len(chunks), np.int64)
+        for k, chunk in enumerate(chunks):
+            before = len(out)
+            out.extend(self.pieces(chunk))
+            counts[k] = len(out) - before
+        return out, counts
+
     def pieces(self, chunk: str) -> list[str | int]:
-        """Words of one chunk without ASCII white space; a special token is its id."""
-        plain = self.plain(chunk)
-        if plain.isalpha():
-            return [plain]
+        """Words of one chunk; a special token is its id. Code points that this Python doesn't know go to the library."""
+        if odd(chunk):
+            return list(self.library.encode(chunk, add_special_tokens=False).ids)
         out: list[str | int] = []
         parts = self.special_split.split(chunk) if self.special_split and "<|" in chunk else [chunk]
         for part in parts:
@@ -103,21 +133,41 @@ class WordBpe:
                 out.extend(self.split.findall(self.plain(part)))
         return out
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_buffer(self.raw)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     @staticmethod
     def plain(text: str) -> str:
         """NFC, then each character's lower case (the final sigma has none of its own)."""
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], _NONE)
 
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words as one ragged array."""
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words as one ragged array; a word of more than LONG_WORD bytes would take too many rounds and goes to the library."""
+        words = [w.encode() for w in words]
+        huge = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if huge:
+            rest, runs = self._merge([w for w in words if len(w) <= LONG_WORD])
+            own = iter(np.split(rest, runs[1:-1]) if len(runs) > 1 else [])
+            parts = [np.array(self.library.encode(w.decode(), add_special_tokens=False).ids) if len(w) > LONG_WORD else next(own) for w in words]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self._merge(words)
+
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         length = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(length)
@@ -176,66 +226,98 @@ class WordBpe:
 
 
 class ChunkEncoder:
-    """Encodes documents by their distinct chunks, with a bounded cache that outlives a batch."""
+    """Encodes documents by their distinct chunks, with a bounded cache that outlives a batch.
+
+    Hashes only find chunks; a chunk's ids are taken from the cache after its bytes were compared.
+    Chunks of more than LONG bytes aren't kept.
+    """
 
     def __init__(self, model: WordBpe, merge=None) -> None:
         self.model, self.merge = model, merge or model.merge_words
         self.clear()
 
     def clear(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
+        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text, self.text_off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known: dict[str, int] = {}
-        words: list[bytes] = []
-        index: list[int] = []
-        counts = np.zeros(len(chunks), np.int64)
-        for k, chunk in enumerate(chunks):
-            found = self.model.pieces(chunk)
-            counts[k] = len(found)
-            for piece in found:
-                if isinstance(piece, int):
-                    index.append(-1 - piece)
-                    continue
-                i = known.get(piece)
-                if i is None:
-                    i = known[piece] = len(words)
-                    words.append(piece.encode())
-                index.append(i)
+    def _new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks as one ragged array."""
+        gc.disable()  # very many small objects, and no cycles among them
+        try:
+            return self._encoded([c.decode("utf-8", "replace") for c in chunks])
+        finally:
+            gc.enable()
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, counts = self.model.all_pieces(chunks)
+        index: dict[str | int, int] = {}
+        at = np.array([index.setdefault(p, len(index)) for p in pieces], np.int64)
+        words = [p for p in index if isinstance(p, str)]
         ids, offsets = self.merge(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        special = np.arange(self.model.size)  # runs of one id after the words' own
-        offsets = np.concatenate([offsets, offsets[-1] + 1 + special])
-        ids = np.concatenate([ids, special])
-        at = np.array(index, np.int64)
-        at = np.where(at < 0, len(words) - 1 - at, at)
+        if len(words) < len(index):  # runs of one id after the words' own
+            extra = [p for p in index if not isinstance(p, str)]
+            ids, offsets = np.concatenate([ids, extra]), np.concatenate([offsets, offsets[-1] + 1 + np.arange(len(extra))])
+            place, texts, others = np.zeros(len(index), np.int64), 0, 0
+            for i, p in enumerate(index):
+                if isinstance(p, str):
+                    place[i], texts = texts, texts + 1
+                else:
+                    place[i], others = len(words) + others, others + 1
+            at = place[at]
         out, runs = ragged_take(ids, offsets, at)
-        return out.astype(np.int32), runs[np.concatenate([[0], np.cumsum(counts)])]
+        return out.astype(np.int32), runs[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Cache places of distinct chunks: -1 if not there, -2 if another text has the hash."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hash, hashes[order]), len(self.hash) - 1)  # sorted needles stay near each other
+        place = np.where(self.hash[at] == hashes, self.place[at], -1)
+        hit = np.flatnonzero(place >= 0)
+        same = same_spans(data, starts[hit], ends[hit], self.text, self.text_off[place[hit]], self.text_off[place[hit] + 1])
+        place[hit[~same]] = -2
+        return place
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each row as one ragged array."""
         starts, ends, rows = spans(data, offsets, ~SPACE)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        distinct, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
-        missing = self.hash[at] != distinct if len(self.hash) else np.ones(len(distinct), bool)
-        if missing.any():
-            where = first[missing]
-            raw = data.tobytes()
-            ids, runs = self._new([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[where].tolist(), ends[where].tolist())])
-            keep = np.arange(len(self.hash))
-            if len(self.hash) + len(where) > CACHE_CHUNKS:  # start anew with what this batch needs
-                keep = at[~missing]
-            old, old_runs = ragged_take(self.ids, self.offsets, keep)
-            hashes = np.concatenate([self.hash[keep], distinct[missing]])
-            runs = np.concatenate([old_runs[:-1], old_runs[-1] + runs])
-            order = np.argsort(hashes)
-            self.ids, self.offsets = ragged_take(np.concatenate([old, ids]), runs, order)
-            self.hash = hashes[order]
-        at = np.searchsorted(self.hash, distinct)
-        ids, runs = ragged_take(self.ids, self.offsets, at[inverse])
-        return ids, runs[rows]
+        code, first = word_codes(data, starts, ends)
+        begin, end = starts[first], ends[first]
+        hashes = span_hashes(data, begin, end)
+        place = self._known(data, begin, end, hashes)
+        if len(self.hash) + int((place == -1).sum()) > CACHE_CHUNKS:
+            self.clear()
+            place[:] = -1
+        _, once = np.unique(hashes, return_index=True)  # of chunks that share a hash only one is kept
+        keep = np.zeros(len(hashes), bool)
+        keep[once] = True
+        keep &= (place == -1) & (end - begin <= LONG)
+        loose = np.flatnonzero((place < 0) & ~keep)
+        keep = np.flatnonzero(keep)
+        raw = data.tobytes()
+        new = np.concatenate([keep, loose])
+        ids, runs = self.ids, self.offsets
+        if len(new):
+            more, more_runs = self._new([raw[s:e] for s, e in zip(begin[new].tolist(), end[new].tolist())])
+            place[new] = len(self.offsets) - 1 + np.arange(len(new))
+            ids, runs = np.concatenate([ids, more]), np.concatenate([runs, runs[-1] + more_runs[1:]])
+        out, out_runs = ragged_take(ids, runs, place[code])
+        if len(keep):
+            order = keep[np.argsort(hashes[keep])]
+            where = np.searchsorted(self.hash, hashes[order])
+            self.hash, self.place = np.insert(self.hash, where, hashes[order]), np.insert(self.place, where, place[order])
+            bound = np.zeros(2 * len(keep), np.int64)
+            bound[::2], bound[1::2] = begin[keep], end[keep]
+            text, text_off = ragged_take(data, bound, np.arange(0, 2 * len(keep), 2))
+            self.text, self.text_off = np.concatenate([self.text, text]), np.concatenate([self.text_off, self.text_off[-1] + text_off[1:]])
+            size = len(self.offsets) + len(keep)
+            self.ids, self.offsets = ids[: runs[size - 1]], runs[:size]
+        return out, out_runs[rows]
 
 
 _LOADED: dict[tuple[int, str], ChunkEncoder] = {}
@@ -258,15 +340,15 @@ def library_merge(raw: bytes, model: WordBpe):
     from tokenizers import Tokenizer
 
     inner = Tokenizer.from_buffer(raw).model
-    table = {b: c for b, c in enumerate(model.symbols)}
+    table = {b: c for b, c in enumerate(model.symbols) if b != 0x0A}  # no word holds a newline
 
-    def merge(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def merge(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
-        offsets = np.zeros(len(words) + 1, np.int64)
-        for k, word in enumerate(words):
-            ids += [t.id for t in inner.tokenize(word.decode("latin-1").translate(table))]
-            offsets[k + 1] = len(ids)
-        return np.array(ids, np.int64), offsets
+        ends = [0]
+        for word in "\n".join(words).encode().decode("latin-1").translate(table).split("\n"):
+            ids += [t.id for t in inner.tokenize(word)]
+            ends.append(len(ids))
+        return np.array(ids, np.int64), np.array(ends, np.int64)
 
     return merge
 
