@@ -111,6 +111,53 @@ def test_near_duplicates_of_repeated_rows_and_empty_tables(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def thue_morse(bits, flip=0):
+    """Texts that polynomial hashes modulo 2**64 can't tell apart once they are long."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12])
+def test_words_are_told_apart_by_their_bytes(spark, bits):
+    rows = [(1, f"x {thue_morse(bits)} y z"), (2, f"x {thue_morse(bits, 1)} y z"), (3, f"x {thue_morse(bits)} y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_duplicates(df, shingle=2).collect())) == [(1, 3, 1), (2, 3, 2), (3, 3, 1)]
+    items = spark.createDataFrame([("i", thue_morse(bits))], "item_id string, text string")
+    assert {r["doc_id"]: list(r["items"]) for r in decontamination.find_leaks(df, items).collect()} == {1: ["i"], 2: [], 3: ["i"]}
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    from trailframe.llm import _text
+
+    monkeypatch.setattr(_text, "span_hashes", lambda data, starts, ends, fold=False: (ends - starts).astype(np.uint64))
+    words = "aa bb aa cc BB " + "d" * 300 + " " + "e" * 300 + " " + "d" * 300
+    data, off = _text.utf8(near_dedup.pa.array([words]))
+    starts, ends, _ = _text.spans(data, off, ~_text.SPACE)
+    code, first = _text.word_codes(data, starts, ends, fold=True)
+    names = words.lower().split()
+    assert [names[first[c]] for c in code] == names and len(set(code.tolist())) == 5
+
+
+def test_exact_sets_equal_brute_force():
+    rng = random.Random(8)
+    texts = ["", " ", "A", "a a", "x y z"] + [" ".join(rng.choice(["a", "B", "b", "cc", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    for size in (1, 2, 5):
+        code, off = near_dedup.exact_sets(texts, size)
+        sets = [set(code[a:b].tolist()) for a, b in zip(off[:-1], off[1:])]
+        want = [shingles(t, size) for t in texts]
+        for i in range(len(texts)):
+            assert len(sets[i]) == off[i + 1] - off[i] == len(want[i])
+            assert all(len(sets[i] & sets[j]) == len(want[i] & want[j]) for j in range(i))
+
+
+def test_rows_go_by_id_and_text(spark):
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "quite another text here"), (5, "a b c d"), (7, None), (8, "quite another text here"), (None, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", near_dedup.F.lit(1)).withColumn("k", near_dedup.F.col("doc_id") * 2)
+    kept = near_dedup.keep_first(df, shingle=2)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "a b c d"), (5, "quite another text here"), (7, None), (None, "a b c d")], key=str)
+    assert sorted(map(tuple, near_dedup.near_duplicates(df, shingle=2).collect()), key=str) == sorted([(1, 3, 1), (5, 3, 1), (5, 3, 5), (5, 3, 1), (7, 0, 7), (8, 3, 5), (None, 3, None)], key=str)
+
+
 def test_keys_join_all_signatures_within_the_guarantee():
     import pyarrow as pa
 

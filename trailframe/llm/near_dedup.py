@@ -7,19 +7,23 @@ the keys that leave out one symbol of a chunk bring together all such pairs.
 (Beyond the guarantee a pair is still found if any chunk has at most one error:
 at a similarity of 0.8 it is missed with a probability of 0.345 ** 14 < 4e-7.)
 
-Pairs are never enumerated. The rows of a key are chained in id order, the
-chains' components are the candidate groups, and each group is verified on its
-full shingle sets: sets of one group meet in cells of bounded size, a group over
-the bound is cut into blocks and all pairs of blocks. Within a cell an inverted
+Pairs are never enumerated. The signatures of a key are linked to the least one
+of them, found with map-side partials, so a key that very many share is never in
+one task; the links' components are the candidate groups, and each group is
+verified on its whole texts: texts of one group meet in cells of bounded size, a
+group over the bound is cut into blocks and all pairs of blocks. Within a cell
+words and shingles are numbered by their bytes, not by hashes, and an inverted
 index gives the exact intersections of one document with all others at once;
 only documents outside the largest component are looked up, and each cell
-returns a spanning forest. Exact copies collapse to one class before all this.
+returns a spanning forest. Exact copies (equal 128-bit sums of their shingles'
+hashes) collapse to one class before all this; n_shingles counts 64-bit hashes.
 
 Defined cases: null or empty texts and texts without words have no shingles and
 link to nothing; a text of fewer words than a shingle is one shingle; a row
-that repeats a doc_id is labelled by its own set; rows with a null id link to
-nothing (component null, kept); texts are never cut; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+that repeats a doc_id is labelled by its own set, and counts with its doc_id in
+its component; rows with a null id link to nothing (component null, kept); texts
+are never cut; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import SPACE, mix, ragged_take, read, slices, span_hashes, spans, utf8
+from trailframe.llm._text import SPACE, mix, ragged_take, read, slices, span_hashes, spans, utf8, word_codes
 from trailframe.operators.components import components
 from trailframe.storage import cut
 
@@ -70,10 +75,31 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low.astype("<u2")
 
 
+def exact_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, ragged; a shingle's number stands for its words' bytes, not for a hash."""
+    data, offsets = utf8(pa.array(texts, pa.large_string()))
+    starts, ends, rows = spans(data, offsets, ~SPACE)
+    code, first_of = word_codes(data, starts, ends, fold=True)
+    count = np.diff(rows)
+    n = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(n)), n)
+    first = rows[:-1][owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    acc = np.zeros(len(owner), np.int64)
+    for j in range(size):
+        inside = j < count[owner]
+        word = np.where(inside, code[np.minimum(first + j, max(len(code) - 1, 0))] + 1, 0) if len(code) else acc
+        acc = pd.factorize(acc * (len(first_of) + 1) + word)[0].astype(np.int64)
+    total = int(acc.max(initial=0)) + 1
+    pairs = np.unique(owner * total + acc)
+    return pairs % total, np.searchsorted(pairs // total, np.arange(len(texts) + 1))
+
+
 def _signed(df: DataFrame, size: int) -> DataFrame:
+    """df: (k, u, t). Rows (k, u, n, a, b, sig): the set's size, its hash in two parts and its signature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            hashes, off = shingle_sets(*utf8(part.column(1)), size)
+            hashes, off = shingle_sets(*utf8(part.column(2)), size)
             n = np.diff(off)
             full = n > 0
             a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -81,9 +107,9 @@ def _signed(df: DataFrame, size: int) -> DataFrame:
                 a[full] = np.add.reduceat(mix(hashes), off[:-1][full])
                 b[full] = np.add.reduceat(mix(hashes ^ _STEP), off[:-1][full])
             marks = [signature(hashes[off[i] : off[i + 1]]).tobytes() if full[i] else None for i in range(len(n))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(marks, pa.binary())], names=["k", "n", "a", "b", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(marks, pa.binary())], names=["k", "u", "n", "a", "b", "sig"])
 
-    return df.mapInArrow(run, "k bigint, n bigint, a bigint, b bigint, sig binary")
+    return df.mapInArrow(run, "k bigint, u bigint, n bigint, a bigint, b bigint, sig binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +125,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if i != j:
                         acc = mix(acc * _STEP + sig[:, :, i])
                 out[:, :, j] = acc
-            yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), SYMBOLS))], names=["key", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), SYMBOLS))], names=["key", "node"])
 
 
 def forest(ids: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -156,80 +182,78 @@ def _link(p, own_code, runs, posting, first, size, comp, count, edges, percent)
         hit = hit[comp[hit] != new]
 
 
-def _verified(df: DataFrame, percent: int) -> DataFrame:
-    """df: (c, i, j, k, hashes) of cells, sorted by cell. Rows (a, b): forest edges."""
+def _verified(df: DataFrame, size: int, percent: int) -> DataFrame:
+    """df: (c, i, j, node, t) of cells, sorted by cell and node. Rows (a, b): forest edges."""
 
-    def solve(ids: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-        found = forest(np.array(ids), np.concatenate(parts), offsets, percent)
+    def solve(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        found = forest(np.array(ids), *exact_sets(texts, size), percent)
         return pa.RecordBatch.from_arrays([pa.array([ids[p] for p, _ in found], pa.int64()), pa.array([ids[q] for _, q in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, parts = None, [], []
+        cell, ids, texts = None, [], []
         for batch in batches:
-            for c, i, j, k, raw in zip(*(batch.column(x).to_pylist() for x in range(5))):
+            for c, i, j, node, text in zip(*(batch.column(x).to_pylist() for x in range(5))):
                 if (c, i, j) != cell:
                     if len(ids) > 1:
-                        yield solve(ids, parts)
-                    cell, ids, parts = (c, i, j), [], []
-                ids.append(k)
-                parts.append(np.frombuffer(raw, np.uint64))
+                        yield solve(ids, texts)
+                    cell, ids, texts = (c, i, j), [], []
+                if ids and ids[-1] == node:  # a row that repeats an id and its text
+                    continue
+                ids.append(node)
+                texts.append(text)
         if len(ids) > 1:
-            yield solve(ids, parts)
+            yield solve(ids, texts)
 
     return df.mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets(df: DataFrame, size: int) -> DataFrame:
-    """(k, t, c, cells) to (k, c, cells, hashes): the text becomes its shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t"):
-            hashes, off = shingle_sets(*utf8(part.column(1)), size)
-            raw = pa.array([hashes[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), raw], names=["k", "c", "cells", "hashes"])
-
-    return df.select("k", "t", "c", "cells").mapInArrow(run, "k bigint, c bigint, cells array<struct<i:bigint,j:bigint>>, hashes binary")
-
-
-def _cells(groups: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """The cells in which each member of a group is verified: (k, c, cells).
+def _cells(groups: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """The cells in which each member of a group is verified: (node, rep, ru, c, cells).
 
     A group has as many blocks as its shingles fill; members are dealt to them by hash.
     """
-    placed = groups.join(sizes.groupBy("k").agg(F.sum("n").alias("n")), "k")
+    placed = groups.join(classes.select("node", "n", "rep", "ru"), "node")
     blocks = placed.groupBy("c").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    i = F.pmod(F.xxhash64("k"), F.col("blocks"))
+    i = F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    return placed.join(blocks, "c").select("k", "c", F.transform(others, lambda o: F.struct(F.least(i, o).alias("i"), F.greatest(i, o).alias("j"))).alias("cells"))
+    return placed.join(blocks, "c").select("node", "rep", "ru", "c", F.transform(others, lambda o: F.struct(F.least(i, o).alias("i"), F.greatest(i, o).alias("j"))).alias("cells"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Rows (id, n_shingles, component_id), one per input row."""
+def _labelled(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, block: int) -> DataFrame:
+    """Rows (k, u, n, component), one per input row; u is the text's hash."""
     spark: SparkSession = df.sparkSession
-    docs = df.select(df[id_col].cast("long").alias("k"), df[text_col].cast("string").alias("t"))
+    docs = df.select(df[id_col].cast("long").alias("k"), df[text_col].cast("string").alias("t")).select("k", F.xxhash64("t").alias("u"), "t")
     signed = cut(spark, _signed(docs, shingle), "signed")
     own = signed.where("k IS NOT NULL AND n > 0")
-    classes = cut(spark, own.groupBy("a", "b").agg(F.min("k").alias("rep")), "classes")
-    reps = own.join(classes, ["a", "b"]).where("k = rep").select("k", "n", "sig")
-    keyed = reps.select("k", "sig").mapInArrow(_keys, "key bigint, k bigint")
-    near = Window.partitionBy("key").orderBy("k")
-    chain = keyed.select("k", F.lag("k").over(near).alias("p")).where("p IS NOT NULL AND p <> k").select(F.col("k").alias("a"), F.col("p").alias("b"))
-    groups = components(chain).select(F.col("node").alias("k"), F.col("root").alias("c"))
-    members = docs.join(_cells(groups, own.select("k", "n"), block), "k")
-    cells = _sets(members, shingle).select("c", F.explode("cells").alias("cell"), "k", "hashes").select("c", "cell.i", "cell.j", "k", "hashes")
-    found = components(_verified(cells.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "k"), percent))
-    linked = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("rep")).otherwise(F.col("k"))
-    out = signed.join(classes, ["a", "b"], "left").select("k", F.col("n").alias("n_shingles"), linked.alias("rep"))
-    out = out.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select(F.col("k").alias(id_col), "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-
-
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The input rows whose document is its component's smallest id, with all their columns."""
-    labels = near_duplicates(df, id_col, text_col, shingle, percent)
-    drop = labels.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(drop, df[id_col] == drop["__gone"], "left_anti")
+    least = own.groupBy("a", "b").agg(F.min(F.struct("k", "u", "n", "sig")).alias("m"))
+    classes = cut(spark, least.select("a", "b", F.xxhash64("a", "b").alias("node"), F.col("m.k").alias("rep"), F.col("m.u").alias("ru"), "m.n", "m.sig"), "classes")
+    keyed = classes.select("node", "sig").mapInArrow(_keys, "key bigint, node bigint")
+    hubs = cut(spark, keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
+    links = keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = components(links).select("node", F.col("root").alias("c"))
+    members = docs.join(_cells(groups, classes, block), (F.col("k") == F.col("rep")) & (F.col("u") == F.col("ru")))
+    cells = members.select("c", F.explode("cells").alias("cell"), "node", "t").select("c", "cell.i", "cell.j", "node", "t")
+    found = components(_verified(cells.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "node"), shingle, percent))
+    first = found.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
+    component = cut(spark, found.join(first, "root").select("node", "component"), "component")
+    out = signed.join(classes.select("a", "b", "node", "rep"), ["a", "b"], "left").join(component, "node", "left")
+    linked = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("k"))
+    return out.select("k", "u", "n", linked.alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Rows (id, n_shingles, component_id), one per input row."""
+    out = _labelled(df, id_col, text_col, shingle, percent, block)
+    return out.select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """The input rows whose document is its component's smallest id, with all their columns; a row goes by its id and text, whatever other rows have its id."""
+    labels = _labelled(df, id_col, text_col, shingle, percent, block)
+    gone = labels.where(~F.col("component").eqNullSafe(F.col("k"))).select(F.struct("k", "u").alias("gone")).distinct()
+    row = F.struct(df[id_col].cast("long").alias("k"), F.xxhash64(df[text_col].cast("string")).alias("u"))
+    marked = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), row.alias("own"))
+    return marked.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
