@@ -6,9 +6,11 @@ shortest window can hold one, so just these are indexed, each closed by a
 separator of its own. All windows are searched backward at once, occurrences
 are located, and their word spans are merged into removal spans.
 
-The benchmark is read in blocks of at most MAX_WORDS words (one longer item is a
-block of its own); a block is what a task holds and what is broadcast. With
-several blocks the documents pass once per block, carrying their spans along.
+The benchmark is read in blocks of at most about MAX_WORDS words (a longer item
+is cut into pieces that overlap by a window less one word); a block is what a
+task holds and what is broadcast. With several blocks the documents are scanned
+once per block; only what was found is written, and the last scan joins it.
+Words are found by a hash and then compared by their bytes.
 
 Defined cases: null or empty texts have no words, spans or items, and an item
 without words no window; an item of fewer words than a window is one window; an
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import read, slices, span_hashes, spans, utf8
+from trailframe.llm._text import UPPER, ragged_take, read, same_spans, slices, span_hashes, spans, utf8, word_codes
 from trailframe.llm.fm_index import FmIndex, suffix_array
 from trailframe.storage import cut
 
@@ -41,16 +43,25 @@ class Windows:
 
     def __init__(self, ids: list[str | None], texts: list[str | None], size: int) -> None:
         data, offsets = utf8(pa.array(texts, pa.large_string()))
+        data = UPPER[data]
         starts, ends, rows = spans(data, offsets, WORD)
-        hashes = span_hashes(data, starts, ends, fold=True)
-        self.vocabulary, code = np.unique(hashes, return_inverse=True)
+        code, first = word_codes(data, starts, ends)
+        hashes = span_hashes(data, starts[first], ends[first])
+        order = np.argsort(hashes, kind="stable")
+        self.vocabulary = hashes[order]
+        bound = np.stack([starts[first[order]], ends[first[order]]], 1).reshape(-1)
+        self.text, self.text_off = ragged_take(data, bound, np.arange(0, len(bound), 2))
+        self.alike = int(np.unique(hashes, return_counts=True)[1].max(initial=0))  # words of one hash
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        code = place[code]
         count = np.diff(rows)
         windows = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
         item = np.repeat(np.arange(len(count)), windows)
         first = rows[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
         length = np.minimum(count[item], size)
         grid = first[:, None] + np.arange(size)
-        padded = np.where(np.arange(size) < length[:, None], code[np.minimum(grid, max(len(code) - 1, 0))] if len(code) else 0, -1)
+        padded = np.where(np.arange(size) < length[:, None], code[np.minimum(grid, max(len(code) - 1, 0))] if len(code) else 0, -1).astype(np.int32)
         if len(padded):
             self.patterns, owner = np.unique(padded, axis=0, return_inverse=True)
         else:
@@ -62,14 +73,27 @@ class Windows:
         self.ids = ids
         self.shortest = int(self.lengths.min(initial=size))
 
-    def find(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences in documents of hashed words: first word, word count and window of each."""
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The vocabulary's number of each word, -1 if it isn't there."""
+        words = span_hashes(data, starts, ends)
+        at = np.searchsorted(self.vocabulary, words)
+        out = np.full(len(words), -1)
+        for k in range(self.alike):
+            place = np.minimum(at + k, len(self.vocabulary) - 1)
+            hit = np.flatnonzero((out < 0) & (self.vocabulary[place] == words))
+            own = place[hit]
+            same = same_spans(data, starts[hit], ends[hit], self.text, self.text_off[own], self.text_off[own + 1])
+            out[hit[same]] = own[same]
+        return out
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences in the words of documents: first word, word count and window of each. data is in lower case."""
         none = np.zeros(0, np.int64)
-        if not len(words) or not len(self.patterns):
+        if not len(starts) or not len(self.patterns):
             return none, none, none
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        words = at = self.places(data, starts, ends)
         known = np.zeros(len(words) + 1, bool)
-        known[:-1] = self.vocabulary[at] == words
+        known[:-1] = at >= 0
         begin = known.copy()
         begin[1:] &= ~known[:-1]
         edge = rows[:-1][rows[:-1] < len(words)]
@@ -120,7 +144,7 @@ def _pass(df: DataFrame, windows: Windows, size: int, kind: str) -> DataFrame:
         for part in slices(batches, "t"):
             data, offsets = utf8(part.column(1))
             starts, ends, rows = spans(data, offsets, WORD)
-            first, length, window = own.find(span_hashes(data, starts, ends, fold=True), rows)
+            first, length, window = own.find(UPPER[data], starts, ends, rows)
             row = np.searchsorted(rows, first, "right") - 1
             older = part.column(3).to_pylist()
             for i, known in enumerate(older):  # spans of earlier blocks
@@ -151,20 +175,37 @@ def _pass(df: DataFrame, windows: Windows, size: int, kind: str) -> DataFrame:
     return df.mapInArrow(run, f"k {kind}, t string, n_words bigint, spans {_SPANS}, items array<string>")
 
 
+def _pieces(text: str, size: int, max_words: int) -> Iterator[str]:
+    """The text, or parts of at most about max_words words that together have the windows of the whole."""
+    if len(text) <= max_words:
+        yield text
+        return
+    data, offsets = utf8(pa.array([text], pa.large_string()))
+    starts, ends, _ = spans(data, offsets, WORD)
+    at, last = 0, max(0, len(starts) - size)
+    while True:
+        stop = min(at + max_words + size - 1, len(starts))
+        yield data[starts[at] : ends[stop - 1]].tobytes().decode() if len(starts) else ""
+        if at + max_words > last:
+            return
+        at += max_words
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, max_words: int) -> Iterator[Windows]:
-    """Items in blocks of at most max_words words; one block at least."""
+    """Items in blocks of at most about max_words words; one block at least."""
     ids: list[str | None] = []
     texts: list[str | None] = []
     held = 0
     rows = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[text_col].cast("string").alias("t"))
     for row in rows.toLocalIterator():
-        n = len((row["t"] or "")) // 2 + 1
-        if ids and held + n > max_words:
-            yield Windows(ids, texts, size)
-            ids, texts, held = [], [], 0
-        ids.append(row["i"])
-        texts.append(row["t"])
-        held += n
+        for text in _pieces(row["t"] or "", size, max_words):
+            n = len(text) // 2 + 1
+            if ids and held + n > max_words:
+                yield Windows(ids, texts, size)
+                ids, texts, held = [], [], 0
+            ids.append(row["i"])
+            texts.append(text)
+            held += n
     yield Windows(ids, texts, size)
 
 
@@ -174,10 +215,23 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     spans: merged removal spans with first word, word count and code-point start
     and end; items: sorted ids of the items with a window in the document.
     """
+    spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    for n, windows in enumerate(_blocks(benchmark, item_col, item_text_col, size, max_words)):
-        out = _pass(cut(df.sparkSession, out, "leaks") if n else out, windows, size, kind)
+    none, no_items = F.array().cast(_SPANS), F.array().cast("array<string>")
+    docs = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"), F.lit(0).cast("long").alias("n_words"))
+    fresh = docs.withColumns({"spans": none, "items": no_items})
+    blocks = _blocks(benchmark, item_col, item_text_col, size, max_words)
+    windows, earlier = next(blocks), None
+    for following in blocks:
+        found = _pass(fresh, windows, size, kind).where(F.size("spans") > 0).select("k", F.xxhash64("t").alias("u"), "spans", "items")
+        found = cut(spark, found.dropDuplicates(["k", "u"]), "leaks")
+        earlier = found if earlier is None else earlier.unionByName(found)
+        windows = following
+    if earlier is not None:
+        merged = earlier.groupBy(F.col("k").alias("fk"), F.col("u").alias("fu")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        met = docs.withColumn("u", F.xxhash64("t")).join(merged, (F.col("u") == F.col("fu")) & F.col("k").eqNullSafe(F.col("fk")), "left")
+        fresh = met.select("k", "t", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", no_items).alias("items"))
+    out = _pass(fresh, windows, size, kind)
     return out.select(F.col("k").alias(id_col), F.col("t").alias(text_col), "n_words", "spans", "items")
 
 
