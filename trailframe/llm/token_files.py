@@ -12,20 +12,22 @@ where each document begins a new control byte
 and are decoded by table lookup on the control bytes. `base` is the number of
 ids of the same part before the block; `part` numbers the sorted ranges.
 
-Steps: documents are encoded once into the shared folder; ids are counted with
-partial sums (one row per vocabulary id at most reaches the driver); each
-document's ids are coded, the coded documents are range-sorted by id and joined
-to blocks; the totals of the parts give
-the global start of each block when the files are read.
+Steps: documents are encoded once into the shared folder; the same pass counts
+its ids, and each task adds one row of counts (their sums, one row per
+vocabulary id at most, reach the driver). Range bounds come from the ids of the
+documents alone, one for each part; documents are coded and given their part in
+one pass, dealt, sorted and joined to blocks. The totals of the parts give the
+global start of each block when the files are read.
 
 Defined cases: null text counts as empty and holds the end id alone; rows that
-repeat a doc_id all stay, ordered by their ids' bytes; a null doc_id comes
-first; texts are never cut; an empty table gives an empty file set and result;
+repeat a doc_id all stay, ordered by a hash of their ids, then by the ids; a
+null doc_id comes first; texts are never cut; an empty table gives an empty file set and result;
 columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from trailframe.llm._text import binary_slices, pack, read, slices, utf8
 from trailframe.llm.bpe import WordBpe, encoder, model_bytes
-from trailframe.storage import cut, shared_dir
+from trailframe.storage import cut, discard, shared_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
@@ -91,21 +93,33 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, model: str | None, end_id: int) -> DataFrame:
-    """Rows (k, ids): ids and the end id, little-endian, in `_width` bytes each."""
+    """Rows (k, ids, counts): ids and the end id, little-endian, in `_width` bytes each; or a task's counts alone."""
     content = model_bytes(model)
     raw = df.sparkSession.sparkContext.broadcast(content)
     width = _width(content, end_id)
+    size = max(WordBpe(content).size, end_id + 1)
+    source = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"))
+    names = ["k", "ids", "counts"]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(raw.value, "library")
+        total = np.zeros(size, np.int64)
+        schema = None
         for part in slices(batches, "t"):
             ids, offsets = own.encode(*utf8(part.column(1)))
             ids = np.insert(ids, offsets[1:], end_id)
+            total += np.bincount(ids, minlength=size)
             offsets = offsets + np.arange(len(offsets))
-            yield pa.RecordBatch.from_arrays([part.column(0), pack(ids.astype(f"<u{width}").view(np.uint8), offsets * width, pa.large_binary()).cast(pa.binary())], names=["k", "ids"])
+            packed = pack(ids.astype(f"<u{width}").view(np.uint8), offsets * width, pa.large_binary()).cast(pa.binary())
+            schema = part.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([part.column(0), packed, pa.nulls(part.num_rows, kind)], names=names)
+        if schema is not None:
+            at = np.flatnonzero(total)
+            values = pa.StructArray.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), values).cast(kind)], names=names)
 
-    source = df.select(df[id_col].alias("k"), df[text_col].cast("string").alias("t"))
-    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, ids binary")
+    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, ids binary, counts array<struct<id:bigint,n:bigint>>")
 
 
 def _width(content: bytes, end_id: int) -> int:
@@ -119,35 +133,40 @@ def _ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return data.view(f"<u{width}"), (off - off[0]) // width
 
 
+def _order(k, tie: int) -> tuple:
+    return (k is not None, *(() if k is None else (k,)), tie)
+
+
+def _bounds(docs: DataFrame, parts: int) -> list[tuple]:
+    """The last (k, tie) of each of `parts` ranges but the last one; only these two columns are sorted for them."""
+    dealt = docs.select("k", "tie").repartitionByRange(parts, "k", "tie")
+    last = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.max(F.struct("k", "tie")).alias("m")).collect()  # one row for each part
+    return sorted(_order(r["m"]["k"], r["m"]["tie"]) for r in last)[:-1]
+
+
 def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, end_id: int = END_ID) -> None:
     """Write the file set of all documents below `path`: blocks/ and ranks/."""
     spark = df.sparkSession
     width = _width(model_bytes(model), end_id)
-    docs = cut(spark, _encoded(df, id_col, text_col, model, end_id), "ids")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16 if width == 2 else 0, np.int64)
-        for batch in batches:
-            n = np.bincount(_ids(batch.column(0), width)[0], minlength=len(total))
-            n[: len(total)] += total
-            total = n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-    ranks = docs.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    written = cut(spark, _encoded(df, id_col, text_col, model, end_id).withColumn("tie", F.xxhash64("ids")), "ids")
+    docs = written.where("counts IS NULL")
+    ranks = written.where("counts IS NOT NULL").select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
     rows = ranks.orderBy(F.desc("n"), "id").collect()  # one row for each id of the vocabulary at most
     order = np.array([r["id"] for r in rows], np.int64)
     spark.createDataFrame([(i, r["id"], r["n"]) for i, r in enumerate(rows)], "rank bigint, id bigint, n bigint").write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.int64)
     rank_of[order] = np.arange(len(order))
-    shared = spark.sparkContext.broadcast(rank_of)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast((rank_of, _bounds(docs, parts)))
     kind = docs.schema["k"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in binary_slices(batches, 1):
-            ids, offsets = _ids(part.column(1), width)
-            data, at = code_ranks(shared.value[ids], offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pack(data, at, pa.large_binary()).cast(pa.binary())], names=["k", "n", "coded"])
+        rank_of, bounds = shared.value
+        for part in binary_slices(batches, 2):
+            ids, offsets = _ids(part.column(2), width)
+            data, at = code_ranks(rank_of[ids], offsets)
+            p = [bisect_left(bounds, _order(k, tie)) for k, tie in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), part.column(0), part.column(1), pa.array(np.diff(offsets)), pack(data, at, pa.large_binary()).cast(pa.binary())], names=["p", "k", "tie", "n", "coded"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = seq = 0
@@ -164,10 +183,10 @@ def write_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(3).slice(start, 1), pa.array([seq], pa.int64()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), keys, pa.array([block], pa.binary())], names=["part", "seq", "base", "n_ids", "doc_ids", "block"])
                 base, seq, start = base + n, seq + 1, stop
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = docs.mapInArrow(code, f"k {kind}, n bigint, coded binary").withColumn("tie", F.xxhash64("coded"))
-    dealt = coded.repartitionByRange(parts, "k", "tie").sortWithinPartitions("k", "tie", "coded").select("k", "n", "coded", F.spark_partition_id().alias("p"))
+    coded = docs.select("k", "tie", "ids").mapInArrow(code, f"p int, k {kind}, tie bigint, n bigint, coded binary")
+    dealt = coded.repartitionById(parts, "p").sortWithinPartitions("p", "k", "tie", "coded").select("k", "n", "coded", "p")
     dealt.mapInArrow(join, f"part int, seq bigint, base bigint, n_ids bigint, doc_ids array<{kind}>, block binary").write.parquet(f"{path}/blocks")
+    discard(written)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
