@@ -4,10 +4,12 @@
    lines; one short row per document.
 2. Standardisation by mean and deviation of the training rows.
 3. Random Fourier features approximate a Gaussian kernel.
-4. Each partition sums its part of the normal equations; the sums are added by
-   matrix cell in Spark, and one matrix of fixed size reaches the driver.
-5. Ridge scores are put into SCORE_BINS fixed bins; pooled adjacent violators
-   over the bins give the isotonic map, with interpolation between its steps.
+4. Each partition sums its part of the normal equations, by fold; the sums are
+   added by matrix cell in Spark, and FOLDS matrices of fixed size reach the driver.
+5. Each training row is scored by the ridge weights of the other folds, and its
+   score put into one of SCORE_BINS fixed bins; pooled adjacent violators over
+   the bins give the isotonic map, with interpolation between its steps. The
+   weights in use come from all folds.
 
 All labelled training rows are used, in sums, so nothing is sampled.
 
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.llm._text import SPACE, read, slices, span_hashes, spans, utf8
-from trailframe.storage import cut
+from trailframe.storage import cut, discard
 
 FEATURES = 192
 WIDTH = 3.0
 RIDGE = 1.0
 SCORE_BINS = 4096
 SEED = 17
+#: Folds of the training rows, by a hash of their document's id, for calibration.
+FOLDS = 5
 THRESHOLD = 0.3
 
 
@@ -153,7 +157,7 @@ def _rows(batch: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model:
-    """train: (x array<double>, y double)."""
+    """train: (x array<double>, y double, f int below FOLDS), read four times."""
     spark: SparkSession = train.sparkSession
     cells = [F.struct(F.avg(F.col("x")[i]).alias("m"), F.stddev_pop(F.col("x")[i]).alias("s")) for i in range(STATISTICS)]
     got = train.agg(F.count(F.lit(1)).alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(cells))).first()
@@ -165,35 +169,44 @@ def fit(train: DataFrame) -> Model:
     upper = np.triu_indices(FEATURES + 1)
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 1, FEATURES + 1))
+        total = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 z = np.concatenate([shared.value.expand(_rows(part, 0)), np.asarray(part.column(1))[:, None]], 1)
-                total += z.T @ z
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]))), pa.array(total[upper])], names=["cell", "v"])
-
-    summed = train.select("x", "y").mapInArrow(equations, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    full = np.zeros((FEATURES + 1, FEATURES + 1))
-    at = np.array([r["cell"] for r in summed])
-    full[upper[0][at], upper[1][at]] = [r["v"] for r in summed]
-    full = np.triu(full) + np.triu(full, 1).T
-    gram, target = full[:FEATURES, :FEATURES], full[:FEATURES, FEATURES]
-    model.weights = np.linalg.solve(gram + RIDGE * np.eye(FEATURES), target)
+                fold = np.asarray(part.column(2))
+                for f in np.unique(fold).tolist():
+                    total[f] += z[fold == f].T @ z[fold == f]
+        for f in range(FOLDS):
+            if total[f].any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(upper[0]), f)), pa.array(np.arange(len(upper[0]))), pa.array(total[f][upper])], names=["f", "cell", "v"])
+
+    summed = train.select("x", "y", "f").mapInArrow(equations, "f bigint, cell bigint, v double").groupBy("f", "cell").agg(F.sum("v").alias("v")).collect()
+    full = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1))
+    fold, at = (np.array([r[c] for r in summed]) for c in ("f", "cell"))
+    full[fold, upper[0][at], upper[1][at]] = [r["v"] for r in summed]
+    full = np.triu(full) + np.triu(full, 1).transpose(0, 2, 1)
+
+    def ridge(equations: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(equations[:FEATURES, :FEATURES] + RIDGE * np.eye(FEATURES), equations[:FEATURES, FEATURES])
+
+    model.weights = ridge(full.sum(0))
     model.low, model.high = -0.5, 1.5
-    fitted = spark.sparkContext.broadcast(model)
+    fitted = spark.sparkContext.broadcast((model, np.array([ridge(full.sum(0) - own) for own in full])))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, others = fitted.value
         n, s = np.zeros(SCORE_BINS), np.zeros(SCORE_BINS)
         for batch in batches:
-            own = fitted.value.bin(fitted.value.raw(_rows(batch, 0)))
-            n += np.bincount(own, minlength=SCORE_BINS)
-            s += np.bincount(own, weights=np.asarray(batch.column(1)), minlength=SCORE_BINS)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own = model.bin((model.expand(_rows(part, 0)) * others[np.asarray(part.column(2))]).sum(1))
+                n += np.bincount(own, minlength=SCORE_BINS)
+                s += np.bincount(own, weights=np.asarray(part.column(1)), minlength=SCORE_BINS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(s[at])], names=["bin", "n", "s"])
 
-    counts = train.select("x", "y").mapInArrow(bins, "bin bigint, n double, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("bin").collect()
+    counts = train.select("x", "y", "f").mapInArrow(bins, "bin bigint, n double, s double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).orderBy("bin").collect()
     bin_, n, s = (np.array([r[c] for r in counts], float) for c in ("bin", "n", "s"))
     level, size = pool_violators(s / n, n)
     end = np.cumsum(size)
@@ -234,7 +247,11 @@ def held_out(id_col: str = "doc_id"):
 def learn_quality(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> Model:
     """Fit on the statistics (k, x) of documents whose labels aren't held out."""
     known = labels.select(labels[label_id].alias("j"), labels[label_col].cast("double").alias("y")).where(~held_out("j") & F.col("y").isNotNull())
-    return fit(stats.join(known, F.col("k") == F.col("j")).select("x", "y"))
+    fold = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(FOLDS)).cast("int").alias("f")
+    train = cut(stats.sparkSession, stats.join(known, F.col("k") == F.col("j")).select("x", "y", fold), "train")
+    model = fit(train)
+    discard(train)
+    return model
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
