@@ -2,8 +2,10 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
+import zstandard
 
 from trailframe.llm import language_id, quality, secrets
 
@@ -31,6 +33,45 @@ def test_quality_learns_and_scores_everything(spark):
     assert len(held) > 50 and np.mean([(s >= 0.5) == y for s, y in held]) > 0.95
 
 
+def isotonic(value, weight):
+    """Levels by the max-min formula, from the definition."""
+    n, total = len(value), lambda a, b: (value[a:b] * weight[a:b]).sum() / weight[a:b].sum()
+    return np.array([max(min(total(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)])
+
+
+def test_quality_scores_equal_plain_numpy(spark):
+    rows = documents(240, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    x = np.array([quality.statistics(*quality.utf8(quality.pa.array([t])))[0] for _, t, _ in rows])
+    y = np.array([y for _, _, y in rows], float)
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows])
+    folds = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.F.pmod(quality.F.xxhash64(docs.doc_id.cast("string")), quality.F.lit(5)).alias("f")).collect()}
+    fold = np.array([folds[i] for i, _, _ in rows])
+    deviation = x[train].std(0)
+    rng = np.random.Generator(np.random.PCG64(quality.SEED))
+    frequency, phase = rng.normal(0, 1 / quality.WIDTH, (x.shape[1], quality.FEATURES - 1)), rng.uniform(0, 2 * np.pi, quality.FEATURES - 1)
+    z = np.clip((x - x[train].mean(0)) / np.where(deviation > 1e-9, deviation, 1), -8, 8)
+    z = np.hstack([np.sqrt(2 / (quality.FEATURES - 1)) * np.cos(z @ frequency + phase), np.ones((len(z), 1))])
+    ridge = lambda use: np.linalg.lstsq(np.vstack([z[use], np.sqrt(quality.RIDGE) * np.eye(quality.FEATURES)]), np.concatenate([y[use], np.zeros(quality.FEATURES)]), rcond=None)[0]
+    place = lambda raw: (raw + 0.5) / 2 * quality.SCORE_BINS
+    other = np.zeros(len(z))
+    for f in range(5):
+        other[fold == f] = z[fold == f] @ ridge(train & (fold != f))
+    own = np.clip(place(other[train]), 0, quality.SCORE_BINS - 1).astype(int)
+    bins, at = np.unique(own, return_inverse=True)
+    weight = np.bincount(at).astype(float)
+    level = isotonic(np.bincount(at, weights=y[train]) / weight, weight)
+    knots, levels = [], []
+    for v in np.unique(level.round(12)):
+        inside = bins[np.abs(level - v) < 1e-9]
+        knots += [inside[0] + 0.25, inside[-1] + 0.75]
+        levels += [v, v]
+    want = np.clip(np.interp(place(z @ ridge(train)), knots, levels), 0, 1)
+    assert np.abs(np.array([got[i] for i, _, _ in rows]) - want).max() < 1e-6
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -68,6 +109,32 @@ def test_language_id(spark):
     assert language_id.identify(docs.limit(0), contents).count() == 0
 
 
+def test_language_judgement_equals_plain_compression():
+    rng = random.Random(6)
+    parts = {"aa": ["tha", "ing", "er", "the"], "bb": ["ção", "ên", "os", "de"], "cc": ["sch", "ung", "ße", "ver"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    contents = {k: language_id.distinct_words(text(k, 3000)) for k in parts}
+    judge = language_id.Compressors(contents)
+    for sample in [text(k, n) for k in parts for n in (1, 5, 60, 4000)] + ["x", "É", text("aa", 30) + text("cc", 30)]:
+        words = b" ".join(dict.fromkeys(re.findall(rb"[a-z\x80-\xff]+", sample.lower().encode())))
+        sizes = {}
+        for k in sorted(parts):
+            one = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(contents[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=language_id._parameters())
+            sizes[k] = sum(len(one.compress(words[i : i + language_id.PIECE])) for i in range(0, len(words), language_id.PIECE))
+        best = min(sorted(parts), key=sizes.get)
+        lang, score, margin = judge.judge(sample)
+        assert lang == best
+        assert abs(score - 1 / sum(np.exp(-(v - sizes[best]) / (1 + 0.01 * len(words))) for v in sizes.values())) < 1e-9
+        assert abs(margin - (sorted(sizes.values())[1] - sizes[best]) / (1 + len(words))) < 1e-9
+
+
+def test_more_languages_than_are_learned(spark):
+    rows = [(f"text {i} of {lang}", lang) for lang, n in (("a", 3), ("b", 5), ("c", 3), ("d", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows * 2, "t string, l string")
+    sample = language_id.sample_texts(df, quality.F.col("t"), quality.F.col("l"), languages=2)
+    assert {k: sorted(v) for k, v in sample.items()} == {k: sorted(t for t, l in rows if l == k) for k in ("a", "b")}
+
+
 KEY = "AKIA" + "ABCD1234" * 2
 BLOB = "wJalrXUtnFEMI" + "K7MDENGbPxRfiCYEXAMPLEKEY" * 2
 TEXTS = [

@@ -7,7 +7,8 @@ second smallest tells how sure that is.
 
 The dictionaries come from a bounded sample: per language about SAMPLE_DOCS
 distinct texts chosen by their hash, SNIPPET characters from the middle
-of each. Half of the sample judges the other half, and snippets whose own
+of each; of the MAX_LANGUAGES languages with the most distinct texts, if there
+are more. Half of the sample judges the other half, and snippets whose own
 language doesn't win are left out, since labels can be wrong. Everything else
 covers all documents.
 
@@ -100,13 +101,11 @@ def learn(sample: dict[str, list[str]]) -> dict[str, bytes]:
     return _contents({k: kept[k] or sample[k] for k in sample})
 
 
-def sample_texts(df: DataFrame, text: Column, lang: Column, docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Snippets by language, of distinct texts; the number of languages is checked, that of snippets bounded."""
+def sample_texts(df: DataFrame, text: Column, lang: Column, docs: int = SAMPLE_DOCS, languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
+    """Snippets by language, of distinct texts; bounded by `docs` for a language and by `languages`, ties in name order."""
     rows = df.select(text.alias("t"), lang.cast("string").alias("l")).where("l IS NOT NULL AND length(t) > 0")
     texts = rows.select("l", F.xxhash64("t").alias("h")).distinct()
-    counts = {r["l"]: r["n"] for r in texts.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["l"]: r["n"] for r in texts.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * docs / n))))
