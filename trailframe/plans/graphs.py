@@ -147,7 +147,7 @@ def random_walk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add("""
-WITH RECURSIVE c AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS x, p_partkey % 40 AS y FROM part WHERE p_size % 3 <> 0), b AS (SELECT x, y, x // 3 AS s FROM c),
+WITH RECURSIVE w AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM part), c AS (SELECT p_partkey // w AS x, p_partkey % w AS y FROM part, w WHERE p_size > 18),
 r AS (SELECT x, y, x AS rx, y AS ry FROM c UNION SELECT c.x, c.y, r.rx, r.ry FROM r JOIN c ON abs(c.x - r.x) + abs(c.y - r.y) = 1)
 SELECT x, y, min(rx || ',' || ry) AS region FROM r GROUP BY x, y""")
 def grid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def action_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(r"""
-WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>' || left(text, 10) || '</think><action>go|turn(left)</action>' WHEN 1 THEN '<action>go</action>' ELSE 'no <action>x y(</action> z' END AS s FROM conversations)
+WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>' || text || '</think><action>go|turn(left)</action>' WHEN 1 THEN '<action>go</action>' ELSE 'no <action>x y(</action> z' END AS s FROM conversations)
 SELECT conv_id, turn, turn % 3 = 0 AS free_think, true AS eval_mode, turn % 3 = 1 AS no_think,
   turn % 3 <> 2 AS list_ok, CAST(CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_actions FROM t""")
 def response_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,10 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(lower(replace(text, chr(10), ' ')), '[[:punct:]]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM documents""")
+WITH t AS (SELECT doc_id, regexp_replace(lower(text), '[[:punct:]]', '', 'g') AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(t, '(^|[^\pL\pN_])(a|an|the)($|[^\pL\pN_])', '\1 \3', 'g') AS t FROM t),
+b AS (SELECT doc_id, regexp_replace(t, '(^|[^\pL\pN_])(a|an|the)($|[^\pL\pN_])', '\1 \3', 'g') AS t FROM a) -- again for neighbours that share a separator
+SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS norm FROM b""")
 def em_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_answer(F.col("text")).alias("norm"))
 
@@ -116,7 +119,7 @@ def last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add("""
-SELECT doc_id, regexp_replace(left(text, 50), '[aeiou]', '*', 'g') AS masked FROM documents""")
+SELECT doc_id, regexp_replace(text, '[aeiou]', '*', 'g') AS masked FROM documents""")
 def masked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", parse.masked(F.col("text"), "[aeiou]").alias("masked"))
 

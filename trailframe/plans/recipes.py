@@ -52,7 +52,7 @@ def sharegpt_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add("""
-SELECT doc_id, 'chosen' AS kind, left(text, 20) AS text FROM documents UNION ALL SELECT doc_id, 'rejected', right(text, 20) FROM documents""")
+SELECT doc_id, 'chosen' AS kind, text FROM documents UNION ALL SELECT doc_id, 'rejected', lower(text) FROM documents""")
 def pair_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chosen"), F.lower("text").alias("rejected"))
     return X.unpivot_pair(rows, "doc_id", "chosen", "rejected")

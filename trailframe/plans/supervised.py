@@ -95,9 +95,11 @@ def room_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add(f"""
 WITH {EVENTS}, p AS (SELECT user_id, event_id AS item, value AS x, k AS y, k % 4 AS f, value + (k % 3) AS gx, CASE WHEN k % 10 > 0 THEN k + 1 END AS gy, k % 2 AS gf FROM ev),
-d AS (SELECT *, (sign(lead(x) OVER w - x) = sign(lead(gx) OVER w - gx) AND sign(lead(y) OVER w - y) = sign(lead(gy) OVER w - gy))::INT AS dir, pow(x - gx, 2) + pow(y - gy, 2) AS sq FROM p WINDOW w AS (PARTITION BY user_id ORDER BY item)),
-g AS (SELECT user_id, coalesce(avg(dir), 0) AS direction, avg((f = gf)::INT) AS facing, coalesce(exp(-sqrt(avg(sq)) / greatest(max(x) - min(x), max(y) - min(y), 1e-9)) * count(sq) / count(*), 0) AS position FROM d GROUP BY user_id)
-SELECT user_id, round(direction, 6) + 0.0 AS direction, round(facing, 6) + 0.0 AS facing, round(position, 6) + 0.0 AS position, round((direction + facing + position) / 3, 6) + 0.0 AS overall FROM g""")
+q AS (SELECT user_id, item, x, y, gx, gy FROM p UNION ALL SELECT DISTINCT user_id, NULL, 0, 0, 0, 0 FROM p),
+d AS (SELECT a.user_id, avg(coalesce(sign(a.x - b.x) = sign(a.gx - b.gx) AND sign(a.y - b.y) = sign(a.gy - b.gy), false)::INT) AS direction
+  FROM q a JOIN q b ON a.user_id = b.user_id AND (a.item < b.item OR (a.item IS NOT NULL AND b.item IS NULL)) GROUP BY 1),
+g AS (SELECT user_id, avg((f = gf)::INT) AS facing, coalesce(exp(-sqrt(avg(pow(x - gx, 2) + pow(y - gy, 2))) / greatest(max(x) - min(x), max(y) - min(y), 1e-9)) * count(gy) / count(*), 0) AS position FROM p GROUP BY 1)
+SELECT user_id, round(direction, 6) + 0.0 AS direction, round(facing, 6) + 0.0 AS facing, round(position, 6) + 0.0 AS position, round((direction + facing + position) / 3, 6) + 0.0 AS overall FROM d JOIN g USING (user_id)""")
 def map_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     rows = events(spark, sf_dir).select("user_id", F.col("event_id").alias("item"), F.col("value").alias("x"), k.alias("y"), (k % 4).alias("facing"), (F.col("value") + k % 3).alias("gx"), F.when(k % 10 > 0, k + 1).alias("gy"), (k % 2).alias("gfacing"))
