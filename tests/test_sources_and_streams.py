@@ -91,6 +91,53 @@ def test_incremental_edges(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out") + "/*").collect()) == [1, 2, 3]
 
 
+def test_incremental_edges_of_a_batch_that_runs_again(spark, tmp_path):
+    schema = "k long, v string"
+    spark.createDataFrame([(1, "a"), (2, "b")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda cp: streams.incremental_edges(streams.file_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / cp), ["k"]).awaitTermination()
+    got = lambda: sorted(r["k"] for r in spark.read.schema(schema).parquet(f"{tmp_path}/out/*/*").collect())
+    run("cp")
+    spark.createDataFrame([(2, "z"), (3, "d")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run("cp")
+    assert got() == [1, 2, 3]
+    commits = sorted((f for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    for name in (commits[-1].name, f".{commits[-1].name}.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    run("cp")  # the last batch again
+    assert got() == [1, 2, 3]
+    run("other")  # from the start, into the same table
+    assert got() == [1, 2, 3]
+
+
+def test_shuffle_buffer_keeps_all_rows(spark):
+    df = spark.range(0, 1000, 1, 2)
+    got = [r["id"] for r in streams.shuffled(df, 5, buffer=16).collect()]
+    assert sorted(got) == list(range(1000)) and got != sorted(got)
+    assert got == [r["id"] for r in streams.shuffled(df, 5, buffer=16).collect()]
+    assert streams.shuffled(df.limit(0), 5).count() == 0
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"line {i}" if i % 5 else "" for i in range(5000)]
+    (tmp_path / "3.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "4.txt").write_text("a\n\nb")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sorted((r["step_idx"], r["line_idx"], r["value"]) for r in readers.text_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(3, i, x) for i, x in enumerate(lines)] + [(4, 0, "a"), (4, 1, ""), (4, 2, "b")]
+
+
+def test_result_table_has_all_rows_and_quotes_cells(spark):
+    df = spark.range(12_000).selectExpr("concat('a,\"', id) AS name", "CAST(id AS double) AS score")
+    import csv
+
+    rows = list(csv.reader(readers.result_table(df, "score", "csv").splitlines()))
+    assert len(rows) == 12_001 and rows[1] == ['a,"11999', "11999.0000"]
+
+
 def test_bounded_queue_drops_the_oldest(spark, tmp_path):
     spark.createDataFrame([("q", i, i) for i in range(5)], "q string, x long, o long").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streams.file_stream(spark, str(tmp_path / "in"), "q string, x long, o long")

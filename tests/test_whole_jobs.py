@@ -27,11 +27,11 @@ def got(spark, query):
 
 
 MAPS = f"""
-WITH {EVENTS}, p AS (SELECT user_id, event_id AS item, value AS x, k AS y, k % 4 AS f, value + (k % 3) AS gx, CASE WHEN k % 10 > 0 THEN k + 1 END AS gy, k % 2 AS gf FROM ev),
+WITH {EVENTS}, p AS (SELECT user_id, event_id AS item, value AS x, k AS y, k % 4 AS f, CASE WHEN k % 10 > 0 THEN value + (k % 3) END AS gx, CASE WHEN k % 10 > 0 THEN k + 1 END AS gy, k % 2 AS gf FROM ev),
 q AS (SELECT user_id, item, x, y, gx, gy FROM p UNION ALL SELECT DISTINCT user_id, NULL, 0, 0, 0, 0 FROM p),
-d AS (SELECT a.user_id, avg(coalesce(sign(a.x - b.x) = sign(a.gx - b.gx) AND sign(a.y - b.y) = sign(a.gy - b.gy), false)::INT) AS direction
+d AS (SELECT a.user_id, avg(coalesce(CAST(floor((((degrees(atan2(b.x - a.x, b.y - a.y)) + 360) % 360) + 22.5) / 45) AS BIGINT) % 8 = CAST(floor((((degrees(atan2(b.gx - a.gx, b.gy - a.gy)) + 360) % 360) + 22.5) / 45) AS BIGINT) % 8, false)::INT) AS direction
   FROM q a JOIN q b ON a.user_id = b.user_id AND (a.item < b.item OR (a.item IS NOT NULL AND b.item IS NULL)) GROUP BY 1),
-g AS (SELECT user_id, avg((f = gf)::INT) AS facing, coalesce(exp(-sqrt(avg(pow(x - gx, 2) + pow(y - gy, 2))) / greatest(max(x) - min(x), max(y) - min(y), 1e-9)) * count(gy) / count(*), 0) AS position FROM p GROUP BY 1)
+g AS (SELECT user_id, avg(coalesce(f = gf, false)::INT) AS facing, coalesce(exp(-sqrt(avg(pow(x - gx, 2) + pow(y - gy, 2))) / nullif(sqrt(avg(x * x + y * y) FILTER (WHERE gy IS NOT NULL)), 0)) * count(gy) / count(*), 0) AS position FROM p GROUP BY 1)
 SELECT user_id, direction, facing, position, (direction + facing + position) / 3 FROM d JOIN g USING (user_id)"""
 
 

@@ -55,7 +55,7 @@ def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages by a backward fold; masked tokens are passed over and get 0."""
+    """Generalised advantages by a backward fold; masked tokens are passed over and carry the advantage after them."""
     triples = F.reverse(F.transform(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")), lambda x: x))
     zero = F.lit(0.0)
     start = F.struct(zero.alias("v"), zero.alias("a"), F.array().cast("array<double>").alias("out"))
@@ -64,6 +64,6 @@ def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float)
         on = x["m"] > 0
         delta = x["r"].cast("double") + gamma * s["v"] - x["v"]
         adv = delta + gamma * lam * s["a"]
-        return F.struct(F.when(on, x["v"].cast("double")).otherwise(s["v"]).alias("v"), F.when(on, adv).otherwise(s["a"]).alias("a"), F.concat(F.array(F.when(on, adv).otherwise(zero)), s["out"]).alias("out"))
+        return F.struct(F.when(on, x["v"].cast("double")).otherwise(s["v"]).alias("v"), F.when(on, adv).otherwise(s["a"]).alias("a"), F.concat(F.array(F.when(on, adv).otherwise(s["a"])), s["out"]).alias("out"))
 
     return F.aggregate(triples, start, step, lambda s: s["out"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from collections.abc import Callable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,14 +88,14 @@ def split_multi(edges: DataFrame) -> DataFrame:
     )
 
 
-def congruent(edges: DataFrame, preferred: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def congruent(edges: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
     """Merge nodes to a fixpoint: same source and action join targets, same target and action join sources.
 
     Representatives are preferred nodes, else real before virtual ones, else the least name.
     """
     spark = edges.sparkSession
     edges = cut(spark, edges, "congruence")
-    for _ in range(rounds):
+    while True:  # each round has fewer nodes, or is the last
         side = lambda key, node: edges.groupBy(key, "action").agg(F.min(node).alias("m"), F.max(node).alias("x")).where("m <> x").join(edges, [key, "action"]).select("m", F.col(node).alias("n")).where("m <> n")
         pairs = cut(spark, side("src", "dst").union(side("dst", "src")).distinct(), "pairs")
         if not pairs.limit(1).count():
@@ -113,7 +114,6 @@ def congruent(edges: DataFrame, preferred: DataFrame | None = None, rounds: int
         for end in ("src", "dst"):
             out = out.join(renamed.select(F.col("n").alias(end), F.col("rep").alias("_rep")), end, "left").withColumn(end, F.coalesce("_rep", end)).drop("_rep")
         edges = cut(spark, out.where("src <> dst").groupBy("src", "dst", "action").agg(F.min("ord").alias("ord")), "congruence")
-    raise RuntimeError("the merge did not settle")
 
 
 def per_component(edges: DataFrame, solve: Callable[[list[tuple]], list[tuple]], schema: str, columns: list[str]) -> DataFrame:
@@ -307,13 +307,13 @@ def component_stats(edges: DataFrame) -> DataFrame:
     return per_component(edges, _diameter, "component string, n_nodes long, n_edges long, avg_degree_simple double, diameter long", ["component", "n_nodes", "n_edges", "avg_degree_simple", "diameter"])
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, hops) by breadth-first rounds; each round's frontier is written to the shared folder."""
     spark = edges.sparkSession
     step = edges.select("src", "dst").distinct()
     seen = cut(spark, sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")), "reach")
     front = seen
-    for depth in range(1, rounds + 1):
+    for depth in count(1):
         new = front.join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(depth))
         front = cut(spark, new, "reach")
         if not front.limit(1).count():
@@ -321,15 +321,14 @@ def distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataF
         seen = seen.union(front)
         if depth % 20 == 0:
             seen = cut(spark, seen, "reach")
-    raise RuntimeError("the search did not end")
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, rounds: int = 1000) -> dict:
+def shortest_path(edges: DataFrame, src: str, dst: str) -> dict:
     """Nodes and actions of a shortest directed path; -1 with a reason without one; None for an unknown node."""
     known = edges.where(F.col("src").isin(src, dst) | F.col("dst").isin(src, dst)).select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").isin(src, dst)).distinct().count()
     if known < len({src, dst}):
         return {"length": None, "error": "unknown node"}
-    reach = distances(edges, edges.sparkSession.createDataFrame([(src,)], "node string"), rounds)
+    reach = distances(edges, edges.sparkSession.createDataFrame([(src,)], "node string"))
     far = reach.where(F.col("node") == dst).first()
     if far is None:
         return {"length": -1, "error": "no path"}

@@ -182,7 +182,7 @@ def choice_quality(df: DataFrame, group: str, count: str, most: int) -> DataFram
     return df.groupBy(group).agg(F.coalesce(F.try_divide(F.sum(F.log2(F.lit(float(most)) / c)), F.count(F.lit(1)) * F.log2(F.lit(float(most)))), F.lit(0.0)).alias("quality"))
 
 
-def arc_consistent(cells: DataFrame, constraints: DataFrame, allowed: DataFrame, rounds: int = 100) -> DataFrame:
+def arc_consistent(cells: DataFrame, constraints: DataFrame, allowed: DataFrame) -> DataFrame:
     """Candidates (var, value) that keep support under every constraint (a, b, kind) with allowed (kind, x, y)."""
     from trailframe.storage import cut
 
@@ -191,7 +191,7 @@ def arc_consistent(cells: DataFrame, constraints: DataFrame, allowed: DataFrame,
     pairs = allowed.select("kind", "x", "y", F.lit(False).alias("turned")).union(allowed.select("kind", F.col("y"), F.col("x"), F.lit(True)))
     now = cut(spark, cells.select("var", "value").distinct(), "domain")
     size = now.count()
-    for _ in range(rounds):
+    while True:  # each round takes values away, or is the last
         need = now.join(sym, F.col("var") == F.col("a")).select("var", "value", "b", "kind", "turned")
         other = now.select(F.col("var").alias("b"), F.col("value").alias("y"))
         held = need.join(pairs, [need["kind"] == pairs["kind"], need["turned"] == pairs["turned"], need["value"] == pairs["x"]]).select(need["var"], need["value"], need["b"], need["kind"], need["turned"], pairs["y"]).join(other, ["b", "y"], "left_semi").select("var", "value", "b", "kind", "turned").distinct()
@@ -201,7 +201,6 @@ def arc_consistent(cells: DataFrame, constraints: DataFrame, allowed: DataFrame,
         if left == size:
             return now
         size = left
-    raise RuntimeError("the filter did not settle")
 
 
 def detected_fields(df: DataFrame, json: str) -> DataFrame:

@@ -164,25 +164,17 @@ def merged_reasoning(original: DataFrame, improved: DataFrame, record: str, turn
     return out.where(F.lit(keep_plain) | (F.col("cls") != "dropped")).select(record, "texts", "cls")
 
 
-def sampling_seeds(spark, specs: dict[str, list[int]]) -> DataFrame:
-    """Seeds per name: an explicit list, or a rule of one (count), two (range) or three numbers (range and repeats)."""
-    parts = []
-    for name, rule in specs.items():
-        low, high, times = {1: lambda: (0, rule[0], 1), 2: lambda: (*rule, 1), 3: lambda: tuple(rule)}.get(len(rule), lambda: (None, None, 1))()
-        seeds = F.array(*map(F.lit, rule)) if low is None else F.sequence(F.lit(low), F.lit(high - 1))
-        parts.append(spark.range(1).select(F.lit(name).alias("name"), F.explode(seeds).alias("seed")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 #: Items of a map's block; pairs of blocks are compared in one task each.
 MAP_BLOCK = 2048
 
 
+def sector(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """Number of the eight 45 degree sectors around the axes; NaN, which equals nothing, for missing places."""
+    return np.floor(((np.degrees(np.arctan2(dx, dy)) + 360) % 360 + 22.5) / 45) % 8
+
+
 def agreeing_pairs(pairs: DataFrame, group: str, block: int = MAP_BLOCK) -> DataFrame:
-    """Per map the number of item pairs whose guess has the truth's signs of both axes; a missing guess agrees with nothing.
+    """Per map the number of item pairs whose guess lies in the truth's direction, one of eight sectors; a missing guess agrees with nothing.
 
     A map's items are dealt to blocks by hash and every two blocks meet once, so a large map is spread over tasks.
     """
@@ -193,8 +185,8 @@ def agreeing_pairs(pairs: DataFrame, group: str, block: int = MAP_BLOCK) -> Data
         b = a if same else pdf[pdf["_b"] == pdf["_j"].iloc[0]][["x", "y", "gx", "gy"]].to_numpy("float64")
         hits = 0
         for k, row in enumerate(a):
-            side = np.sign((b[k + 1 :] if same else b) - row)  # a null is NaN, which equals nothing
-            hits += int(((side[:, 0] == side[:, 2]) & (side[:, 1] == side[:, 3])).sum())
+            side = (b[k + 1 :] if same else b) - row
+            hits += int((sector(side[:, 0], side[:, 1]) == sector(side[:, 2], side[:, 3])).sum())
         return pd.DataFrame({group: pdf[group].iloc[:1], "hits": [hits]})
 
     sizes = pairs.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
@@ -206,20 +198,28 @@ def agreeing_pairs(pairs: DataFrame, group: str, block: int = MAP_BLOCK) -> Data
     return counted.groupBy(group).agg(F.sum("hits").alias("hits"))
 
 
-def map_similarity(pairs: DataFrame, group: str) -> DataFrame:
-    """Direction, facing and scaled distance agreement per map: pairs hold (x, y, facing) of truth and guess; absent guesses are null.
+def map_similarity(pairs: DataFrame, group: str, rescale: bool = False) -> DataFrame:
+    """Direction, facing and distance agreement per map: pairs hold (item, x, y, facing) of truth and guess (gx, gy, gfacing); absent guesses are null.
 
-    coverage * exp(-rmse / scale), the scale being the truth's extent; direction compares all pairs of a
-    map's items and the initial place (0, 0), and a pair with a missing guess is wrong.
+    Direction compares the sectors of all pairs of a map's items and the initial
+    place (0, 0); a pair with a missing guess is wrong. Facing is over items whose
+    truth has one, a missing guess is wrong, 1 without such items. Position is
+    exp(-rmse / scale) * coverage, the scale being the root mean square of the
+    matched truths; rescale: the guess is first stretched by the least-squares factor.
     """
-    sign = lambda c: F.signum(F.col(c).cast("double"))
-    start = F.coalesce((sign("x") == sign("gx")) & (sign("y") == sign("gy")), F.lit(False))
-    rows = pairs.withColumn("_sq", (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy")))
-    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
+    x, y, gx, gy = (F.col(c).cast("double") for c in ("x", "y", "gx", "gy"))
+    met = gx.isNotNull() & gy.isNotNull()
+    side = lambda a, b: F.pmod(F.floor((F.pmod(F.degrees(F.atan2(-a, -b)) + 360, F.lit(360.0)) + 22.5) / 45), F.lit(8))
+    start = F.coalesce(side(x, y) == side(gx, gy), F.lit(False))
+    factor = pairs.where(met).groupBy(group).agg(F.try_divide(F.sum(x * gx + y * gy), F.sum(gx * gx + gy * gy)).alias("_f"))
+    rows = pairs.join(factor, group, "left").withColumn("_f", F.col("_f") if rescale else F.lit(1.0))
+    error = (gx * F.col("_f") - x) * (gx * F.col("_f") - x) + (gy * F.col("_f") - y) * (gy * F.col("_f") - y)
     n = F.count(F.lit(1))
+    scale = F.sqrt(F.avg(F.when(met, x * x + y * y)))
     got = rows.groupBy(group).agg(
-        F.sum(start.cast("long")).alias("_start"), (n * (n + 1) / 2).alias("_pairs"), F.coalesce(F.avg((F.col("facing") == F.col("gfacing")).cast("int")), F.lit(0.0)).alias("facing"),
-        F.coalesce(F.exp(-F.sqrt(F.avg("_sq")) / extent) * F.count("_sq") / F.count(F.lit(1)), F.lit(0.0)).alias("position"),
+        F.sum(start.cast("long")).alias("_start"), (n * (n + 1) / 2).alias("_pairs"),
+        F.coalesce(F.avg(F.when(F.col("facing").isNotNull(), F.coalesce((F.col("facing") == F.col("gfacing")).cast("int"), F.lit(0)))), F.lit(1.0)).alias("facing"),
+        F.coalesce(F.when(scale > 0, F.exp(-F.sqrt(F.avg(F.when(met, error))) / scale)) * F.count(F.when(met, 1)) / n, F.lit(0.0)).alias("position"),
     )
     got = got.join(agreeing_pairs(pairs, group), group).withColumn("direction", (F.col("hits") + F.col("_start")) / F.col("_pairs"))
     return got.select(group, "direction", "facing", "position", ((F.col("direction") + F.col("facing") + F.col("position")) / 3).alias("overall"))

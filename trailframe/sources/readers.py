@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,22 +22,28 @@ def stem_number(path: Column) -> Column:
 def text_lines(spark: SparkSession, path: str, number: bool = True) -> DataFrame:
     """Lines with their file, step and, if asked, line number; blank lines keep their number.
 
-    A file's lines are numbered inside one streamed pass over that file.
+    Lines are numbered inside each split of a file, after those of the splits before it.
     """
     if not number:
         return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).withColumn("step_idx", stem_number(F.col("file")))
-    whole = spark.read.format("binaryFile").load(path).select("path", "content")
+    meta = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
         for batch in batches:
-            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lines = raw.as_py().decode("utf-8", "replace").split("\n")
-                lines = lines[:-1] if lines and not lines[-1] else lines
-                for at in range(0, len(lines), 8192):
-                    own = lines[at : at + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(own)), pa.array(range(at, at + len(own)), pa.int64()), pa.array(own)], names=["file", "line_idx", "value"])
+            places = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                now, n = key, n + 1 if key == now else 0
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["file", "block", "value", "place"])
 
-    return whole.mapInArrow(run, "file string, line_idx long, value string").withColumn("step_idx", stem_number(F.col("file")))
+    numbered = rows.mapInArrow(run, "file string, block long, value string, place long")
+    per = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))  # one row for each split of a file
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("start"))
+    out = numbered.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return out.select("file", (F.col("start") + F.col("place")).alias("line_idx"), "value").withColumn("step_idx", stem_number(F.col("file")))
 
 
 def read_rollouts(spark: SparkSession, path: str, strict: bool = True, number: bool = False) -> DataFrame:
@@ -181,19 +187,24 @@ def write_datasets(spark: SparkSession, datasets: dict[str, DataFrame], path: st
     return info
 
 
+def _quoted(cell: str) -> str:
+    return '"' + cell.replace('"', '""') + '"' if any(c in cell for c in ',"\r\n') else cell
+
+
 def result_table(df: DataFrame, score: str, kind: str) -> str:
-    """A result table, best score first, as csv, markdown or latex; for reports of a row per model."""
-    rows = df.orderBy(F.desc(score)).limit(10_000).toPandas()
-    cells = [[("" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in rows.itertuples(index=False)]
-    names = list(rows.columns)
+    """A result table, best score first, as csv (quoted where needed), markdown or latex; all rows, so for reports of a row per model."""
+    if kind not in ("csv", "markdown", "latex"):
+        raise ValueError(kind)
+    names = df.columns
+    shown = lambda v: "" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v)
+    cells = [[shown(v) for v in r] for r in df.orderBy(F.desc(score)).toLocalIterator()]
     if kind == "csv":
-        return "\n".join(",".join(r) for r in [names, *cells]) + "\n"
+        return "".join(",".join(map(_quoted, r)) + "\n" for r in [names, *cells])
     if kind == "markdown":
-        return "\n".join("| " + " | ".join(r) + " |" for r in [names, ["---"] * len(names), *cells]) + "\n"
-    if kind == "latex":
-        body = " \\\\\n".join(" & ".join(r) for r in [names, *cells])
-        return f"\\begin{{tabular}}{{{'l' * len(names)}}}\n{body} \\\\\n\\end{{tabular}}\n"
-    raise ValueError(kind)
+        mark = [[c.replace("|", "\\|").replace("\n", " ") for c in r] for r in cells]
+        return "\n".join("| " + " | ".join(r) + " |" for r in [names, ["---"] * len(names), *mark]) + "\n"
+    body = " \\\\\n".join(" & ".join(r) for r in [names, *cells])
+    return f"\\begin{{tabular}}{{{'l' * len(names)}}}\n{body} \\\\\n\\end{{tabular}}\n"
 
 
 def eval_to_rollout(df: DataFrame, key: str, turn: str, role: str, content: str) -> DataFrame:

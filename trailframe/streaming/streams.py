@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trailframe.sources.readers import merge_graph
-
 
 def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", per_trigger: int = 16) -> DataFrame:
     """New files of a folder, a bounded number per trigger; files seen before are skipped by the checkpoint."""
@@ -38,17 +40,28 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
     return q
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path; none if it doesn't exist."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(root) if f.isDirectory()) if files.exists(root) else []
+
+
 def incremental_edges(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Each micro-batch adds the edges that the table lacks; a batch that runs again adds nothing twice."""
+    """Each micro-batch adds the edges that the table lacks; a batch that runs again replaces its own.
+
+    A batch is compared with the batches before it and with those of other
+    checkpoints, never with itself, and written to a folder of its own.
+    """
+    run = f"run={zlib.crc32(checkpoint.encode()):08x}"
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/*")
-        except Exception:  # the first batch finds no table
-            old = spark.createDataFrame([], batch.schema)
-        fresh = merge_graph(old, batch, keys).join(old, keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        done = [f"{path}/{r}/{e}" for r in _folders(spark, path) for e in _folders(spark, f"{path}/{r}") if r != run or int(e.removeprefix("epoch=")) < epoch]
+        fresh = batch.dropDuplicates(keys)
+        if done:
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(*done), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/{run}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -81,9 +94,27 @@ def bounded_queue(stream: DataFrame, queue: str, item: str, order: str, size: in
     return rows.groupBy("queue").applyInPandasWithState(step, "queue string, items array<long>, dropped long", "items array<long>, dropped long", "update", GroupStateTimeout.NoTimeout)
 
 
-def shuffled_batches(stream: DataFrame, key: str, seed: int) -> DataFrame:
-    """A hash that orders the rows of each micro-batch, for a shuffle buffer of the batch's size."""
-    return stream.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key)))
+def shuffled(df: DataFrame, seed: int, buffer: int = 16384) -> DataFrame:
+    """Rows of each partition through a shuffle buffer: a row that comes in takes the place of a random one, which goes out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, held, schema = np.random.default_rng([seed, TaskContext.get().partitionId()]), [], None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in batch.to_pylist():
+                if len(held) < buffer:
+                    held.append(row)
+                    continue
+                at = int(rng.integers(buffer))
+                out.append(held[at])
+                held[at] = row
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        rng.shuffle(held)
+        for at in range(0, len(held), 4096):
+            yield pa.RecordBatch.from_pylist(held[at : at + 4096], schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 class StickyRouter:
