@@ -43,7 +43,7 @@ from trailframe.storage import cut
 CHUNKS, WIDTH = 14, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Shingles in one block of a candidate group, on average; a cell holds two blocks.
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 250_000
 _RNG = np.random.Generator(np.random.PCG64(11))
 _MUL = (_RNG.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)[:, None]
@@ -90,7 +90,10 @@ def exact_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         word = np.where(inside, code[np.minimum(first + j, max(len(code) - 1, 0))] + 1, 0) if len(code) else acc
         acc = pd.factorize(acc * (len(first_of) + 1) + word)[0].astype(np.int64)
     total = int(acc.max(initial=0)) + 1
-    pairs = np.unique(owner * total + acc)
+    owner *= total
+    owner += acc
+    del acc, first, code
+    pairs = np.unique(owner)
     return pairs % total, np.searchsorted(pairs // total, np.arange(len(texts) + 1))
 
 
@@ -186,7 +189,9 @@ def _verified(df: DataFrame, size: int, percent: int) -> DataFrame:
     """df: (c, i, j, node, t) of cells, sorted by cell and node. Rows (a, b): forest edges."""
 
     def solve(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-        found = forest(np.array(ids), *exact_sets(texts, size), percent)
+        sets = exact_sets(texts, size)
+        texts.clear()
+        found = forest(np.array(ids), *sets, percent)
         return pa.RecordBatch.from_arrays([pa.array([ids[p] for p, _ in found], pa.int64()), pa.array([ids[q] for _, q in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
