@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trailframe.operators import advantages, aggregates, batch, graph, joins, recipes, sampling, trajectories
+from trailframe.operators import advantages, aggregates, batch, graph, joins, recipes, retrieval, sampling, trajectories
 from trailframe.operators.retrieval import bm25_topk, dense_topk
 from trailframe.registry import Registry
 
@@ -95,6 +95,12 @@ def test_advantages(spark):
     assert [round(x, 6) for x in adv(group(spark, [1, 3, 2]), advantages.best_only("r", "g", "i"))] == [0.0, round(1 / (1 + 1e-6), 6), 0.0]
     with pytest.raises(Exception, match="two rows"):
         adv(single, advantages.best_only("r", "g", "i"))
+    flat = group(spark, [1, 3, 3]).union(group(spark, [5, 4], None)).union(spark.createDataFrame([("h", 0, None), ("h", 1, 2.0)], "g string, i long, r double"))
+    for scale in (True, False):
+        by_window = flat.select("g", "i", advantages.best_only("r", "g", "i", scale).alias("adv"))
+        assert sorted(rows(advantages.best_leads(flat, "r", "g", "i", scale).select("g", "i", "adv")), key=str) == sorted(rows(by_window), key=str)
+    with pytest.raises(Exception, match="two rows"):
+        advantages.best_leads(single, "r", "g", "i").collect()
     assert adv(two.withColumn("n", F.col("r")), advantages.opo("r", "g", "n")) == [-1.5, 0.5]
 
 
@@ -184,6 +190,13 @@ def test_splits_and_mixes(spark):
     assert sampling.take(df, "id", 7).count() == 7 and sampling.resampled(df, "id", 50).count() == 50
     over = sampling.interleaved(df.where("g < 2 AND (g = 0 OR id < 50)"), "g", "id", mode="over")
     assert {r["count"] for r in over.groupBy("g").count().collect()} == {20}
+    hot = df.withColumn("g", F.when(F.col("id") >= 150, F.lit(None)).when(F.col("id") < 120, 1).otherwise(2))
+    once = sampling.interleaved(hot, "g", "id", mode="once")
+    assert {r["g"]: r["l"] for r in once.groupBy("g").agg(F.sort_array(F.collect_list("round")).alias("l")).collect()} == {g: list(range(1, n + 1)) for g, n in ((1, 120), (2, 30), (None, 50))}
+    assert sampling.interleaved(hot, "g", "id").count() == 90 and sampling.interleaved(hot.where("false"), "g", "id").count() == 0
+    ring = {r["id"]: r["l"] for r in sampling.negatives(hot, "g", "id", 3).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("slot", "negative"))).alias("l")).collect()}
+    order = [r["id"] for r in hot.where("g = 1").orderBy(sampling.order_key("ring", "id"), "id").collect()]
+    assert len(ring) == 200 and all([n["negative"] for n in ring[k]] == [order[(i + s) % 120] for s in (1, 2, 3)] for i, k in enumerate(order))
     draws = sampling.weighted_draws(spark.createDataFrame([(1, 0.0), (2, 3.0), (3, 1.0)], "k long, w double"), "k", "w", 400)
     n = {r["k"]: r["count"] for r in draws.groupBy("k").count().collect()}
     assert 1 not in n and sum(n.values()) == 400 and 250 < n[2] < 350
@@ -238,11 +251,44 @@ def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox fox"), (3, "green")], "d long, t string")
     got = bm25_topk(docs, "d", "t", spark.createDataFrame([(9, "Red fox")], "q long, x string"), "q", "x", 2)
     assert [r["d"] for r in got.orderBy("rank").collect()] == [1, 2]
-    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(7)], "k long, v array<double>")
-    top = dense_topk(v.where("k = 2"), v, "k", "v", 3, block=1)
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(7)] + [(7, None)], "k long, v array<double>")
+    top = dense_topk(v.where("k = 2"), v, "k", "v", 3)
     assert [(r["doc_id"], r["score"]) for r in top.orderBy("rank").collect()] == [(2, 5.0), (5, 5.0), (1, 3.0)]
 
 
+def test_retrieval_against_brute_force(spark, monkeypatch):
+    """Blocks of two queries, steps of seven documents and of nine additions give the definition's rows; terms are shared unevenly."""
+    import random
+
+    for name, value in (("MAX_QUERIES", 2), ("STEP", 7), ("ADDITIONS", 9)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(3)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 60}"
+    texts = [" ".join(word() for _ in range(rng.randrange(40))) for _ in range(120)] + [None, "", "W1  w2\tw1\n"]
+    asked = [(i, " ".join(word() for _ in range(6))) for i in range(5)] + [(5, None), (6, "nowhere"), (7, "W1 w1")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string").repartition(3)
+    got = retrieval.bm25_topk(docs, "d", "t", spark.createDataFrame(asked, "q long, x string"), "q", "x", 4)
+    bags = [(t or "").lower().split() for t in texts]
+    mean = sum(map(len, bags)) / (len(bags) - 1)
+    want = []
+    for q, x in asked:
+        scored = []
+        for d, bag in enumerate(bags):
+            hits = [t for t in set((x or "").lower().split()) if t in bag]
+            df = {t: sum(t in o for o in bags) for t in hits}
+            s = sum(math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * bag.count(t) / (bag.count(t) + 0.9 * (0.6 + 0.4 * len(bag) / mean)) for t in hits)
+            if hits:
+                scored.append((-round(s, 6), d))
+        want += [(q, d, -s, i + 1) for i, (s, d) in enumerate(sorted(scored)[:4])]
+    assert [(q, d, round(s, 6), r) for q, d, s, r in rows(got, "q", "d", "score", "rank")] == sorted(want)
+    vectors = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(vectors, "k long, v array<double>").repartition(3)
+    top = dense_topk(v.where("k < 5"), v, "k", "v", 3)
+    want = [(q, d, s, i + 1) for q, a in vectors[:5] for i, (s, d) in enumerate([(-s, d) for s, d in sorted((-sum(x * y for x, y in zip(a, b)), d) for d, b in vectors)[:3]])]
+    assert rows(top, "query_id", "doc_id", "score", "rank") == sorted(want)
+    assert retrieval.bm25_topk(docs.where("false"), "d", "t", spark.createDataFrame(asked, "q long, x string"), "q", "x", 4).count() == 0
+
+
 def test_registry():
     r = Registry("metric")
     r.register("a")(lambda x: x + 1)

@@ -53,6 +53,19 @@ def best_only(r: str, group: str, pos: str, scale: bool = True) -> Column:
     return F.when(F.count(F.lit(1)).over(w) < 2, few).when(F.row_number().over(order) == 1, lead).otherwise(0.0)
 
 
+def best_leads(df: DataFrame, r: str, group: str, pos: str, scale: bool = True, out: str = "adv") -> DataFrame:
+    """As `best_only`, for groups of any size: two rows of a group leave a task, and the lead is joined back to the best one's group."""
+    few = F.raise_error(F.lit("a group needs two rows")).cast("double")
+    src = df.withColumn("_g", F.struct(group))
+    two = src.select("_g", F.col(pos).alias("_best"), F.col(r).alias("_v"), F.row_number().over(_group("_g").orderBy(F.desc(r), pos)).alias("_k")).where("_k <= 2")
+    ends = two.groupBy("_g").agg(F.max(F.when(F.col("_k") == 1, F.col("_best"))).alias("_best"), (F.max(F.when(F.col("_k") == 1, F.col("_v"))) - F.max(F.when(F.col("_k") == 2, F.col("_v")))).alias("_lead"))
+    whole = src.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(r).alias("_s"))
+    lead = F.col("_lead") / (F.col("_s") + EPS) if scale else F.col("_lead")
+    rows = src.join(ends.join(whole, "_g"), "_g")
+    adv = F.when(F.col("_n") < 2, few).when(F.col(pos) == F.col("_best"), lead).otherwise(0.0)
+    return rows.withColumn(out, adv).drop("_g", "_best", "_lead", "_n", "_s")
+
+
 def gpg(df: DataFrame, r: str, group: str, norm: float = 1.0) -> DataFrame:
     """alpha * (r - mean) / norm with alpha the batch size by the count of non-zero rewards."""
     total = df.agg((F.count(F.lit(1)) / F.greatest(F.lit(1), F.count_if(F.col(r) != 0))).alias("_alpha"))

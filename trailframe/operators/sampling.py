@@ -27,6 +27,7 @@ def take(df: DataFrame, key: str, n: int, purpose: str = "take", seed: int = SEE
 
 
 def take_per_group(df: DataFrame, group: str, key: str, n: int, purpose: str = "take", seed: int = SEED) -> DataFrame:
+    """n rows of each group in hashed order; Spark limits each group before and after the exchange, so n rows of a group leave a task."""
     w = Window.partitionBy(group).orderBy("_h", key)
     return df.withColumn("_h", order_key(purpose, key, seed=seed)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
 
@@ -124,19 +125,29 @@ def weighted_mix(df: DataFrame, source: str, key: str, weights: dict[str, float]
     return df.withColumn("_n", F.coalesce(n, F.lit(1))).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
+def group_rows(df: DataFrame, group: str, order: list, row: str = "_r", size: str = "_n") -> DataFrame:
+    """Numbers a group's rows from 0 in an order and adds the group's size and its first place in the whole order (`_first`).
+
+    All rows are numbered in range partitions by group and order, so that a large group is many tasks' work; a
+    group's first place is one aggregate. A null group is a group.
+    """
+    rows = numbered(df.withColumn("_g", F.struct(group)), ["_g", *order], "_at")
+    groups = rows.groupBy("_g").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias(size))
+    return rows.join(groups, "_g").withColumn(row, F.col("_at") - F.col("_first")).drop("_g")
+
+
 def interleaved(df: DataFrame, source: str, key: str, seed: int = SEED, mode: str = "under") -> DataFrame:
     """Sources in turn; under: until the shortest ends, once: until all have ended, over: shorter ones again."""
-    n = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
-    ends = n.agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    w = Window.partitionBy(source).orderBy("_h", key)
-    rows = df.withColumn("_h", order_key("interleave", key, seed=seed)).withColumn("round", F.row_number().over(w).cast("long")).join(ends, F.lit(True))
+    rows = group_rows(df.withColumn("_h", order_key("interleave", key, seed=seed)), source, ["_h", key]).withColumn("round", F.col("_r") + 1)
+    ends = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+    rows = rows.join(ends, F.lit(True))
     if mode == "under":
         rows = rows.where("round <= _lo")
     elif mode == "over":
-        rows = rows.join(n, source).withColumn("round", F.explode(F.sequence(F.col("round"), F.col("_hi"), F.col("_n")))).drop("_n")
+        rows = rows.withColumn("round", F.explode(F.sequence(F.col("round"), F.col("_hi"), F.col("_n"))))
     elif mode != "once":
         raise ValueError(mode)
-    return rows.drop("_h", "_lo", "_hi")
+    return rows.drop("_h", "_lo", "_hi", "_r", "_n", "_at", "_first")
 
 
 def ratio_quotas(ratio: list[int], total: int, available: list[int]) -> list[int]:
@@ -165,10 +176,10 @@ def ratio_quotas(ratio: list[int], total: int, available: list[int]) -> list[int
 def negatives(df: DataFrame, group: str, key: str, n: int, seed: int = SEED) -> DataFrame:
     """n other keys of the same group for each row: its next ones on the group's hashed ring.
 
-    The ring is a window over the group, so pairs aren't enumerated; groups of n rows or fewer are left out.
+    Pairs aren't enumerated: rows meet by their places in one order of all groups. Groups of n rows or fewer are left out.
     """
-    w = Window.partitionBy(group).orderBy(order_key("ring", key, seed=seed), key)
-    size = F.count(F.lit(1)).over(Window.partitionBy(group))
-    rows = df.select(group, key, F.row_number().over(w).alias("_r"), size.alias("_n")).where(F.col("_n") > n)
-    wanted = rows.select(group, key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"), "_r", "_n").withColumn("_r", F.pmod(F.col("_r") - 1 + F.col("slot"), F.col("_n")) + 1).drop("_n")
-    return wanted.join(rows.select(group, "_r", F.col(key).alias("negative")), [group, "_r"]).select(group, key, "slot", "negative")
+    src = df.select(group, key).withColumn("_h", order_key("ring", key, seed=seed))
+    rows = group_rows(src, group, ["_h", key]).where(F.col("_n") > n)
+    wanted = rows.select(group, key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"), "_r", "_n", "_first")
+    wanted = wanted.withColumn("_at", F.col("_first") + F.pmod(F.col("_r") + F.col("slot"), F.col("_n")))
+    return wanted.join(rows.select("_at", F.col(key).alias("negative")), "_at").select(group, key, "slot", "negative")

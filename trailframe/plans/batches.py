@@ -196,7 +196,13 @@ def dense_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "doc_id", "rank", r6("score").alias("score"))
 
 
-@catalog.add()
+@catalog.add(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+a AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS term FROM benchmark),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (0.6 + 0.4 * len(w) / mean))), 6) AS score FROM a JOIN df USING (term) JOIN tf USING (term) JOIN w USING (doc_id), n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) SELECT item_id AS q, doc_id AS d, score, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 5""")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as queries against all documents."""
     return bm25_topk(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 5)

@@ -79,7 +79,8 @@ def adv_gpg(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH g AS (SELECT event_id, value, row_number() OVER o AS r, lead(value) OVER o AS nxt, stddev_samp(value) OVER (PARTITION BY event_type) AS s FROM events WINDOW o AS (PARTITION BY event_type ORDER BY value DESC, event_id))
 SELECT event_id, round(CASE WHEN r = 1 THEN (value - nxt) / (s + 1e-6) ELSE 0 END, 10) + 0.0 AS adv FROM g""")
 def adv_passk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adv(spark, sf_dir, V.best_only("value", "event_type", "event_id"))
+    rows = V.best_leads(events(spark, sf_dir), "value", "event_type", "event_id")
+    return rows.select("event_id", (F.round("adv", 10) + 0.0).alias("adv"))
 
 
 @catalog.add("""
