@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trailframe.operators import advantages, aggregates, batch, graph, joins, recipes, retrieval, sampling, trajectories
+from trailframe.operators import advantages, aggregates, batch, graph, joins, recipes, retrieval, sampling, sft, trajectories
 from trailframe.operators.retrieval import bm25_topk, dense_topk
 from trailframe.registry import Registry
 
@@ -289,6 +289,12 @@ def test_retrieval_against_brute_force(spark, monkeypatch):
     assert retrieval.bm25_topk(docs.where("false"), "d", "t", spark.createDataFrame(asked, "q long, x string"), "q", "x", 4).count() == 0
 
 
+def test_image_quality_predicate(spark):
+    cases = [([0.0, 20.0], True), ([0.0, 19.0], False), ([255.0] * 7 + [0.0] * 3, True), ([255.0] * 8 + [0.0] * 2, False), ([], False), (None, False), ([0.0, None], False), ([0.0, float("nan")], False), ([0.0, float("inf")], False)]
+    got = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i long, p array<double>").select("i", sft.image_passes(F.col("p")).alias("ok"))
+    assert [ok for _, ok in rows(got, "i")] == [want for _, want in cases]
+
+
 def test_registry():
     r = Registry("metric")
     r.register("a")(lambda x: x + 1)

@@ -80,15 +80,14 @@ def clean_episodes(df: DataFrame, reason: str, good: list[str]) -> DataFrame:
     return df.where(F.col(reason).isin(*good))
 
 
-@F.pandas_udf(T.BooleanType())
-def image_passes(pixels: pd.Series) -> pd.Series:
-    """Gray values of an image: not nearly uniform, and not mostly void."""
-
-    def ok(p) -> bool:
-        a = np.asarray(p if p is not None else [], float)
-        return bool(len(a)) and a.std() >= 10 and (np.abs(a - 255) <= 5).mean() <= 0.7
-
-    return pixels.map(ok)
+def image_passes(pixels: Column) -> Column:
+    """Gray values of an image: a deviation of 10 or more, and 70 % void at most; false for no values, nulls and NaN."""
+    n = F.size(pixels).cast("double")
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("void"))
+    add = lambda a, x: F.struct((a["s"] + x).alias("s"), (a["ss"] + x * x).alias("ss"), (a["void"] + F.when(F.abs(x - 255) <= 5, 1.0).otherwise(0.0)).alias("void"))
+    spread = lambda a: n * a["ss"] - a["s"] * a["s"]
+    ok = lambda a: (n > 0) & ~F.isnan(spread(a)) & (spread(a) >= 100 * n * n) & (F.try_divide(a["void"], n) <= 0.7)
+    return F.coalesce(F.aggregate(F.transform(pixels, lambda x: x.cast("double")), zero, add, ok), F.lit(False))
 
 
 def tolerance_neighbours(df: DataFrame, bucket: str, key: str, values: list[str], tolerance: float) -> DataFrame:
