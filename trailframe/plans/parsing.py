@@ -202,9 +202,13 @@ def text_overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("gold IS NOT NULL").select("conv_id", "turn", text.text_overlap("text", "gold").alias("s")).select("conv_id", "turn", "s.*")
 
 
-@catalog.add()
+@catalog.add(f"""
+WITH {EVENTS}, m AS (SELECT user_id, ts, event_id, ['move_forward', 'move_backward', 'move_left', 'move_right', 'move_up', 'move_down', 'turn_left', 'turn_right'][k % 8 + 1] AS m FROM ev),
+s AS (SELECT *, CASE m WHEN 'turn_left' THEN 30 WHEN 'turn_right' THEN -30 ELSE 0 END AS turn, CASE m WHEN 'move_forward' THEN 0.5 WHEN 'move_backward' THEN -0.5 ELSE 0.0 END::DOUBLE AS along, CASE m WHEN 'move_right' THEN 0.5 WHEN 'move_left' THEN -0.5 ELSE 0.0 END::DOUBLE AS aside FROM m),
+h AS (SELECT *, radians(coalesce(sum(turn) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS h FROM s)
+SELECT user_id, round(sum(along * cos(h) + aside * sin(h)), 6) + 0.0 AS x, round(sum(along * sin(h) - aside * cos(h)), 6) + 0.0 AS y, CAST(((sum(turn) + 180) % 360 + 360) % 360 - 180 AS DOUBLE) AS heading FROM h GROUP BY user_id""")
 def camera_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final planar pose of each user's moves in order."""
     move = F.element_at(F.array(*map(F.lit, parse.ACTIONS)), (F.pmod(F.col("k"), F.lit(8)) + 1).cast("int"))
     seq = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", move.alias("m")))), lambda x: x["m"])
-    return events(spark, sf_dir).groupBy("user_id").agg(seq.alias("moves")).select("user_id", geometry.camera_moves(F.col("moves")).alias("p")).select("user_id", "p.*")
+    return events(spark, sf_dir).groupBy("user_id").agg(seq.alias("moves")).select("user_id", geometry.camera_moves(F.col("moves")).alias("p")).select("user_id", r6("p.x").alias("x"), r6("p.y").alias("y"), "p.heading")
