@@ -72,14 +72,18 @@ def pack(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes in `member`, not across rows: starts, ends, and offsets of each row's runs."""
-    if not len(data):
+    return mask_spans(member[data], offsets)
+
+
+def mask_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of marked bytes, not across rows: starts, ends, and offsets of each row's runs."""
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = member[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
-    edge = offsets[:-1][offsets[:-1] < len(data)]
+    edge = offsets[:-1][offsets[:-1] < len(inside)]
     first[edge] |= inside[edge]
     edge = edge[edge > 0] - 1
     last[edge] |= inside[edge]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailframe.llm import bpe, chat_format, decontamination, exact_topk, language_id, line_dedup, near_dedup, quality, secrets, suffix_dedup, token_files
+from trailframe.llm import bpe, chat_format, decontamination, exact_topk, language_id, line_dedup, near_dedup, quality, secrets, spelling, suffix_dedup, token_files
 
 QUERIES = {
     "op1_topk": exact_topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
+    "op11_spelling": spelling.op11_spelling,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
 }
 SQL = {
