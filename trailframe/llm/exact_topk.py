@@ -207,11 +207,11 @@ def _block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, lists:
     return rows.mapInArrow(resolve, _SCHEMA)
 
 
-def finite_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows (i, v array<double>); unusable vectors are left out."""
+def finite_vectors(df: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
+    """Rows (i, v array<double>) and more columns; unusable vectors are left out."""
     v: Column = df[vector_col].cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return df.select(df[id_col].cast("long").alias("i"), v.alias("v")).where(F.col("i").isNotNull() & F.coalesce(fine, F.lit(False)))
+    return df.select(df[id_col].cast("long").alias("i"), v.alias("v"), *more).where(F.col("i").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def topk(df: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, lists: int = LISTS, query_block: int = QUERY_BLOCK) -> DataFrame:

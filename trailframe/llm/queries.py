@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailframe.llm import bpe, chat_format, decontamination, exact_topk, language_id, line_dedup, near_dedup, quality, secrets, spelling, suffix_dedup, token_files
+from trailframe.llm import bpe, chat_format, decontamination, exact_topk, hard_negatives, language_id, line_dedup, near_dedup, quality, secrets, spelling, suffix_dedup, token_files
 
 QUERIES = {
     "op1_topk": exact_topk.op1_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_spelling": spelling.op11_spelling,
     "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 SQL = {
     "op1_topk": exact_topk.SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_decontamination": decontamination.SQL,
     "op10_secrets": secrets.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

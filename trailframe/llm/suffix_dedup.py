@@ -55,8 +55,8 @@ from trailframe.storage import cut
 WINDOW = 400
 #: Bytes of text that are hashed at once; a run ends where such a piece ends.
 PIECE = 1 << 20
-SHARD = 1 << 20
-GROUP = 1 << 22
+SHARD = 1 << 18
+GROUP = 1 << 20
 #: Lengths of the grams that key a passage, as parts of its length; the last is the passage itself.
 LADDER = (0.16, 0.64, 0.96, 1.0)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -258,11 +258,12 @@ class _Shard:
     def spans(self) -> list[list[dict]]:
         """For each fragment the bytes that repeated passages cover."""
         starts = np.sort(self.order[self.repeated[self.group]])
-        first = np.flatnonzero(np.diff(starts, prepend=-self.window - 1) > self.window)
+        out: list[list[dict]] = [[] for _ in range(len(self.offsets) - 1)]
+        if not len(starts):
+            return out
         row = np.searchsorted(self.offsets, starts, "right") - 1
-        first = np.union1d(first, np.flatnonzero(np.diff(row, prepend=-1)))
+        first = np.flatnonzero((np.diff(starts, prepend=-self.window - 1) > self.window) | (np.diff(row, prepend=-1) != 0))
         last = np.append(first[1:], len(starts)) - 1
-        out: list[list[dict]] = [[] for _ in range(len(self.offsets) - 1)]
         for i, s, e in zip(row[first].tolist(), starts[first].tolist(), starts[last].tolist()):
             base = int(self.offsets[i])
             out[i].append({"start": s - base, "end": e + self.window - base})
