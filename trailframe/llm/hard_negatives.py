@@ -207,7 +207,8 @@ def hard_negatives(
     sample = table.orderBy(F.xxhash64("i"), "i").limit(pivots).select("v").collect()  # `pivots` rows
     norm = float(shape["norm"] or 0)
     bounded = width > 0 and norm < 1e150  # otherwise every row is sent to every region
-    centres = np.array([np.pad(np.floor(np.array(r["v"], float) * scale), (0, width - len(r["v"]))) for r in sample if bounded]).reshape(-1, width)
+    centres = [np.pad(np.floor(np.array(r["v"], float) * scale), (0, width - len(r["v"]))) for r in sample if bounded]
+    centres = np.array(centres).reshape(len(centres), width)
     space = Space(centres, norm)
 
     def distances(part: pa.RecordBatch, of_anchors: bool) -> np.ndarray:
