@@ -26,5 +26,7 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_decontamination": decontamination.SQL,
     "op10_secrets": secrets.SQL,
+    "op11_spelling": spelling.SQL,
+    "op12_suffix_dedup": suffix_dedup.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
 }

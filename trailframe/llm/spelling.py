@@ -246,3 +246,20 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(read(spark, sf_dir, "documents"), slip_every=199))
+
+
+SQL = """
+WITH RECURSIVE b AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM b WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS crc FROM b WHERE k = 8),
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+q AS (SELECT w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM o GROUP BY id, w),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda j: CAST('0x' || substring(x, 2 * j + 1, 2) AS BIGINT))), lambda c, y: xor(c // 256, crc[1 + xor(c, y) % 256]))) AS h FROM q, crc),
+u AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM u WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+r AS (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, c.word AS other FROM r a JOIN r c ON a.rest = c.rest AND a.i = c.i AND a.word <> c.word UNION SELECT word, rest FROM r WHERE rest IN (SELECT word FROM v) UNION SELECT rest, word FROM r WHERE rest IN (SELECT word FROM v)),
+t AS (SELECT p.word, other, v.n AS form_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, other) AS best FROM p JOIN v ON v.word = other),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN other END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN t ON t.word = v.word AND best = 1),
+e AS (SELECT word, word AS root FROM f UNION ALL SELECT e.word, f.form FROM e JOIN f ON f.word = e.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN e ON e.word = f.word JOIN f AS last ON last.word = e.root AND last.form IS NULL
+"""

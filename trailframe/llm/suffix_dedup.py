@@ -471,3 +471,18 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(read(spark, sf_dir, "documents"))
     removed: Column = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, x, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400),
+h AS (SELECT doc_id, i, md5(substring(x, 2 * i + 1, 800)) AS k FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM h) WHERE c > 1),
+f AS (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -401) + 400 THEN 1 ELSE 0 END AS first FROM r),
+g AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f),
+s AS (SELECT doc_id, g, min(i) AS s, max(i) + 400 AS e FROM g GROUP BY doc_id, g),
+p AS (SELECT s.doc_id, g, s, e, substring(x, 2 * coalesce(lag(e) OVER (PARTITION BY s.doc_id ORDER BY g), 0) + 1, 2 * (s - coalesce(lag(e) OVER (PARTITION BY s.doc_id ORDER BY g), 0))) AS before FROM s JOIN d ON d.doc_id = s.doc_id),
+k AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, string_agg(before, '' ORDER BY g) AS kept, max(e) AS last FROM p GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
