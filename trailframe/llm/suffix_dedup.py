@@ -55,8 +55,8 @@ from trailframe.storage import cut
 WINDOW = 400
 #: Bytes of text that are hashed at once; a run ends where such a piece ends.
 PIECE = 1 << 20
-SHARD = 1 << 18
-GROUP = 1 << 20
+SHARD = 1 << 20
+GROUP = 1 << 23
 #: Lengths of the grams that key a passage, as parts of its length; the last is the passage itself.
 LADDER = (0.16, 0.64, 0.96, 1.0)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
