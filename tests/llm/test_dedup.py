@@ -137,6 +137,28 @@ def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
     assert [names[first[c]] for c in code] == names and len(set(code.tolist())) == 5
 
 
+def test_words_with_equal_hashes_make_no_copies(spark):
+    """Two words of one 64-bit word hash, and Thue-Morse sequences of words, are different texts."""
+    from trailframe.llm import _text
+
+    w1, w2 = "zxdmytan!.!!!!$@", 'oamnxbulr@`8/"_~'
+    data, off = _text.utf8(near_dedup.pa.array([f"{w1} {w2}"]))
+    starts, ends, _ = _text.spans(data, off, ~_text.SPACE)
+    assert len(set(_text.span_hashes(data, starts, ends).tolist())) == 1
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(1, w1), (2, w2), (3, f"{w1} alpha"), (4, f"{w2} alpha"), (5, f"{w1} alpha {w2} alpha"), (6, " ".join("ab"[i] for i in morse)), (7, " ".join("ba"[i] for i in morse) + " c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: (n, c) for i, n, c in near_brute(rows, 2)} and got[5][0] == 3 and len({c for _, c in got.values()}) == 7 - (got[6][1] == got[7][1])
+    assert sorted(r["doc_id"] for r in near_dedup.keep_first(df.where("doc_id < 6")).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_distinct_pairs_with_equal_halves():
+    one, two = np.array([3, 1, 3, 1, 3, 1], np.uint64), np.array([9, 7, 8, 7, 9, 6], np.uint64)
+    a, b = near_dedup.distinct_pairs(one, two)
+    assert list(zip(a.tolist(), b.tolist())) == [(1, 6), (1, 7), (3, 8), (3, 9)]
+
+
 def test_exact_sets_equal_brute_force():
     rng = random.Random(8)
     texts = ["", " ", "A", "a a", "x y z"] + [" ".join(rng.choice(["a", "B", "b", "cc", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]

@@ -15,8 +15,10 @@ group over the bound is cut into blocks and all pairs of blocks. Within a cell
 words and shingles are numbered by their bytes, not by hashes, and an inverted
 index gives the exact intersections of one document with all others at once;
 only documents outside the largest component are looked up, and each cell
-returns a spanning forest. Exact copies (equal 128-bit sums of their shingles'
-hashes) collapse to one class before all this; n_shingles counts 64-bit hashes.
+returns a spanning forest. Documents of equal sets collapse to one class before
+all this: a class is named by BLAKE2 (128 bits) of its sorted distinct shingles,
+a shingle by 128 bits made of its words' BLAKE2 names, and n_shingles counts
+these; classes are numbered, not hashed, for the component search.
 
 Defined cases: null or empty texts and texts without words have no shingles and
 link to nothing; a text of fewer words than a shingle is one shingle; a row
@@ -29,6 +31,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailframe.llm._text import SPACE, mix, ragged_take, read, slices, span_hashes, spans, utf8, word_codes
+from trailframe.llm._text import SPACE, UPPER, mix, ragged_take, read, slices, spans, utf8, word_codes
 from trailframe.operators.components import components
 from trailframe.storage import cut
 
@@ -50,20 +53,40 @@ _ADD = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)[:, None]
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, ragged."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each row, ragged: two independent 64-bit halves of each, and the rows' offsets.
+
+    Words are named by 128 bits of BLAKE2, a half of a shingle by the same half of its words' names.
+    """
     starts, ends, rows = spans(data, offsets, ~SPACE)
-    words = span_hashes(data, starts, ends, fold=True)
-    sets: list[np.ndarray] = []
+    code, first = word_codes(data, starts, ends, fold=True)
+    low = UPPER[data]
+    names = b"".join(blake2b(low[s:e], digest_size=16).digest() for s, e in zip(starts[first].tolist(), ends[first].tolist()))
+    words = np.frombuffer(names, np.uint64).reshape(-1, 2)[code]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist()):
-        own = words[lo:hi]
-        n = max(1, len(own) - size + 1) if len(own) else 0
-        acc = np.full(n, np.uint64(len(own) if len(own) < size else size))
-        for k in range(min(size, len(own))):
-            acc = mix(acc * _STEP + own[k : k + n])
-        sets.append(np.unique(acc))
-    length = np.array([len(s) for s in sets], np.int64)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(length)])
+        n = max(1, hi - lo - size + 1) if hi > lo else 0
+        halves = [np.full(n, np.uint64(min(hi - lo, size))) for _ in range(2)]
+        for k in range(min(size, hi - lo)):
+            halves = [mix(h * _STEP + words[lo + k : lo + k + n, i]) for i, h in enumerate(halves)]
+        out.append(distinct_pairs(*halves))
+    length = np.array([len(a) for a, _ in out], np.int64)
+    one, two = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.uint64) for i in range(2))
+    return one, two, np.concatenate([[0], np.cumsum(length)])
+
+
+def distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order."""
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    new = np.ones(len(a), bool)
+    new[1:] = ~same
+    return a[new], b[new]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -98,19 +121,16 @@ def exact_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(df: DataFrame, size: int) -> DataFrame:
-    """df: (k, u, t). Rows (k, u, n, a, b, sig): the set's size, its hash in two parts and its signature."""
+    """df: (k, u, t). Rows (k, u, n, a, b, sig): the set's size, its digest in two parts and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
-            hashes, off = shingle_sets(*utf8(part.column(2)), size)
+            one, two, off = shingle_sets(*utf8(part.column(2)), size)
             n = np.diff(off)
-            full = n > 0
-            a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(hashes):
-                a[full] = np.add.reduceat(mix(hashes), off[:-1][full])
-                b[full] = np.add.reduceat(mix(hashes ^ _STEP), off[:-1][full])
-            marks = [signature(hashes[off[i] : off[i + 1]]).tobytes() if full[i] else None for i in range(len(n))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(marks, pa.binary())], names=["k", "u", "n", "a", "b", "sig"])
+            rows = [slice(i, j) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            name = np.frombuffer(b"".join(blake2b(one[r].tobytes() + two[r].tobytes(), digest_size=16).digest() for r in rows), np.int64).reshape(-1, 2)
+            marks = [signature(one[r]).tobytes() if r.stop > r.start else None for r in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(marks, pa.binary())], names=["k", "u", "n", "a", "b", "sig"])
 
     return df.mapInArrow(run, "k bigint, u bigint, n bigint, a bigint, b bigint, sig binary")
 
@@ -231,7 +251,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     signed = cut(spark, _signed(docs, shingle), "signed")
     own = signed.where("k IS NOT NULL AND n > 0")
     least = own.groupBy("a", "b").agg(F.min(F.struct("k", "u", "n", "sig")).alias("m"))
-    classes = cut(spark, least.select("a", "b", F.xxhash64("a", "b").alias("node"), F.col("m.k").alias("rep"), F.col("m.u").alias("ru"), "m.n", "m.sig"), "classes")
+    classes = cut(spark, least.select("a", "b", F.monotonically_increasing_id().alias("node"), F.col("m.k").alias("rep"), F.col("m.u").alias("ru"), "m.n", "m.sig"), "classes")
     keyed = classes.select("node", "sig").mapInArrow(_keys, "key bigint, node bigint")
     hubs = cut(spark, keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "hubs")
     links = keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
