@@ -1,25 +1,24 @@
 """Transition graphs as node and edge tables: building, refinement, analytics and search.
 
-Whole-graph steps are DataFrame operations. Order-dependent refinements run one
-component at a time in edge order, since later steps see earlier removals.
+Whole-graph steps are DataFrame operations; components and diameters are in
+`connectivity`, order-dependent refinements in `refinement`.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-from collections.abc import Callable
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.parse import action_count, tokens
 from trailframe.operators.batch import numbered
 from trailframe.operators.components import components
+from trailframe.operators.connectivity import component_stats, numbered_ends, strong_components, weak_components  # noqa: F401
 from trailframe.operators.joins import induced
+from trailframe.operators.refinement import collapse_virtual, drop_redundant  # noqa: F401
 from trailframe.operators.sampling import order_key
+from trailframe.operators.tolerance import dedup_tolerant  # noqa: F401
 from trailframe.storage import cut
 
 
@@ -39,26 +38,6 @@ def dedup_nodes(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def dedup_tolerant(df: DataFrame, bucket: str, order: str, values: list[str], tolerance: float) -> DataFrame:
-    """Greedy first-match dedup within each bucket, in order: adds `rep`, the order value of the node it joins."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        kept: list[tuple] = []
-        reps = []
-        for o, *v in pdf[["o", *names]].itertuples(index=False):
-            hit = next((k for k, w in kept if all(abs(a - b) <= tolerance for a, b in zip(v, w))), None)
-            if hit is None:
-                kept.append((o, v))
-                hit = o
-            reps.append(hit)
-        return pdf.assign(rep=reps)[["b", "o", *names, "rep"]]
-
-    names = [f"v{i}" for i in range(len(values))]
-    src = df.select(F.col(bucket).cast("string").alias("b"), F.col(order).cast("long").alias("o"), *(F.col(v).cast("double").alias(n) for v, n in zip(values, names)))
-    return src.groupBy("b").applyInPandas(run, "b string, o long, " + ", ".join(f"{n} double" for n in names) + ", rep long")
-
-
 def build_edges(transitions: DataFrame) -> DataFrame:
     """Distinct (src, dst, action) without self-loops, with their first place."""
     return transitions.where("src <> dst").groupBy("src", "dst", "action").agg(F.min("ord").alias("ord"))
@@ -100,9 +79,8 @@ def congruent(edges: DataFrame, preferred: DataFrame | None = None) -> DataFrame
         pairs = cut(spark, side("src", "dst").union(side("dst", "src")).distinct(), "pairs")
         if not pairs.limit(1).count():
             return edges
-        names = pairs.select(F.col("m").alias("n")).union(pairs.select("n")).distinct().withColumn("id", F.xxhash64("n"))
-        linked = pairs.select(F.xxhash64("m").alias("a"), F.xxhash64("n").alias("b"))
-        groups = components(linked).join(names, F.col("node") == F.col("id"))
+        names, linked = numbered_ends(pairs.select(F.col("m").alias("src"), F.col("n").alias("dst")))
+        groups = components(linked.select("a", "b")).withColumnRenamed("node", "id").join(names.withColumnRenamed("node", "n"), "id")
         if preferred is not None:
             groups = groups.join(preferred.select(F.col("node").alias("_p")).distinct(), F.col("n") == F.col("_p"), "left")
         else:
@@ -116,92 +94,6 @@ def congruent(edges: DataFrame, preferred: DataFrame | None = None) -> DataFrame
         edges = cut(spark, out.where("src <> dst").groupBy("src", "dst", "action").agg(F.min("ord").alias("ord")), "congruence")
 
 
-def per_component(edges: DataFrame, solve: Callable[[list[tuple]], list[tuple]], schema: str, columns: list[str]) -> DataFrame:
-    """Apply a function to each weak component's edges (src, dst, action, ord), in order."""
-    ids = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    comp = components(ids)
-    rows = edges.join(comp, F.xxhash64("src") == F.col("node")).select("root", "src", "dst", "action", "ord")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "src", "dst", "action"])
-        return pd.DataFrame(solve(list(pdf[["src", "dst", "action", "ord"]].itertuples(index=False, name=None))), columns=columns)
-
-    return rows.groupBy("root").applyInPandas(run, schema)
-
-
-_EDGE = "src string, dst string, action string, ord long"
-_EDGES = ["src", "dst", "action", "ord"]
-
-
-def _count(action: str) -> int:
-    return sum(1 for a in action.split("|") if a.strip())
-
-
-def _collapse(edges: list[tuple]) -> list[tuple]:
-    out_of = defaultdict(list)
-    for e in edges:
-        out_of[e[0]].append(e)
-    virtual = lambda n: n.startswith("__virt_")
-    best: dict[tuple[str, str], tuple] = {}
-
-    def offer(e: tuple) -> None:
-        old = best.get(e[:2])
-        if e[0] != e[1] and (old is None or _count(e[2]) < _count(old[2])):
-            best[e[:2]] = e
-
-    for src, dst, action, ord_ in edges:
-        if virtual(src):
-            continue
-        if not virtual(dst):
-            offer((src, dst, action, ord_))
-            continue
-        seen, stack = {dst}, [(dst, action)]
-        while stack:
-            node, path = stack.pop()
-            for _, nxt, step, _ in reversed(out_of[node]):
-                if not virtual(nxt):
-                    offer((src, nxt, f"{path} | {step}", ord_))
-                elif nxt not in seen:
-                    seen.add(nxt)
-                    stack.append((nxt, f"{path} | {step}"))
-    return list(best.values())
-
-
-def collapse_virtual(edges: DataFrame) -> DataFrame:
-    """Chains over virtual nodes become one edge of several actions; of equal ends the shorter wins."""
-    return per_component(edges, _collapse, _EDGE, _EDGES)
-
-
-def _prune(edges: list[tuple]) -> list[tuple]:
-    graph: dict[str, dict[int, tuple[str, int]]] = defaultdict(dict)
-    for i, (src, dst, action, _) in enumerate(edges):
-        graph[src][i] = (dst, _count(action))
-    kept = []
-    for i, e in enumerate(edges):
-        src, dst, cost = e[0], e[1], _count(e[2])
-        del graph[src][i]
-        far, heap = {src: 0}, [(0, src)]
-        reached = False
-        while heap and not reached:
-            d, node = heapq.heappop(heap)
-            reached = node == dst
-            if d > far.get(node, d) or reached:
-                continue
-            for nxt, c in graph[node].values():
-                if d + c <= cost and d + c < far.get(nxt, cost + 1):
-                    far[nxt] = d + c
-                    heapq.heappush(heap, (d + c, nxt))
-        if not reached:
-            graph[src][i] = (dst, cost)
-            kept.append(e)
-    return kept
-
-
-def drop_redundant(edges: DataFrame) -> DataFrame:
-    """Without edges that another path replaces at no more actions; one after the other, in order."""
-    return per_component(edges, _prune, _EDGE, _EDGES)
-
-
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, n_in, n_out, degree) of all nodes, in one aggregate over both ends."""
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
@@ -222,15 +114,6 @@ def degree_histogram(deg: DataFrame, kind: str = "degree", most: int = 30) -> Da
     return deg.groupBy(F.col(kind).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy("value").limit(most)
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): component is the least node name of those reachable either way."""
-    ids = edges.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    roots = components(ids)
-    named = nodes.select("node", F.xxhash64("node").alias("_id")).join(roots.withColumnRenamed("node", "_n"), F.col("_id") == F.col("_n"), "left")
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("node").alias("component"))
-    return named.join(least, "root", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
 def component_sizes(labelled: DataFrame, edges: DataFrame) -> DataFrame:
     size = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     inner = edges.join(labelled.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
@@ -238,75 +121,6 @@ def component_sizes(labelled: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("avg_degree_multi", 2.0 * F.col("n_edges") / F.col("n_nodes"))
 
 
-def _tarjan(edges: list[tuple]) -> list[tuple]:
-    graph = defaultdict(list)
-    nodes: dict[str, None] = {}
-    for s, d, *_ in edges:
-        graph[s].append(d)
-        nodes[s] = nodes[d] = None
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack: list[str] = []
-    on: set[str] = set()
-    out = []
-    for start in nodes:
-        if start in index:
-            continue
-        work = [(start, iter(graph[start]))]
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        on.add(start)
-        while work:
-            node, it = work[-1]
-            for nxt in it:
-                if nxt not in index:
-                    index[nxt] = low[nxt] = len(index)
-                    stack.append(nxt)
-                    on.add(nxt)
-                    work.append((nxt, iter(graph[nxt])))
-                    break
-                if nxt in on:
-                    low[node] = min(low[node], index[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    own = stack[stack.index(node) :]
-                    del stack[len(stack) - len(own) :]
-                    on.difference_update(own)
-                    out += [(n, min(own)) for n in own]
-    return out
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc): the least name of the nodes on common cycles; one weak component at a time."""
-    return per_component(edges, _tarjan, "node string, scc string", ["node", "scc"])
-
-
-def _diameter(edges: list[tuple], most: int = 5000) -> list[tuple]:
-    near = defaultdict(set)
-    for s, d, *_ in edges:
-        near[s].add(d)
-        near[d].add(s)
-    simple = len({e[:2] for e in edges})
-    width = -1
-    if len(near) <= most:
-        width = 0
-        for start in near:
-            seen, front, depth = {start}, [start], 0
-            while front:
-                front = [n for f in front for n in near[f] if not (n in seen or seen.add(n))]
-                depth += bool(front)
-            width = max(width, depth)
-    return [(min(near), len(near), len(edges), 2.0 * simple / len(near), width)]
-
-
-def component_stats(edges: DataFrame) -> DataFrame:
-    """Per weak component: nodes, edges, mean simple degree and undirected diameter (-1 beyond 5000 nodes)."""
-    return per_component(edges, _diameter, "component string, n_nodes long, n_edges long, avg_degree_simple double, diameter long", ["component", "n_nodes", "n_edges", "avg_degree_simple", "diameter"])
-
-
 def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, hops) by breadth-first rounds; each round's frontier is written to the shared folder."""
     spark = edges.sparkSession

@@ -45,7 +45,12 @@ def node_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dedup_nodes(table(spark, sf_dir, "events"), "props", "event_id").select("props", "event_id")
 
 
-@catalog.add()
+@catalog.add("""
+WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS b, event_id AS o, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+g AS (SELECT b, r, o, v, [{'o': o, 'v': v}] AS kept, o AS rep FROM s WHERE r = 1
+  UNION ALL SELECT b, r, o, v, CASE WHEN len(near) = 0 THEN list_append(kept, {'o': o, 'v': v}) ELSE kept END, CASE WHEN len(near) = 0 THEN o ELSE near[1].o END
+  FROM (SELECT s.b, s.r, s.o, s.v, g.kept, list_filter(g.kept, lambda x: abs(x.v - s.v) <= 0.5) AS near FROM g JOIN s ON s.b = g.b AND s.r = g.r + 1))
+SELECT b, o, v AS v0, rep FROM g""")
 def node_dedup_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dedup_tolerant(table(spark, sf_dir, "events"), "user_id", "event_id", ["value"], 0.5)
 
@@ -109,12 +114,21 @@ def bfs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.distances(transition_edges(spark, sf_dir), sources)
 
 
-@catalog.add()
+@catalog.add(f"""
+WITH RECURSIVE {EDGES}, p AS (SELECT DISTINCT src, dst FROM e), r AS (SELECT src, dst FROM p UNION SELECT r.src, p.dst FROM r JOIN p ON p.src = r.dst),
+n AS (SELECT src AS node FROM p UNION SELECT dst FROM p), c AS (SELECT x.src AS node, min(x.dst) AS least FROM r x JOIN r y ON y.src = x.dst AND y.dst = x.src GROUP BY x.src)
+SELECT n.node, coalesce(least(n.node, c.least), n.node) AS scc FROM n LEFT JOIN c ON c.node = n.node""")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.strong_components(transition_edges(spark, sf_dir))
 
 
-@catalog.add()
+@catalog.add(f"""
+WITH RECURSIVE {EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT src AS node FROM u),
+h AS (SELECT node AS s, node AS d, 0 AS k FROM n UNION SELECT h.s, u.dst, h.k + 1 FROM h JOIN u ON u.src = h.d WHERE h.k < 12),
+m AS (SELECT s, d, min(k) AS k FROM h GROUP BY s, d), w AS (SELECT s AS node, min(d) AS component, max(k) AS far FROM m GROUP BY s),
+x AS (SELECT component, count(*) AS n_nodes, max(far) AS diameter FROM w GROUP BY component),
+y AS (SELECT component, count(*) AS n_edges, count(DISTINCT (src, dst)) AS simple FROM e JOIN w ON w.node = e.src GROUP BY component)
+SELECT component, CAST(n_nodes AS BIGINT) AS n_nodes, CAST(n_edges AS BIGINT) AS n_edges, 2.0 * simple / n_nodes AS avg_degree_simple, CAST(diameter AS BIGINT) AS diameter FROM x JOIN y USING (component)""")
 def component_diameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.component_stats(transition_edges(spark, sf_dir))
 
@@ -134,6 +148,32 @@ def refined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.drop_redundant(G.collapse_virtual(merged)).select("src", "dst", "action")
 
 
+SPLIT = f"""{EDGES}, s AS (SELECT src, dst, action, ord, string_split(action, ' | ') AS a, '__virt_' || substr(md5(src || '|' || dst || '|' || action), 1, 12) || '_' AS v FROM e), x AS (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM s),
+p AS (SELECT CASE WHEN i = 1 THEN src ELSE v || (i - 1) END AS src, CASE WHEN i = len(a) THEN dst ELSE v || i END AS dst, a[i] AS action, ord FROM x)"""
+
+
+@catalog.add(f"""
+WITH RECURSIVE {SPLIT}, c AS (SELECT src, dst, action, ord, src AS f_src, dst AS f_dst, action AS f_action FROM p WHERE NOT starts_with(src, '__virt_')
+  UNION ALL SELECT c.src, p.dst, c.action || ' | ' || p.action, c.ord, f_src, f_dst, f_action FROM c JOIN p ON p.src = c.dst WHERE starts_with(c.dst, '__virt_')),
+r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY len(string_split(action, ' | ')), ord, f_src, f_dst, f_action) AS r FROM c WHERE NOT starts_with(dst, '__virt_'))
+SELECT src, dst, action FROM r WHERE r = 1""")
+def collapsed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges in single steps, put together again; of equal ends the shortest stays."""
+    return G.collapse_virtual(G.split_multi(transition_edges(spark, sf_dir))).select("src", "dst", "action")
+
+
+@catalog.add(f"""
+WITH RECURSIVE {EDGES}, n AS (SELECT split_part(src, ':', 1) AS u, row_number() OVER (PARTITION BY split_part(src, ':', 1) ORDER BY ord, src, dst, action) AS n, src AS s, dst AS d, len(string_split(action, ' | ')) AS c, action FROM e),
+g AS (SELECT u, 1 AS i, list({{'n': n, 's': s, 'd': d, 'c': c}} ORDER BY n) AS l, count(*) AS total FROM n GROUP BY u
+  UNION ALL SELECT u, i + 1, CASE WHEN len(list_filter(rest, lambda x: x.s = now.s AND x.c <= now.c AND (x.d = now.d OR len(list_filter(rest, lambda y: y.s = x.d AND y.d = now.d AND x.c + y.c <= now.c)) > 0))) > 0 THEN rest ELSE l END, total
+  FROM (SELECT u, i, l, total, list_filter(l, lambda x: x.n = i)[1] AS now, list_filter(l, lambda x: x.n <> i) AS rest FROM g WHERE i <= total)),
+k AS (SELECT u, unnest(l) AS e FROM g WHERE i = total + 1)
+SELECT s AS src, d AS dst, action FROM n JOIN k ON k.u = n.u AND k.e.n = n.n""")
+def pruned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that no other path replaces at no more actions, each judged after the earlier ones (an edge has two actions at most)."""
+    return G.drop_redundant(transition_edges(spark, sf_dir)).select("src", "dst", "action")
+
+
 @catalog.add(f"""
 WITH {EDGES} SELECT CASE WHEN node LIKE '%:error' THEN '(empty)' ELSE split_part(node, ':', 2) END AS value, CAST(count(*) AS BIGINT) AS n FROM nodes GROUP BY 1""")
 def field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
