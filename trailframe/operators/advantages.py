@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.operators.batch import numbered, running_total
+from trailframe.operators.quantiles import LIMIT, choose
+from trailframe.operators.sampling import SEED, order_key
 from trailframe.registry import Registry
 
 EPS = 1e-6
@@ -192,6 +194,37 @@ def geometric_loss(logp: Column, old: Column, adv: Column, seq: str, low: float
     return -F.avg(adv).over(_group(seq)) * F.exp(F.avg(kept).over(_group(seq)))
 
 
+def _covariance(df: DataFrame, logp: Column, adv: Column, mask: Column) -> tuple[DataFrame, int]:
+    """Adds each token's covariance term `_cov` (null outside the mask); and the number of tokens in the mask."""
+    means = df.where(mask).agg(F.avg(adv).alias("a"), F.avg(logp).alias("l"), F.count(F.lit(1)).alias("n")).first()
+    return df.withColumn("_cov", F.when(mask, (adv - F.lit(means["a"])) * (logp - F.lit(means["l"])))), means["n"]
+
+
+@losses.register("clip_cov")
+def clip_cov_losses(df: DataFrame, keys: list[str], logp: Column, old: Column, adv: Column, mask: Column, ratio: float = 2e-4, low: float = 1.0, high: float = 5.0, eps: float = 0.2, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
+    """Adds `loss` and `dropped`: a share of the tokens whose covariance lies between the bounds, and that clipping leaves alone, is left out.
+
+    Of these tokens max(1, share of all in the mask) are drawn, by the order of a hash of their keys; tokens outside the mask have loss 0.
+    """
+    r = F.exp(logp - old)
+    plain, clipped = -adv * r, -adv * _clip(r, 1 - eps, 1 + eps)
+    rows, n = _covariance(df, logp, adv, mask)
+    fit = mask & (F.col("_cov") > low) & (F.col("_cov") < high) & ~(clipped > plain)
+    draw = F.conv(F.substring(order_key("clip_cov", *keys, seed=seed), 1, 12), 16, 10).cast("double")  # 48 bits, exact in a double
+    out = choose(rows, F.when(fit, draw), max(1, int(ratio * n)), keys, largest=False, limit=limit)
+    loss = F.when(mask & ~F.col("chosen"), F.greatest(plain, clipped)).otherwise(0.0)
+    return out.withColumn("loss", loss).withColumnRenamed("chosen", "dropped").drop("_cov")
+
+
+@losses.register("kl_cov")
+def kl_cov_losses(df: DataFrame, keys: list[str], logp: Column, old: Column, adv: Column, mask: Column, ratio: float = 2e-4, coef: float = 1.0, limit: int = LIMIT) -> DataFrame:
+    """Adds `loss` and `penalised`: the max(1, share of all) tokens of the mask with the largest covariance bear a penalty on |log ratio|; ties by keys."""
+    rows, n = _covariance(df, logp, adv, mask)
+    out = choose(rows, F.col("_cov"), max(1, int(ratio * n)) if n else 0, keys, limit=limit)
+    penalty = F.when(F.col("chosen"), coef * F.abs(logp - old)).otherwise(0.0)
+    return out.withColumn("loss", F.when(mask, -adv * F.exp(logp - old) + penalty).otherwise(0.0)).withColumnRenamed("chosen", "penalised").drop("_cov")
+
+
 def value_loss(value: Column, old: Column, ret: Column, eps: float) -> Column:
     """Half the larger squared error of the value and of its clipped form."""
     held = old + _clip(value - old, -eps, eps)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailframe.operators.batch import running_total
-
+from trailframe.operators.quantiles import LIMIT, quantiles
 
 EPS = 1e-9
 
@@ -115,9 +116,13 @@ def per_turn(df: DataFrame, traj: str, turn: str, value: str) -> DataFrame:
     return rows.groupBy(turn).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std_pop"), F.avg("_d").alias("mean_step"))
 
 
-def latencies(c: str) -> list[Column]:
-    """Mean, median and high quantiles by linear interpolation."""
-    return [F.avg(c).alias("mean"), *(F.percentile(c, F.lit(q)).alias(n) for q, n in ((0.5, "median"), (0.95, "p95"), (0.99, "p99")))]
+def latencies(df: DataFrame, by: list[str], c: str, limit: int = LIMIT) -> DataFrame:
+    """Mean, median and high quantiles by linear interpolation for each group; large groups by counting rounds."""
+    means = df.groupBy(*by).agg(F.avg(c).alias("mean"))
+    high = quantiles(df, by, c, {"median": 0.5, "p95": 0.95, "p99": 0.99}, limit)
+    renamed = high.select(*(F.col(b).alias(f"_{b}") for b in by), "median", "p95", "p99")
+    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by))
+    return means.join(renamed, same).select(*by, "mean", "median", "p95", "p99")
 
 
 def reduce_by_name(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def per_turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("""
 SELECT event_type, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.5), 6) + 0.0 AS median, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95, round(quantile_cont(value, 0.99), 6) + 0.0 AS p99 FROM events GROUP BY event_type""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(*A.latencies("value")))
+    return rounded(A.latencies(table(spark, sf_dir, "events"), ["event_type"], "value"))
 
 
 @catalog.add("""

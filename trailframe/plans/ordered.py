@@ -229,3 +229,31 @@ def policy_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", r6(get("vanilla")(p, o, a)).alias("vanilla"), r6(get("gspo")(p, o, a, "l_orderkey", 0.3, 0.3)).alias("gspo"), r6(get("gpg")(p, a)).alias("gpg"),
         r6(get("geo_mean")(p, o, a, "l_orderkey")).alias("geo"), r6(V.value_loss(p, o, a, 0.2)).alias("value_loss"),
     )
+
+
+TOKENS = """t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax * 10 AS p, l_discount * 10 AS o, l_quantity - 25 AS a, l_returnflag <> 'A' AS m FROM lineitem),
+s AS (SELECT avg(a) AS ma, avg(p) AS mp, CAST(greatest(1, floor(CAST(0.01 AS DOUBLE) * count(*))) AS BIGINT) AS k FROM t WHERE m),
+c AS (SELECT t.*, exp(p - o) AS r, CASE WHEN m THEN (a - ma) * (p - mp) END AS cov, k FROM t, s)"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple:
+    """Line items as tokens: log-probabilities new and old, advantage and mask."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return table(spark, sf_dir, "lineitem").select(*keys, "l_tax", "l_discount", "l_quantity", "l_returnflag"), keys, F.col("l_tax") * 10, F.col("l_discount") * 10, F.col("l_quantity") - 25, F.col("l_returnflag") != "A"
+
+
+@catalog.add(f"""
+WITH {TOKENS}, f AS (SELECT *, -a * r AS plain, -a * greatest(0.8, least(1.2, r)) AS clipped FROM c),
+d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM f WHERE m AND cov > 1 AND cov < 5 AND NOT clipped > plain
+  QUALIFY row_number() OVER (ORDER BY substr(md5('42|clip_cov|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 12), l_orderkey, l_linenumber, l_partkey, l_suppkey) <= k)
+SELECT f.l_orderkey, f.l_linenumber, f.l_partkey, f.l_suppkey, d.l_orderkey IS NOT NULL AS dropped, round(CASE WHEN m AND d.l_orderkey IS NULL THEN greatest(plain, clipped) ELSE 0 END, 6) + 0.0 AS loss
+FROM f LEFT JOIN d ON d.l_orderkey = f.l_orderkey AND d.l_linenumber = f.l_linenumber AND d.l_partkey = f.l_partkey AND d.l_suppkey = f.l_suppkey""")
+def clip_cov_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.losses.get("clip_cov")(*_tokens(spark, sf_dir), ratio=0.01).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "dropped", r6("loss").alias("loss"))
+
+
+@catalog.add(f"""
+WITH {TOKENS}, d AS (SELECT *, m AND row_number() OVER (ORDER BY cov DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey) <= k AS penalised FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, penalised, round(CASE WHEN m THEN -a * r + CASE WHEN penalised THEN abs(p - o) ELSE 0 END ELSE 0 END, 6) + 0.0 AS loss FROM d""")
+def kl_cov_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.losses.get("kl_cov")(*_tokens(spark, sf_dir), ratio=0.01).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "penalised", r6("loss").alias("loss"))
