@@ -99,9 +99,10 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.coalesce(df[text_col].cast("string"), empty).alias("t"),
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges by the beginnings of role and text agree with the order of the whole, and keep the bounds small
+    # ranges by the beginnings of role and text agree with the order of the whole, and keep the bounds small: of roles with
+    # one beginning the one that ends there comes first, by its texts, and the longer ones stay together behind it
     short = F.char_length("r") <= EDGE
-    ranges = ["c", "n", F.left("r", F.lit(EDGE)), F.when(short, F.left("t", F.lit(EDGE)))]
+    ranges = ["c", "n", F.left("r", F.lit(EDGE)), F.when(short, F.left("t", F.lit(EDGE))).asc_nulls_last()]
     dealt = src.repartitionByRange(parts, *ranges).sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t", F.spark_partition_id().alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
