@@ -3,8 +3,9 @@
 A vector's dimensions are split into m lists, so a score is a sum of m partial
 scores. For a block of queries:
 
-1. every task gathers, per query and list, its k highest partial scores; the
-   full scores of these entries give a lower bound t of the k-th best score;
+1. every task gathers, per query and list, the k highest partial scores of one in
+   PROBE of its chunks of rows; the full scores of these entries give a lower
+   bound t of the k-th best score, as those of any k rows do;
 2. the safe cutoff t / m goes out with the queries: a row that scores t or more
    must reach t / m in some list. Lists are taken one after the other; one whose
    product of norms stays below the cutoff is not computed, an entry below the
@@ -47,6 +48,8 @@ QUERY_BLOCK = 2048
 #: Queries in a tile, for which a row is dropped or kept together.
 TILE = 64
 ROWS = 1024
+#: Phase 1 looks at every PROBE-th chunk of ROWS rows, from a task's first on.
+PROBE = 8
 _EXACT = float(1 << 53)
 _SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
@@ -180,9 +183,10 @@ def _block(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, lists:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         keep = _Keep(k)
-        for vec_ids, own in _chunks(batches, width, scale):
-            q, r, score = lists_of(queries, own, query_ids[:, None] != vec_ids, k, lists)
-            keep.add(q, vec_ids[r], score)
+        for n, (vec_ids, own) in enumerate(_chunks(batches, width, scale)):
+            if n % PROBE == 0:  # any k rows give a safe bound
+                q, r, score = lists_of(queries, own, query_ids[:, None] != vec_ids, k, lists)
+                keep.add(q, vec_ids[r], score)
         yield keep.batch(query_ids)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
