@@ -70,13 +70,25 @@ def test_chunks_that_hash_alike_keep_their_own_ids(library, monkeypatch, kind):
 
 
 def test_cache_starts_anew_within_its_bound(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 300)
     own = bpe.ChunkEncoder(bpe.WordBpe(bpe.model_bytes()))
     for t in ("one two three four", "three four five six seven", "one seven"):
         ids, _ = own.encode(*utf8(pa.array([t])))
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 200_000)
+    own = bpe.ChunkEncoder(bpe.WordBpe(bpe.model_bytes()))
+    rng = random.Random(0)
+    most = 0
+    for _ in range(12):
+        text = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(80)) for _ in range(200))
+        own.encode(*utf8(pa.array([text])))
+        most = max(most, own.bytes())
+    assert 50_000 < most <= 200_000 + 5 * 200 * 240
+
+
 def test_rows_nulls_and_clashing_names(spark, library):
     rows = [(1, "Hello world", 5), (1, "Hello world", 6), (2, None, 7), (None, "", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids long").withColumnRenamed("ids", "k")

@@ -70,6 +70,33 @@ def test_repeated_turns_are_ordered_across_partitions(spark):
     assert [tuple(r)[1:5] for r in got] == [expected(sorted((t, r, x) for _, t, r, x in rows))]
 
 
+def test_turns_of_roles_that_begin_another(spark):
+    rows = [(1, 0, "a" * n, f"text {i * 7919 % 3000}") for i in range(3000) for n in (32, 33)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat_format.digests(chat_format.format_turns(df)).collect()
+    assert [tuple(r)[1:5] for r in got] == [expected(sorted((t, r, x) for _, t, r, x in rows))]
+
+
+def test_all_phases_together_compute_a_part_of_the_pairs(spark, monkeypatch):
+    """Clustered rows, over many chunks: partial scores of the bound and of the rest against queries x rows x lists."""
+    rng = np.random.default_rng(3)
+    rows = np.floor(256 * rng.normal(size=(20, 64))[rng.integers(0, 20, 8192)] + 40 * rng.normal(size=(8192, 64)))
+    queries = rows[:32]
+    exact = queries @ rows.T
+    keep, work = exact_topk._Keep(5), 0
+    chunks = [np.arange(at, at + exact_topk.ROWS) for at in range(0, len(rows), exact_topk.ROWS)]
+    for chunk in chunks[:: exact_topk.PROBE]:
+        q, r, score = exact_topk.lists_of(queries, rows[chunk], np.ones((32, len(chunk)), bool), 5, 4)
+        keep.add(q, chunk[r], score)
+        work += 4 * 32 * len(chunk)
+    t = np.array([keep.rows[2][keep.rows[0] == i].min() for i in range(32)])
+    for chunk in chunks:
+        q, r, score, n = exact_topk.resolve_tile(queries, rows[chunk], np.ones((32, len(chunk)), bool), t, 4)
+        assert {*zip(*np.nonzero(exact[:, chunk] >= t[:, None]))} <= {*zip(q, r)}
+        work += n
+    assert work < 0.8 * 4 * exact.size
+
+
 def test_digests_of_no_rows_and_of_one_very_long_text(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat_format.digests(chat_format.format_turns(spark.createDataFrame([], schema))).count() == 0

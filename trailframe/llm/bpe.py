@@ -35,7 +35,7 @@ from trailframe.llm._text import LONG, SPACE, pack, ragged_take, read, same_span
 #: The split pattern that the vocabulary file declares, with its \s read as the Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 MAX_MODEL_BYTES = 64 << 20
-CACHE_CHUNKS = 1 << 20
+CACHE_BYTES = 64 << 20
 #: Bytes of a word beyond which the merge rounds of numpy give way to the library.
 LONG_WORD = 1 << 14
 _NONE = np.int32(2**31 - 1)
@@ -225,8 +225,31 @@ class WordBpe:
         return data[keep], np.concatenate([[0], np.cumsum(end - begin - full)])
 
 
+class _Ragged:
+    """A ragged array that grows by doubling, so that appending costs no copy of the whole each time."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.off, self.n = np.zeros(1024, kind), np.zeros(1024, np.int64), 0
+
+    def used(self) -> int:
+        return int(self.off[self.n])
+
+    def extend(self, values: np.ndarray, offsets: np.ndarray) -> None:
+        end, n = self.used(), self.n + len(offsets) - 1
+        for name, size in (("data", end + len(values)), ("off", n + 1)):
+            old = getattr(self, name)
+            if size > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(size, 2 * len(old)) - len(old), old.dtype)]))
+        self.data[end : end + len(values)] = values
+        self.off[self.n + 1 : n + 1] = end + offsets[1:]
+        self.n = n
+
+    def shrink(self, n: int) -> None:
+        self.n = n
+
+
 class ChunkEncoder:
-    """Encodes documents by their distinct chunks, with a bounded cache that outlives a batch.
+    """Encodes documents by their distinct chunks, with a cache of at most CACHE_BYTES (and one slice's chunks) that outlives a batch.
 
     Hashes only find chunks; a chunk's ids are taken from the cache after its bytes were compared.
     Chunks of more than LONG bytes aren't kept.
@@ -238,8 +261,11 @@ class ChunkEncoder:
 
     def clear(self) -> None:
         self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.text, self.text_off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.text, self.ids = _Ragged(np.uint8), _Ragged(np.int32)
+
+    def bytes(self) -> int:
+        """Of all that is kept: hashes, places, texts, ids and their offsets."""
+        return 32 * len(self.hash) + self.text.used() + 4 * self.ids.used()
 
     def _new(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks as one ragged array."""
@@ -277,7 +303,7 @@ class ChunkEncoder:
         at[order] = np.minimum(np.searchsorted(self.hash, hashes[order]), len(self.hash) - 1)  # sorted needles stay near each other
         place = np.where(self.hash[at] == hashes, self.place[at], -1)
         hit = np.flatnonzero(place >= 0)
-        same = same_spans(data, starts[hit], ends[hit], self.text, self.text_off[place[hit]], self.text_off[place[hit] + 1])
+        same = same_spans(data, starts[hit], ends[hit], self.text.data[: self.text.used()], self.text.off[place[hit]], self.text.off[place[hit] + 1])
         place[hit[~same]] = -2
         return place
 
@@ -290,7 +316,8 @@ class ChunkEncoder:
         begin, end = starts[first], ends[first]
         hashes = span_hashes(data, begin, end)
         place = self._known(data, begin, end, hashes)
-        if len(self.hash) + int((place == -1).sum()) > CACHE_CHUNKS:
+        fresh = (end - begin)[(place == -1) & (end - begin <= LONG)]
+        if len(self.hash) and self.bytes() + 32 * len(fresh) + 5 * int(fresh.sum()) > CACHE_BYTES:  # a byte makes one id at most
             self.clear()
             place[:] = -1
         _, once = np.unique(hashes, return_index=True)  # of chunks that share a hash only one is kept
@@ -301,22 +328,19 @@ class ChunkEncoder:
         keep = np.flatnonzero(keep)
         raw = data.tobytes()
         new = np.concatenate([keep, loose])
-        ids, runs = self.ids, self.offsets
+        known = self.ids.n
         if len(new):
-            more, more_runs = self._new([raw[s:e] for s, e in zip(begin[new].tolist(), end[new].tolist())])
-            place[new] = len(self.offsets) - 1 + np.arange(len(new))
-            ids, runs = np.concatenate([ids, more]), np.concatenate([runs, runs[-1] + more_runs[1:]])
-        out, out_runs = ragged_take(ids, runs, place[code])
+            place[new] = known + np.arange(len(new))
+            self.ids.extend(*self._new([raw[s:e] for s, e in zip(begin[new].tolist(), end[new].tolist())]))
+        out, out_runs = ragged_take(self.ids.data, self.ids.off, place[code])
+        self.ids.shrink(known + len(keep))
         if len(keep):
             order = keep[np.argsort(hashes[keep])]
             where = np.searchsorted(self.hash, hashes[order])
             self.hash, self.place = np.insert(self.hash, where, hashes[order]), np.insert(self.place, where, place[order])
             bound = np.zeros(2 * len(keep), np.int64)
             bound[::2], bound[1::2] = begin[keep], end[keep]
-            text, text_off = ragged_take(data, bound, np.arange(0, 2 * len(keep), 2))
-            self.text, self.text_off = np.concatenate([self.text, text]), np.concatenate([self.text_off, self.text_off[-1] + text_off[1:]])
-            size = len(self.offsets) + len(keep)
-            self.ids, self.offsets = ids[: runs[size - 1]], runs[:size]
+            self.text.extend(*ragged_take(data, bound, np.arange(0, 2 * len(keep), 2)))
         return out, out_runs[rows]
 
 
