@@ -146,6 +146,14 @@ def test_bounded_queue_drops_the_oldest(spark, tmp_path):
     assert list(got["items"]) == [2, 3, 4] and got["dropped"] == 2
 
 
+def test_bounded_queue_of_more_rows_than_a_frame(spark, tmp_path):
+    spark.range(30_000).selectExpr("'q' q", "(id * 7919) % 30000 x", "(id * 7919) % 30000 o").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streams.file_stream(spark, str(tmp_path / "in"), "q string, x long, o long")
+    streams.run_to_end(streams.bounded_queue(stream, "q", "x", "o", 5), "long_queue", str(tmp_path / "cp"), "update")
+    got = spark.sql("SELECT * FROM long_queue").first()
+    assert list(got["items"]) == [29995, 29996, 29997, 29998, 29999] and got["dropped"] == 29_995
+
+
 def test_routing_buffers_and_resume(spark):
     router = streams.StickyRouter(2, 1)
     assert [router.route(k) for k in "abac"] == [0, 1, 0, 0]

@@ -78,15 +78,20 @@ def fresh_enough(df: DataFrame, version: str, current: Column | int, most: int)
 
 
 def bounded_queue(stream: DataFrame, queue: str, item: str, order: str, size: int) -> DataFrame:
-    """FIFO per queue that drops its oldest when full: after each batch its content and the drop count."""
+    """FIFO per queue that drops its oldest when full: after each batch its content and the drop count.
+
+    A batch's rows come in by their order, in however many frames; only the last `size` of them are held.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, dropped = state.get if state.exists else ([], 0)
         held = list(held)
+        n, last = len(held), pd.DataFrame({"o": [], "x": []})
         for pdf in frames:
-            held += pdf.sort_values("o")["x"].tolist()
-        dropped += max(0, len(held) - size)
-        held = held[-size:]
+            n += len(pdf)
+            last = pd.concat([last, pdf[["o", "x"]]]).sort_values("o", kind="stable").tail(size)
+        dropped += max(0, n - size)
+        held = (held + [int(x) for x in last["x"]])[-size:]
         state.update((held, dropped))
         yield pd.DataFrame({"queue": [key[0]], "items": [held], "dropped": [dropped]})
 
