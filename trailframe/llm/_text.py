@@ -63,6 +63,7 @@ def binary_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # of the batches before
 
 
 def pack(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

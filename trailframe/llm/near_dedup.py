@@ -46,7 +46,7 @@ from trailframe.storage import cut
 CHUNKS, WIDTH = 14, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Shingles in one block of a candidate group, on average; a cell holds two blocks.
-BLOCK_SHINGLES = 250_000
+BLOCK_SHINGLES = 125_000
 _RNG = np.random.Generator(np.random.PCG64(11))
 _MUL = (_RNG.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)[:, None]
