@@ -116,24 +116,33 @@ def mini_batches(df: DataFrame, key: list[str], size: int, epochs: int, seed: in
     return numbered(out.withColumn("_h", h), ["epoch", "_h", *key], "_n").join(df.agg(F.count(F.lit(1)).alias("_t")), F.lit(True)).withColumn("batch", F.floor((F.col("_n") - F.col("epoch") * F.col("_t")) / size).cast("long")).drop("_h", "_n", "_t")
 
 
-def karmarkar_karp(sizes: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """Indices in k parts of nearly equal sums, by largest differencing; equal: parts of one count."""
-    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-    if equal and len(sizes) % k:
-        raise ValueError("the count isn't divisible")
-    start = [order[i : i + k] for i in range(0, len(order), k)] if equal else [[i] for i in order]
-    heap: list[tuple[int, int, list[tuple[int, list[int]]]]] = []
-    for n, own in enumerate(start):
-        sets = sorted([(sizes[i], [i]) for i in own] + [(0, [])] * (k - len(own)), key=lambda s: -s[0])
+def differenced(tuples: list[list[int]]) -> list[list[tuple[int, int]]]:
+    """tuples: k sums each. For each of the k parts the (tuple, place) put into it: the two of largest spread are joined again and again, high sums with low ones.
+
+    A joined tuple's spread is at most the larger of the two, so the parts differ by the largest spread of a tuple at most.
+    """
+    heap: list[tuple[int, int, list[tuple[int, list[tuple[int, int]]]]]] = []
+    for n, sums in enumerate(tuples):
+        sets = sorted(((s, [(n, i)]) for i, s in enumerate(sums)), key=lambda x: -x[0])
         heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
-    n = len(start)
+    n = len(heap)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
-        sets = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda s: -s[0])
+        sets = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda x: -x[0])
         heapq.heappush(heap, (sets[-1][0] - sets[0][0], n, sets))
         n += 1
-    return [sorted(p) for _, p in heap[0][2]] if heap else [[] for _ in range(k)]
+    return [own for _, own in heap[0][2]] if heap else []
+
+
+def karmarkar_karp(sizes: list[int], k: int, equal: bool = False) -> list[list[int]]:
+    """Indices in k parts of nearly equal sums, by largest differencing; equal: parts of one count."""
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+    if equal and len(sizes) % k:
+        raise ValueError("the count isn't divisible")
+    start = [order[i : i + k] for i in range(0, len(order), k)] if equal else [[i] for i in order]
+    parts = differenced([[sizes[i] for i in own] + [0] * (k - len(own)) for own in start])
+    return [sorted(start[n][i] for n, i in own if i < len(start[n])) for own in parts] or [[] for _ in range(k)]
 
 
 def least_loaded(sizes: list[int], k: int) -> list[list[int]]:
@@ -158,19 +167,41 @@ def micro_batches(sizes: list[int], most: int) -> list[list[int]]:
     return load[0::2] + load[1::2][::-1]
 
 
-def balanced(df: DataFrame, batch: str, row: str, size: str, k: int, method: str = "kk") -> DataFrame:
-    """Part numbers within each batch (a batch is what one step takes, so it fits a task)."""
+#: Rows that one task partitions, and partitions that one task puts together.
+PART_ROWS, PART_FAN = 50_000, 1000
+
+
+def balanced(df: DataFrame, batch: str, row: str, size: str, k: int, method: str = "kk", rows: int = PART_ROWS, fan: int = PART_FAN) -> DataFrame:
+    """Part numbers within each batch: (batch, row, size, part).
+
+    kk: a batch of more than `rows` rows is dealt to blocks; each is partitioned in a task, and blocks are put together by
+    differencing their k sums, `fan` of them at a time, so only sums leave a block. The parts' sums differ by the largest
+    item at most (a block's by its largest, and joining doesn't add to it). greedy: in row order, a batch in one task.
+    """
+    src = df.select(F.col(batch).cast("long").alias("batch"), F.col(row).cast("long").alias("row"), F.col(size).cast("long").alias("size"))
+    n = src.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_n"))
+    blocks = src.join(n, "batch").select("batch", "row", "size", (F.pmod(F.xxhash64("row"), "_n") if method == "kk" else F.lit(0)).cast("long").alias("block"))
     solve = {"kk": karmarkar_karp, "greedy": least_loaded}[method]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row").reset_index(drop=True)
         part = pd.Series(0, index=pdf.index)
         for p, own in enumerate(solve(pdf["size"].tolist(), k)):
             part.iloc[own] = p
         return pdf.assign(part=part)
 
-    src = df.select(F.col(batch).cast("long").alias("batch"), F.col(row).cast("long").alias("row"), F.col(size).cast("long").alias("size"))
-    return src.groupBy("batch").applyInPandas(run, "batch long, row long, size long, part int")
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = pdf.pivot_table(index="block", columns="part", values="size", aggfunc="sum", fill_value=0).reindex(columns=range(k), fill_value=0)
+        moved = [(int(pdf["batch"].iloc[0]), int(sums.index[n]), p, to) for to, own in enumerate(differenced(sums.to_numpy().tolist())) for n, p in own]
+        return pd.DataFrame(moved, columns=["batch", "block", "part", "to"])
+
+    spark = df.sparkSession
+    out = cut(spark, blocks.groupBy("batch", "block").applyInPandas(first, "batch long, row long, size long, block long, part int"), "parts")
+    while out.where("block > 0").limit(1).count():
+        sums = out.groupBy("batch", "block", "part").agg(F.sum("size").alias("size")).withColumn("up", F.floor(F.col("block") / fan))
+        moves = sums.groupBy("batch", "up").applyInPandas(join, "batch long, block long, part int, to int")
+        out = cut(spark, out.join(moves, ["batch", "block", "part"]).select("batch", "row", "size", F.floor(F.col("block") / fan).alias("block"), F.col("to").alias("part")), "parts")
+    return out.select("batch", "row", "size", "part")
 
 
 def imbalance(df: DataFrame, part: str, size: str) -> DataFrame:

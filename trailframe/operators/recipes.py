@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailframe.functions.arrays import carry_forward
+from trailframe.operators.batch import numbered
 from trailframe.operators.sampling import order_key, uniform
+from trailframe.storage import cut, shared_dir
 
 #: Roles of the shared-conversation format.
 ROLES = {"system": "system", "human": "user", "gpt": "assistant", "observation": "tool", "function_call": "assistant"}
@@ -84,23 +91,67 @@ def path_class(counts: Column) -> Column:
     return F.when(F.forall(counts, lambda n: n == 1), "single").when(F.exists(counts, lambda n: n == 1), "mix").otherwise("multi")
 
 
-def balanced_selection(scored: list[tuple[str, list[str], float]], target: int, cap: float = 0.15) -> list[str]:
-    """Greedy choice by falling score while no action exceeds its share of the running total; then filled up without the cap."""
-    order = sorted(scored, key=lambda x: (-x[2], x[0]))
-    counts: dict[str, int] = {}
-    chosen: list[str] = []
-    for name, actions, _ in order:
-        if len(chosen) == target:
+class CappedChoice:
+    """Takes rows in order while none of their actions exceeds its share of all actions taken so far."""
+
+    def __init__(self, cap: float, counts: dict[str, int] | None = None, begun: bool = False) -> None:
+        self.cap, self.counts, self.begun = cap, dict(counts or {}), begun
+        self.total = sum(self.counts.values())
+
+    def take(self, actions: list[str]) -> bool:
+        own = Counter(actions)
+        total = self.total + len(actions)
+        if self.begun and any(self.counts.get(a, 0) + n > self.cap * total for a, n in own.items()):
+            return False
+        for a, n in own.items():
+            self.counts[a] = self.counts.get(a, 0) + n
+        self.total, self.begun = total, True
+        return True
+
+
+#: Rows of a range of the ordered scan.
+RANGE_ROWS = 100_000
+
+
+def balanced_rows(df: DataFrame, key: str, actions: str, score: str, target: int, cap: float = 0.15, rows: int = RANGE_ROWS) -> DataFrame:
+    """The chosen rows (all, if fewer than `target`), with `pass`: 1 under the cap, by falling score, 2 filled up without it.
+
+    The order is written in ranges, each scanned by one task that starts from the counts of the one before; only these counts
+    (one per action) pass from range to range, and the scan ends when the target is reached.
+    """
+    spark = df.sparkSession
+    placed = numbered(df, [F.desc(score), key], "_place").withColumn("_range", F.floor(F.col("_place") / rows))
+    path = shared_dir(spark, "ranges")
+    placed.write.partitionBy("_range").parquet(path)
+    dealt = spark.read.schema(placed.schema).parquet(path)
+    last = dealt.agg(F.max("_range")).first()[0]
+    taken, counts, chosen = 0, {}, []
+    for r in range(-1 if last is None else int(last) + 1):
+        if taken >= target:
             break
-        new = dict(counts)
-        for a in actions:
-            new[a] = new.get(a, 0) + 1
-        total = sum(new.values())
-        if not chosen or all(new[a] <= cap * total for a in set(actions)):
-            counts = new
-            chosen.append(name)
-    rest = [n for n, *_ in order if n not in set(chosen)]
-    return chosen + rest[: max(0, target - len(chosen))]
+
+        def scan(pdfs: Iterator[pd.DataFrame], counts=counts, left=target - taken, begun=taken > 0) -> Iterator[pd.DataFrame]:
+            choice, n = CappedChoice(cap, counts, begun), 0
+            own = pd.concat([pd.DataFrame({"_place": [], actions: []}), *pdfs]).sort_values("_place")  # a range
+            places = []
+            for place, acts in zip(own["_place"], own[actions]):
+                if n == left:
+                    break
+                if choice.take(list(acts)):
+                    places.append(place)
+                    n += 1
+            n_left = len(choice.counts)
+            yield pd.DataFrame({"_place": pd.array([*places, *[None] * n_left], "Int64"), "action": [*[None] * len(places), *choice.counts], "n": pd.array([*[None] * len(places), *choice.counts.values()], "Int64")})
+
+        found = cut(spark, dealt.where(F.col("_range") == r).select("_place", actions).coalesce(1).mapInPandas(scan, "_place long, action string, n long"), "choice")
+        counts = {x["action"]: x["n"] for x in found.where("action IS NOT NULL").collect()}
+        picked = found.where("_place IS NOT NULL").select("_place")
+        taken += picked.count()
+        chosen.append(picked)
+    first = reduce(DataFrame.union, chosen) if chosen else dealt.select("_place").limit(0)
+    rest = dealt.join(first, "_place", "left_anti")
+    filled = numbered(rest, ["_place"], "_n").where(F.col("_n") < target - taken).drop("_n").withColumn("pass", F.lit(2))
+    return dealt.join(first, "_place", "left_semi").withColumn("pass", F.lit(1)).unionByName(filled).select(*df.columns, "pass")
 
 
 def bucket_selection(df: DataFrame, bucket: str, key: str, per_bucket: int, total: int, seed: int = 42) -> DataFrame:

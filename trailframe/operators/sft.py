@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from trailframe.operators.recipes import mcq
 from trailframe.operators.sampling import negatives, order_key, take_per_group, uniform
+from trailframe.storage import cut
 
 _PART = re.compile(r"<(observation|action)>(.*?)</\1>", re.DOTALL)
 _TURN = re.compile(r'<turn\s+index="(\d+)"\s*>(.*?)</turn>', re.DOTALL)
@@ -258,7 +260,29 @@ def flood(cells: set[tuple[int, int]], start: tuple[int, int]) -> dict[tuple[int
     return seen
 
 
-def room_distances(df: DataFrame, room: str) -> DataFrame:
+#: Cells of a room that one task floods; larger ones go through rounds over all states at once.
+ROOM_CELLS = 50_000
+
+
+def _flood_rounds(cells: DataFrame) -> DataFrame:
+    """cells: (room, x, y). Rows (room, x, y, heading, moves), a breadth-first round after the other; each frontier is written."""
+    spark = cells.sparkSession
+    start = cells.groupBy("room").agg(F.min(F.struct("x", "y")).alias("s")).select("room", "s.x", "s.y", F.lit(0).alias("heading"), F.lit(0).alias("moves"))
+    seen = front = cut(spark, start, "states")
+    ahead = lambda axis, steps: F.col(axis) + F.element_at(F.array(*map(F.lit, steps)), F.col("heading") + 1)
+    for moves in count(1):
+        gone = front.select("room", ahead("x", (1, 0, -1, 0)).alias("x"), ahead("y", (0, 1, 0, -1)).alias("y"), "heading").join(cells, ["room", "x", "y"], "left_semi")
+        turned = front.select("room", "x", "y", F.explode(F.array(*(F.pmod(F.col("heading") + d, F.lit(4)) for d in (1, 3)))).alias("heading"))
+        new = gone.union(turned).distinct().join(seen, ["room", "x", "y", "heading"], "left_anti").withColumn("moves", F.lit(moves))
+        front = cut(spark, new, "states")
+        if front.isEmpty():
+            return seen
+        seen = seen.union(front)
+        if moves % 20 == 0:
+            seen = cut(spark, seen, "states")
+
+
+def room_distances(df: DataFrame, room: str, local: int = ROOM_CELLS) -> DataFrame:
     """Fewest moves to every state of each room's grid, from its least cell."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,8 +290,13 @@ def room_distances(df: DataFrame, room: str) -> DataFrame:
         found = flood(cells, min(cells))
         return pd.DataFrame([(pdf["room"].iloc[0], *s, n) for s, n in found.items()], columns=["room", "x", "y", "heading", "moves"])
 
-    src = df.select(F.col(room).cast("string").alias("room"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    return src.groupBy("room").applyInPandas(run, "room string, x long, y long, heading int, moves int")
+    src = df.select(F.col(room).cast("string").alias("room"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
+    large = cut(df.sparkSession, src.groupBy("room").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("room"), "large")
+    schema = "room string, x long, y long, heading int, moves int"
+    if large.isEmpty():
+        return src.groupBy("room").applyInPandas(run, schema)
+    small = src.join(large, "room", "left_anti").groupBy("room").applyInPandas(run, schema)
+    return small.union(_flood_rounds(cut(df.sparkSession, src.join(large, "room", "left_semi"), "cells")))
 
 
 def decoded_cases(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -79,6 +79,23 @@ def balanced_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.rarity(events(spark, sf_dir).withColumn("a", F.split("action", r" \| ")), "user_id", "a"))
 
 
+@catalog.add(f"""
+WITH RECURSIVE {EVENTS}, t AS (SELECT user_id, unnest(string_split(action, ' | ')) AS a FROM ev), f AS (SELECT a, count(*) AS f, sum(count(*)) OVER () AS t FROM t GROUP BY a), n AS (SELECT user_id, a, count(*) AS n FROM t GROUP BY 1, 2),
+s AS (SELECT user_id, round(sum(n * t / f), 6) AS score, list_transform(['k0', 'k1', 'k2', 'k3', 'k4'], lambda x: coalesce(list_sum(list_transform(list_filter(list({{'a': n.a, 'n': n.n}}), lambda y: y.a = x), lambda y: y.n)), 0)) AS own FROM n JOIN f USING (a) GROUP BY user_id),
+o AS (SELECT user_id, own, row_number() OVER (ORDER BY score DESC, user_id) AS r FROM s),
+g AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS user_id, list_transform([0, 0, 0, 0, 0], lambda x: CAST(x AS HUGEINT)) AS c, 0 AS taken, false AS fit
+  UNION ALL SELECT r, user_id, CASE WHEN fit THEN n ELSE c END, taken + CAST(fit AS INTEGER), fit FROM (SELECT *, taken < 40 AND (taken = 0 OR len(list_filter(range(1, 6), lambda i: own[i] > 0 AND n[i] > CAST(0.24 AS DOUBLE) * list_sum(n))) = 0) AS fit
+    FROM (SELECT o.r, o.user_id, o.own, g.c, g.taken, list_transform(range(1, 6), lambda i: CAST(g.c[i] + o.own[i] AS HUGEINT)) AS n FROM g JOIN o ON o.r = g.r + 1))),
+p AS (SELECT user_id, r, fit, row_number() OVER (PARTITION BY fit ORDER BY r) AS i, count(*) FILTER (WHERE fit) OVER () AS taken FROM g WHERE r > 0)
+SELECT user_id, CASE WHEN fit THEN 1 ELSE 2 END AS pass FROM p WHERE fit OR i <= 40 - taken""")
+def balanced_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 users by the rarity of their actions, no action with more than 24 % of those chosen; the rest filled up."""
+    rows = events(spark, sf_dir).withColumn("a", F.split("action", r" \| "))
+    scored = X.rarity(rows, "user_id", "a").withColumn("rarity", F.round("rarity", 6))
+    paths = rows.groupBy("user_id").agg(F.flatten(F.collect_list("a")).alias("actions")).join(scored, "user_id")
+    return X.balanced_rows(paths, "user_id", "actions", "rarity", 40, cap=0.24).select("user_id", "pass")
+
+
 @catalog.add(f"""
 WITH {EVENTS}, n AS (SELECT user_id, list(len(string_split(action, ' | '))) AS c FROM ev GROUP BY 1) SELECT user_id, CASE WHEN list_max(c) = 1 THEN 'single' WHEN list_min(c) = 1 THEN 'mix' ELSE 'multi' END AS cls FROM n""")
 def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,13 @@ def action_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft.action_records(G.random_walks(transition_edges(spark, sf_dir), 300, 2, 4))
 
 
-@catalog.add()
+@catalog.add("""
+WITH RECURSIVE c AS (SELECT DISTINCT CAST(p_partkey // 400 AS VARCHAR) AS room, p_partkey % 400 // 20 AS x, p_partkey % 20 AS y FROM part WHERE p_size > 12),
+r(room, x, y, heading, moves) USING KEY (room, x, y, heading) AS (SELECT room, x, y, 0, 0 FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY x, y) AS i FROM c) WHERE i = 1
+  UNION SELECT n.* FROM (SELECT r.room, r.x + [1, 0, -1, 0][heading + 1] AS x, r.y + [0, 1, 0, -1][heading + 1] AS y, heading, moves + 1 AS moves FROM r
+      UNION SELECT room, x, y, (heading + d) % 4, moves + 1 FROM r, (VALUES (1), (3)) v(d)) n
+    JOIN c ON c.room = n.room AND c.x = n.x AND c.y = n.y LEFT JOIN recurring.r o ON o.room = n.room AND o.x = n.x AND o.y = n.y AND o.heading = n.heading WHERE o.room IS NULL)
+SELECT room, x, y, CAST(heading AS INTEGER) AS heading, CAST(moves AS INTEGER) AS moves FROM r""")
 def room_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 400 parts are a room of 20 by 20 cells; the small ones are walls."""
     cells = table(spark, sf_dir, "part").where("p_size > 12").selectExpr("p_partkey div 400 AS room", "p_partkey % 400 div 20 AS x", "p_partkey % 20 AS y")

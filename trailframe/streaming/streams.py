@@ -48,22 +48,21 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
 
 
 def incremental_edges(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Each micro-batch adds the edges that the table lacks; a batch that runs again replaces its own.
+    """Each micro-batch adds the edges that the table lacks, the first of equal keys; a batch that runs again replaces its own.
 
-    A batch is compared with the batches before it and with those of other
-    checkpoints, never with itself, and written to a folder of its own.
+    The keys seen are the query's state, in the state store of its checkpoint, so a batch costs what it brings, not what came
+    before it. Only tables that other checkpoints wrote before this one are compared as files. A session that sets
+    `spark.sql.streaming.stateStore.providerClass` to the RocksDB provider keeps the keys on disk.
     """
     run = f"run={zlib.crc32(checkpoint.encode()):08x}"
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        done = [f"{path}/{r}/{e}" for r in _folders(spark, path) for e in _folders(spark, f"{path}/{r}") if r != run or int(e.removeprefix("epoch=")) < epoch]
-        fresh = batch.dropDuplicates(keys)
-        if done:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(*done), keys, "left_anti")
+        others = [f"{path}/{r}/{e}" for r in _folders(spark, path) if r != run for e in _folders(spark, f"{path}/{r}")]
+        fresh = batch.join(spark.read.schema(batch.schema).parquet(*others), keys, "left_anti").select(batch.columns) if others else batch
         fresh.write.mode("overwrite").parquet(f"{path}/{run}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates(keys).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def admitted(queue_full: bool, samples: int, required: int, threshold: float) -> bool:
