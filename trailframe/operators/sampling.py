@@ -125,15 +125,24 @@ def weighted_mix(df: DataFrame, source: str, key: str, weights: dict[str, float]
     return df.withColumn("_n", F.coalesce(n, F.lit(1))).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
-def group_rows(df: DataFrame, group: str, order: list, row: str = "_r", size: str = "_n") -> DataFrame:
-    """Numbers a group's rows from 0 in an order and adds the group's size and its first place in the whole order (`_first`).
+#: Rows of a group up to which a window numbers it; beyond, all rows are numbered in written ranges.
+GROUP_ROWS = 1_000_000
 
-    All rows are numbered in range partitions by group and order, so that a large group is many tasks' work; a
-    group's first place is one aggregate. A null group is a group.
+
+def group_rows(df: DataFrame, group: str, order: list, row: str = "_r", size: str = "_n", places: bool = False, local: int | None = None) -> DataFrame:
+    """Numbers a group's rows from 0 in an order and adds the group's size; with `places` also the row's and its group's first place in the whole order (`_at`, `_first`).
+
+    If some group has more than `local` rows, or places are wanted, all rows are numbered in range partitions by group and
+    order, so that a large group is many tasks' work; a group's first place is one aggregate. A null group is a group.
     """
-    rows = numbered(df.withColumn("_g", F.struct(group)), ["_g", *order], "_at")
+    keyed = df.withColumn("_g", F.struct(group))
+    if not places and keyed.groupBy("_g").count().where(F.col("count") > (GROUP_ROWS if local is None else local)).isEmpty():
+        w = Window.partitionBy("_g")
+        return keyed.withColumn(row, (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn(size, F.count(F.lit(1)).over(w)).drop("_g")
+    rows = numbered(keyed, ["_g", *order], "_at")
     groups = rows.groupBy("_g").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias(size))
-    return rows.join(groups, "_g").withColumn(row, F.col("_at") - F.col("_first")).drop("_g")
+    out = rows.join(groups, "_g").withColumn(row, F.col("_at") - F.col("_first")).drop("_g")
+    return out if places else out.drop("_at", "_first")
 
 
 def interleaved(df: DataFrame, source: str, key: str, seed: int = SEED, mode: str = "under") -> DataFrame:
@@ -147,7 +156,7 @@ def interleaved(df: DataFrame, source: str, key: str, seed: int = SEED, mode: st
         rows = rows.withColumn("round", F.explode(F.sequence(F.col("round"), F.col("_hi"), F.col("_n"))))
     elif mode != "once":
         raise ValueError(mode)
-    return rows.drop("_h", "_lo", "_hi", "_r", "_n", "_at", "_first")
+    return rows.drop("_h", "_lo", "_hi", "_r", "_n")
 
 
 def ratio_quotas(ratio: list[int], total: int, available: list[int]) -> list[int]:
@@ -173,13 +182,82 @@ def ratio_quotas(ratio: list[int], total: int, available: list[int]) -> list[int
     return got
 
 
+def _spilled(want: list[Column], have: list[Column], allowed: list[int]) -> list[Column]:
+    """Quotas within what a class has; a lack goes to the next allowed classes, what is left then to the earlier ones."""
+    zero = F.lit(0).cast("long")
+    got, left = [zero] * len(want), zero
+    for i in allowed:
+        due = want[i] + left
+        got[i], left = F.least(have[i], due), F.greatest(due - have[i], zero)
+    for i in reversed(allowed):
+        more = F.least(have[i] - got[i], left)
+        got[i], left = got[i] + more, left - more
+    return got
+
+
+def ratio_rows(df: DataFrame, group: str, cls: str, key: str, ratio: dict[str, int], total: int, seed: int = SEED) -> DataFrame:
+    """Of each group `total` rows, its classes by ratio, in hashed order: what `ratio_quotas` allots, taken from the rows.
+
+    A class with ratio 0, or none, is left out even if others lack rows. Quotas are one row of sums per group; rows are
+    numbered in range partitions, so a large group is many tasks' work.
+    """
+    names = list(ratio)
+    allowed = [i for i, c in enumerate(names) if ratio[c]]
+    if not allowed:
+        return df.where("false")
+    want = [total * ratio[c] // sum(ratio.values()) for c in names]
+    want[allowed[0]] += total - sum(want)
+    fit = df.where(F.col(cls).isin([names[i] for i in allowed])).withColumn("_gc", F.struct(group, cls)).withColumn("_h", order_key("ratio", key, seed=seed))
+    have = [F.count_if(F.col(cls) == c) for c in names]
+    quota = _spilled([F.lit(w).cast("long") for w in want], have, allowed)
+    per = fit.groupBy(F.struct(group).alias("_gg")).agg(*(q.alias(f"_q{i}") for i, q in enumerate(quota)))
+    own = F.coalesce(*(F.when(F.col(cls) == c, F.col(f"_q{i}")) for i, c in enumerate(names)))
+    rows = group_rows(fit, "_gc", ["_h", key]).withColumn("_gg", F.struct(group))
+    return rows.join(per, "_gg").where(F.col("_r") < own).select(df.columns)
+
+
+def interleaved_by(df: DataFrame, source: str, key: str, shares: dict[str, float], mode: str = "under", seed: int = SEED) -> DataFrame:
+    """Sources drawn by probability: rows with `draw`, their place. under: until a drawn source has no more rows; over: until all were used up, shorter ones again.
+
+    All draws are made at once, by hash of their place, and numbered within their source; the place where the mix ends is an
+    aggregate of these numbers. In a mode that needs more draws than made, twice as many are made.
+    """
+    if mode not in ("under", "over"):
+        raise ValueError(mode)
+    spark = df.sparkSession
+    names = list(shares)
+    rows = group_rows(df.where(F.col(source).isin(names)).withColumn("_h", order_key("interleave", key, seed=seed)), source, ["_h", key]).drop("_h")
+    sizes = {r[source]: r["n"] for r in rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per given source
+    if any(shares[n] <= 0 for n in names):
+        raise ValueError("shares must be positive")
+    if len(sizes) < len(names):  # a source without rows ends either mix before it begins
+        return rows.drop("_r", "_n").withColumn("draw", F.lit(0).cast("long")).where("false")
+    whole = sum(shares.values())
+    made = int((min if mode == "under" else max)(sizes[n] * whole / shares[n] for n in names)) * 5 // 4 + 100
+    bound, pick = 0.0, None
+    for n in names:
+        bound += shares[n] / whole
+        pick = F.when(F.col("u") < bound, n) if pick is None else pick.when(F.col("u") < bound, n)
+    count = F.element_at(F.create_map(*(F.lit(x) for n in names for x in (n, sizes[n]))), F.col("_s"))
+    while True:
+        draws = spark.range(made).withColumnRenamed("id", "draw").withColumn("u", uniform("source", "draw", seed=seed)).select("draw", pick.otherwise(names[-1]).alias("_s"))
+        placed = cut(spark, group_rows(draws, "_s", ["draw"], "_i").select("draw", "_s", "_i"), "draws")
+        last = F.min("draw") if mode == "under" else F.max("draw")
+        edge = placed.where(F.col("_i") == (count if mode == "under" else count - 1)).agg(last.alias("at"), F.count(F.lit(1)).alias("n")).first()
+        if edge["n"] and (mode == "under" or edge["n"] == len(names)):
+            break
+        made *= 2
+    kept = placed.where(F.col("draw") < edge["at"] if mode == "under" else F.col("draw") <= edge["at"]).withColumn("_r", F.pmod(F.col("_i"), count))
+    return kept.join(rows.withColumnRenamed(source, "_s"), ["_s", "_r"]).withColumnRenamed("_s", source).select(*df.columns, "draw")
+
+
 def negatives(df: DataFrame, group: str, key: str, n: int, seed: int = SEED) -> DataFrame:
     """n other keys of the same group for each row: its next ones on the group's hashed ring.
 
     Pairs aren't enumerated: rows meet by their places in one order of all groups. Groups of n rows or fewer are left out.
     """
     src = df.select(group, key).withColumn("_h", order_key("ring", key, seed=seed))
-    rows = group_rows(src, group, ["_h", key]).where(F.col("_n") > n)
+    rows = group_rows(src, group, ["_h", key], places=True).where(F.col("_n") > n)
     wanted = rows.select(group, key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"), "_r", "_n", "_first")
     wanted = wanted.withColumn("_at", F.col("_first") + F.pmod(F.col("_r") + F.col("slot"), F.col("_n")))
     return wanted.join(rows.select("_at", F.col(key).alias("negative")), "_at").select(group, key, "slot", "negative")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from trailframe.operators.recipes import mcq
 from trailframe.operators.sampling import negatives, order_key, take_per_group, uniform
-from trailframe.storage import cut
+from trailframe.storage import cut, discard
 
 _PART = re.compile(r"<(observation|action)>(.*?)</\1>", re.DOTALL)
 _TURN = re.compile(r'<turn\s+index="(\d+)"\s*>(.*?)</turn>', re.DOTALL)
@@ -150,6 +150,49 @@ def turn_records(steps: DataFrame, record: str, step: str, observation: str, act
     return rows.select(record, F.concat(F.array(message("system", F.lit(system))), "_m", end).alias("messages"))
 
 
+def mixed_records(steps: DataFrame, record: str, step: str, observation: str, action: str, wrong: str, system: str, answer: str, share: float, seed: int = 42) -> DataFrame:
+    """Messages of a multi-turn record (record, messages, kinds) whose turns are each a multiple-choice question with a probability, else free.
+
+    A turn without wrong actions (`wrong`, an array) is free. A question lists the right action at a hashed slot among the
+    wrong ones and is answered by its letter; the last turn, the answer, is always free.
+    """
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    turn = F.concat_ws("|", F.col(record).cast("string"), F.col(step).cast("string"))
+    rows = steps.withColumn("_t", turn).withColumn("_k", F.when(F.coalesce(F.size(wrong), F.lit(0)) > 0, question_kind(record, step, share, seed)).otherwise("free"))
+    rows = rows.withColumn("_q", mcq(F.col(action), F.col(wrong), "_t", seed))
+    letters = F.transform("_q.options", lambda x, i: F.concat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), i + 1, F.lit(1)), F.lit(". "), x))
+    is_mcq = F.col("_k") == "mcq"
+    asked = F.when(is_mcq, F.concat(F.col(observation), F.lit("\n"), F.array_join(letters, "\n"))).otherwise(F.col(observation))
+    said = F.concat(F.lit("<action>"), F.when(is_mcq, F.col("_q.letter")).otherwise(F.col(action)), F.lit("</action>"))
+    got = F.sort_array(F.collect_list(F.struct(F.col(step).alias("s"), F.array(message("user", asked), message("assistant", said)).alias("p"), F.col("_k").alias("k"))))
+    rows = rows.groupBy(record).agg(got.alias("_g"), F.max_by(answer, step).alias("_a"))
+    end = F.array(message("assistant", F.concat(F.lit("<action>answer("), F.col("_a"), F.lit(")</action>"))))
+    turns = F.flatten(F.transform("_g", lambda x: x["p"]))
+    return rows.select(record, F.concat(F.array(message("system", F.lit(system))), turns, end).alias("messages"), F.transform("_g", lambda x: x["k"]).alias("kinds"))
+
+
+def reward_filtered(df: DataFrame, messages: str, reward: str, threshold: float = 0.5, least: int = 3) -> DataFrame:
+    """Records with the reward and the number of messages that they need; a null reward has too little."""
+    return df.where((F.col(reward) >= threshold) & (F.size(messages) >= least))
+
+
+def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
+    """Append the records that an earlier output lacks, the first of equal keys; gives their number. The output may not exist yet.
+
+    New records are written apart first, so that an append that fails is done whole when it is run again.
+    """
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = df.dropDuplicates(keys)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        fresh = fresh.join(spark.read.schema(df.schema).parquet(path), keys, "left_anti").select(df.columns)
+    fresh = cut(spark, fresh, "fresh")
+    fresh.write.mode("append").parquet(path)
+    n = fresh.count()
+    discard(fresh)
+    return n
+
+
 def prompt_choice(pool: list[str], generator: str, key: str, seed: int = 42) -> Column:
     """A prompt of a pool by the generator's own hash stream."""
     place = F.pmod(F.conv(F.substring(order_key(generator, key, seed=seed), 1, 8), 16, 10).cast("long"), F.lit(len(pool)).cast("long"))

@@ -206,3 +206,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items as queries against all documents."""
     return bm25_topk(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", 5)
+
+
+@catalog.add("""
+WITH d AS (SELECT doc_id, lang, CASE WHEN n_chars < 400 THEN 'single' WHEN n_chars < 2500 THEN 'mix' ELSE 'multi' END AS cls FROM documents),
+n AS (SELECT lang, count(*) FILTER (WHERE cls = 'single') AS a, count(*) FILTER (WHERE cls = 'multi') AS c FROM d GROUP BY lang),
+q AS (SELECT lang, a, c, least(a, 75) AS qa, least(c, 25 + greatest(75 - a, 0)) AS qc, greatest(25 + greatest(75 - a, 0) - c, 0) AS l FROM n),
+b AS (SELECT lang, qa + least(a - qa, l - least(c - qc, l)) AS qa, qc + least(c - qc, l) AS qc FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, cls ORDER BY md5('42|ratio|' || doc_id), doc_id) AS r FROM d WHERE cls <> 'mix')
+SELECT r.lang, r.cls, r.doc_id FROM r JOIN b ON b.lang IS NOT DISTINCT FROM r.lang WHERE r.r <= CASE r.cls WHEN 'single' THEN qa ELSE qc END""")
+def ratio_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 documents of each language, 3 short ones to 1 long one; those between are excluded."""
+    cls = F.when(F.col("n_chars") < 400, "single").when(F.col("n_chars") < 2500, "mix").otherwise("multi")
+    return S.ratio_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", cls.alias("cls")), "lang", "cls", "doc_id", {"single": 3, "mix": 0, "multi": 1}, 100).select("lang", "cls", "doc_id")
+
+
+@catalog.add("""
+WITH n AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'a' WHEN doc_id % 5 < 3 THEN 'b' ELSE 'c' END AS s, doc_id FROM documents), r AS (SELECT s, doc_id, row_number() OVER (PARTITION BY s ORDER BY md5('42|interleave|' || doc_id), doc_id) AS r FROM n),
+c AS (SELECT s, count(*) AS n FROM n GROUP BY s), u AS (SELECT i, CAST('0x' || substr(md5('42|source|' || i), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT unnest(range(0, 2 * count(*))) AS i FROM documents)),
+d AS (SELECT i, s, row_number() OVER (PARTITION BY s ORDER BY i) AS r FROM (SELECT i, CASE WHEN u < 0.5 THEN 'a' WHEN u < 0.8 THEN 'b' ELSE 'c' END AS s FROM u)),
+e AS (SELECT min(i) AS stop FROM d JOIN c USING (s) WHERE r = n + 1)
+SELECT d.s AS source, doc_id, i AS draw FROM d JOIN r ON r.s = d.s AND r.r = d.r, e WHERE i < stop""")
+def interleave_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups of documents drawn 5 : 3 : 2 until one has no more."""
+    group = F.when(F.col("doc_id") % 5 == 0, "a").when(F.col("doc_id") % 5 < 3, "b").otherwise("c")
+    return S.interleaved_by(table(spark, sf_dir, "documents").select("doc_id", group.alias("source")), "source", "doc_id", {"a": 0.5, "b": 0.3, "c": 0.2}).select("source", "doc_id", "draw")

@@ -61,16 +61,17 @@ def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add("""
-SELECT 'shared' AS name, CAST(conv_id AS BIGINT) AS id, sha256(text) AS digest FROM conversations WHERE turn = 0 UNION ALL SELECT 'plain', CAST(item_id AS BIGINT), sha256(text) FROM benchmark""")
+SELECT 'shared' AS name, CAST(conv_id AS BIGINT) AS id, sha256(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id UNION ALL SELECT 'plain', CAST(item_id AS BIGINT), sha256(text) FROM benchmark""")
 def dataset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two datasets written with a manifest, a third that is empty left out, and read back."""
     path = shared_dir(spark, "datasets")
-    shared = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.array(F.struct("role", "text")).alias("messages"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    shared = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
     plain = table(spark, sf_dir, "benchmark").select("item_id", "text")
     info = readers.write_datasets(spark, {"shared": shared, "plain": plain, "none": plain.limit(0)}, path)
     if set(info) != {"shared", "plain"}:
         raise ValueError(f"unexpected datasets {sorted(info)}")
-    one = spark.read.schema(shared.schema).json(f"{path}/shared").select(F.lit("shared").alias("name"), F.col("conv_id").alias("id"), F.sha2(F.col("messages")[0]["text"].cast("binary"), 256).alias("digest"))
+    one = spark.read.schema(shared.schema).json(f"{path}/shared").select(F.lit("shared").alias("name"), F.col("conv_id").alias("id"), F.sha2(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").cast("binary"), 256).alias("digest"))
     return one.union(spark.read.schema(plain.schema).json(f"{path}/plain").select(F.lit("plain"), "item_id", F.sha2(F.col("text").cast("binary"), 256)))
 
 
@@ -240,3 +241,14 @@ def text_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.concat(F.col("event_id").cast("string"), F.lit("  \nDecide your next action"))
     seen = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("[Initial Observation]:\n#@  \n "), tail)).otherwise(F.concat(F.lit("After that, the observation is:\n#. \t\n "), tail))
     return table(spark, sf_dir, "events").select("event_id", parse.text_grid(seen, True).alias("first"), parse.text_grid(seen, False).alias("after"))
+
+
+@catalog.add("""
+SELECT event_id, user_id FROM events ORDER BY md5('7|' || event_id), event_id LIMIT 2500""")
+def parquet_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of fixed size from a table that comes as several files: the sampling operator itself."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    paths = [shared_dir(spark, f"sample{i}") for i in range(3)]
+    for i, path in enumerate(paths):
+        rows.where(F.pmod("event_id", F.lit(3)) == i).write.parquet(path)
+    return readers.read_parquet_sample(spark, paths, "event_id", 2500, seed=7)

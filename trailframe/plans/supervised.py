@@ -9,6 +9,7 @@ from trailframe.operators import graph as G
 from trailframe.operators import sft
 from trailframe.plans.catalog import EVENTS, Catalog, events, r6, table
 from trailframe.plans.graphs import transition_edges
+from trailframe.storage import shared_dir
 
 catalog = Catalog()
 
@@ -158,3 +159,36 @@ SELECT CAST(event_id AS BIGINT) AS event_id, CAST(copy AS INTEGER) AS copy FROM
 def literal_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (1 + F.col("event_id") % 4).cast("int")
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(1), n)).alias("copy"))
+
+
+_HEX = "CAST('0x' || substr(md5('42|{}|' || {}), 1, 8) AS BIGINT)"
+_WRONG = "list_filter(['k0', 'k1', 'k2', 'k3'], lambda x: x <> split_part(action, ' | ', 1))"
+
+
+@catalog.add(f"""
+WITH {EVENTS}, w AS (SELECT *, split_part(action, ' | ', 1) AS a, CASE WHEN k % 7 = 0 THEN [] ELSE {_WRONG} END AS wrong FROM ev),
+q AS (SELECT *, len(wrong) > 0 AND {_HEX.format('kind', "user_id || '|' || event_id")} / 4294967296.0 < 0.4 AS mcq, {_HEX.format('slot', "user_id || '|' || event_id")} % (len(wrong) + 1) AS slot FROM w),
+o AS (SELECT *, wrong[:slot] || [a] || wrong[slot + 1:] AS options FROM q),
+m AS (SELECT *, event_type || CASE WHEN mcq THEN chr(10) || array_to_string(list_transform(range(1, len(options) + 1), lambda i: substr('ABCD', i, 1) || '. ' || options[i]), chr(10)) ELSE '' END AS asked,
+  '<action>' || CASE WHEN mcq THEN substr('ABCD', CAST(slot + 1 AS INTEGER), 1) ELSE a END || '</action>' AS said FROM o)
+SELECT user_id, CAST(sum(CAST(mcq AS INTEGER)) AS BIGINT) AS n_mcq, CAST(2 + 2 * count(*) AS INTEGER) AS n_messages, sha256('sys|' || string_agg(asked || '|' || said, '|' ORDER BY event_id) || '|<action>answer(' || arg_max(event_type, event_id) || ')</action>') AS digest FROM m GROUP BY user_id""")
+def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as turns, of the first action and its alternatives; some turns have no alternatives."""
+    first = F.split("action", r" \| ")[0]
+    others = F.filter(F.array(*(F.lit(f"k{i}") for i in range(4))), lambda x: x != F.col("a"))
+    steps = events(spark, sf_dir).withColumn("a", first).withColumn("wrong", F.when(F.col("k") % 7 != 0, others).otherwise(F.array().cast("array<string>")))
+    out = sft.mixed_records(steps, "user_id", "event_id", "event_type", "a", "wrong", "sys", "event_type", 0.4)
+    text = F.array_join(F.transform("messages", lambda m: m["content"]), "|")
+    return out.select("user_id", F.size(F.array_remove("kinds", "free")).cast("long").alias("n_mcq"), F.size("messages").alias("n_messages"), F.sha2(text.cast("binary"), 256).alias("digest"))
+
+
+@catalog.add("""
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n, CAST(conv_id % 7 AS DOUBLE) / 6 AS reward FROM conversations GROUP BY conv_id HAVING count(*) >= 3 AND conv_id % 7 >= 3""")
+def reward_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations by reward and length, in two rounds that overlap, appended to one output."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    scored = rows.withColumn("reward", F.pmod(F.col("conv_id"), F.lit(7)).cast("double") / 6)
+    path = shared_dir(spark, "kept")
+    for part in ("conv_id % 3 < 2", "conv_id % 3 > 0"):
+        sft.append_new(sft.reward_filtered(scored.where(part), "messages", "reward"), path, ["conv_id"])
+    return spark.read.schema(scored.schema).parquet(path).select("conv_id", F.size("messages").alias("n"), "reward")
