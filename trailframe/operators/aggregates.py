@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from trailframe.operators.batch import running_total
 from trailframe.operators.quantiles import LIMIT, quantiles
+from trailframe.operators.sampling import group_rows, order_key
 
 EPS = 1e-9
 
@@ -145,16 +146,19 @@ def throughput(df: DataFrame, seconds: str, tokens: str, devices: int) -> DataFr
 
 
 def bootstrap(df: DataFrame, key: str, value: str, draws: int, size: int, seed: int = 42) -> DataFrame:
-    """Mean and deviation over resamples of `size` of the mean and the maximum, per key.
+    """Resamples with replacement of `size` values per key: mean and deviation of their means and of their maxima.
 
-    Draw j of resample i takes the element at a hashed place of the key's array of values.
+    Draw j of resample i takes the key's value of a hashed rank; values are numbered by rank and met by a join, so a key's
+    values are never in one place.
     """
-    arrays = df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("a"))
-    cells = arrays.select(key, "a", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
-    place = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("i"), j), F.size("a").cast("long")).cast("int")
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda j: F.get(F.col("a"), place(j)))
-    means = cells.select(key, drawn.alias("d")).select(key, (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / size).alias("mean"), F.array_max("d").alias("top"))
-    return means.groupBy(key).agg(F.avg("mean").alias("mean_mean"), F.stddev_pop("mean").alias("mean_std"), F.avg("top").alias("max_mean"), F.stddev_pop("top").alias("max_std"))
+    rows = group_rows(df.select(key, value).where(F.col(value).isNotNull()), key, [value]).select(F.struct(key).alias("_g"), F.col("_r").alias("_place"), value)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    upto = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
+    cells = sizes.withColumn("i", upto(draws)).withColumn("j", upto(size))
+    place = F.pmod(F.conv(F.substring(order_key("bootstrap", key, "i", "j", seed=seed), 1, 12), 16, 10).cast("long"), "_n")
+    drawn = cells.select(F.struct(key).alias("_g"), "i", place.alias("_place")).join(rows, ["_g", "_place"])
+    means = drawn.groupBy("_g", "i").agg((F.sum(value) / size).alias("mean"), F.max(value).alias("top"))
+    return means.groupBy("_g").agg(F.avg("mean").alias("mean_mean"), F.stddev_pop("mean").alias("mean_std"), F.avg("top").alias("max_mean"), F.stddev_pop("top").alias("max_std")).select(F.col("_g")[key].alias(key), "mean_mean", "mean_std", "max_mean", "max_std")
 
 
 def best_of_n(df: DataFrame, key: str, value: str, n: int) -> DataFrame:

@@ -182,8 +182,8 @@ def group_by_field(nodes: DataFrame, field: Column) -> DataFrame:
     return nodes.groupBy(F.coalesce(F.nullif(field.cast("string"), F.lit("")), F.lit("(empty)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def random_walks(edges: DataFrame, walks: int, least: int, most: int, seed: int = 42) -> DataFrame:
-    """Distinct walks without revisits, their steps chosen by hash: (walk, nodes, actions).
+def random_walks(edges: DataFrame, walks: int | None, least: int, most: int, seed: int = 42) -> DataFrame:
+    """Distinct walks without revisits, their steps chosen by hash: (walk, nodes, actions); as many as nodes that have an edge, if not given.
 
     A dead end discards a walk; one with all neighbours visited stops and counts
     if long enough. All walks take their steps together, one join per step.
@@ -192,8 +192,9 @@ def random_walks(edges: DataFrame, walks: int, least: int, most: int, seed: int
     starts = edges.select("src").distinct()
     ring = numbered(starts.withColumn("_h", order_key("start", "src", seed=seed)), ["_h", "src"], "_r").drop("_h")
     total = starts.agg(F.count(F.lit(1)).alias("_t"))
+    walks = starts.count() if walks is None else walks
     new = spark.range(walks).withColumnRenamed("id", "walk").join(total, F.lit(True)).withColumn("_r", F.pmod(F.col("walk"), F.col("_t"))).join(ring, "_r")
-    now = new.select("walk", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("actions"), (least + F.pmod(F.xxhash64(F.lit(seed), "walk"), F.lit(most - least + 1))).alias("goal"), F.lit(False).alias("over"))
+    now = new.select("walk", F.col("src").alias("at"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("actions"), (least + F.pmod(F.conv(F.substring(order_key("goal", "walk", seed=seed), 1, 8), 16, 10).cast("long"), F.lit(most - least + 1))).alias("goal"), F.lit(False).alias("over"))
     for _ in range(most):
         live = now.where(~F.col("over") & (F.size("actions") < F.col("goal")))
         steps = live.join(edges.select("src", "dst", "action"), F.col("at") == F.col("src"))

@@ -177,7 +177,14 @@ def mcq_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.negatives(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 3)
 
 
-@catalog.add()
+@catalog.add("""
+WITH c AS (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS s FROM customer), e AS (SELECT min(s) AS lo, max(s) AS hi, count(*) AS n FROM c),
+w AS (SELECT 'pow' AS weighting, c_custkey, pow(abs(s), 2) + CAST(1e-8 AS DOUBLE) AS w FROM c UNION ALL SELECT 'max_min', c_custkey, CASE WHEN s IN (lo, hi) THEN CAST(1 AS DOUBLE) ELSE 0 END + CAST(1e-8 AS DOUBLE) FROM c, e
+  UNION ALL SELECT 'max_random', c_custkey, CASE WHEN s = hi THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END + CAST(1e-8 AS DOUBLE) FROM c, e),
+u AS (SELECT weighting, c_custkey, greatest(1, CAST(floor(w / sum(w) OVER (PARTITION BY weighting) * 1125899906842624) AS BIGINT)) AS u FROM w),
+p AS (SELECT weighting, c_custkey, sum(u) OVER (PARTITION BY weighting ORDER BY c_custkey) - u AS start, sum(u) OVER (PARTITION BY weighting) AS total FROM u),
+d AS (SELECT weighting, draw, least(total - 1, CAST(floor(CAST('0x' || substr(md5('42|draw|' || draw), 1, 13) AS BIGINT) / 4503599627370496.0 * total) AS HUGEINT)) AS at FROM (SELECT DISTINCT weighting, CAST(total AS DOUBLE) AS total FROM p), (SELECT unnest(range(0, n)) AS draw FROM e))
+SELECT d.weighting, d.draw, p.c_custkey FROM d ASOF JOIN p ON p.weighting = d.weighting AND d.at >= p.start""")
 def resample_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By each weighting as many draws with replacement as there are customers."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")

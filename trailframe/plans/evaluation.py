@@ -155,9 +155,13 @@ def best_of_n_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.best_of_n(table(spark, sf_dir, "events"), "event_type", "value", 4))
 
 
-@catalog.add()
+@catalog.add("""
+WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+d AS (SELECT user_id, i, CAST('0x' || substr(md5('42|bootstrap|' || user_id || '|' || i || '|' || j), 1, 12) AS BIGINT) % n AS place FROM (SELECT DISTINCT user_id, n FROM r), (SELECT unnest(range(1, 101)) AS i), (SELECT unnest(range(1, 5)) AS j)),
+m AS (SELECT d.user_id, i, sum(value) / 4 AS mean, max(value) AS top FROM d JOIN r ON r.user_id = d.user_id AND r.place = d.place GROUP BY ALL)
+SELECT user_id, round(avg(mean), 6) + 0.0 AS mean_mean, round(stddev_pop(mean), 6) + 0.0 AS mean_std, round(avg(top), 6) + 0.0 AS max_mean, round(stddev_pop(top), 6) + 0.0 AS max_std FROM m GROUP BY user_id""")
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.bootstrap(table(spark, sf_dir, "events"), "user_id", "value", 100, 4)
+    return rounded(A.bootstrap(table(spark, sf_dir, "events"), "user_id", "value", 100, 4))
 
 
 @catalog.add("""

@@ -181,9 +181,26 @@ def field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.group_by_field(transition_nodes(spark, sf_dir), F.when(kind == "error", "").otherwise(kind))
 
 
-@catalog.add()
+def _walks(most: int = 4) -> str:
+    """Walks of 2 to 4 steps in SQL, a table for each step."""
+    steps = [f"""w0 AS (SELECT walk, src AS here, [src] AS nodes, CAST([] AS VARCHAR[]) AS actions, 2 + CAST('0x' || substr(md5('42|goal|' || walk), 1, 8) AS BIGINT) % 3 AS goal, false AS ended
+  FROM (SELECT src, row_number() OVER (ORDER BY md5('42|start|' || src), src) - 1 AS walk FROM (SELECT DISTINCT src FROM e)))"""]
+    for i in range(most):
+        now = f"(SELECT * FROM w{i} WHERE NOT ended AND len(actions) < goal)"
+        steps.append(f"""c{i} AS (SELECT walk, min((md5('42|' || walk || '|' || len(actions) || '|' || dst || '|' || e.action), dst, e.action)) AS s FROM {now} l JOIN e ON e.src = l.here WHERE NOT list_contains(nodes, dst) GROUP BY walk)""")
+        steps.append(f"""w{i + 1} AS (SELECT * FROM w{i} WHERE ended OR len(actions) >= goal
+  UNION ALL SELECT l.walk, s[2], list_append(nodes, s[2]), list_append(actions, s[3]), goal, ended FROM {now} l JOIN c{i} USING (walk)
+  UNION ALL SELECT walk, here, nodes, actions, goal, true FROM {now} l WHERE here IN (SELECT src FROM e) AND walk NOT IN (SELECT walk FROM c{i}))""")
+    return ", ".join([EDGES, *steps, f"walks AS (SELECT CAST(min(walk) AS BIGINT) AS walk, nodes, actions FROM w{most} WHERE len(actions) >= 2 GROUP BY nodes, actions)"])
+
+
+WALKS = _walks()
+
+
+@catalog.add(f"WITH {WALKS} SELECT walk, array_to_string(nodes, ',') AS nodes, array_to_string(actions, ',') AS actions FROM walks")
 def random_walk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.random_walks(transition_edges(spark, sf_dir), 500, 2, 4).select("walk", F.array_join("nodes", ",").alias("nodes"), F.array_join("actions", ",").alias("actions"))
+    """A walk of 2 to 4 steps from each node with an edge."""
+    return G.random_walks(transition_edges(spark, sf_dir), None, 2, 4).select("walk", F.array_join("nodes", ",").alias("nodes"), F.array_join("actions", ",").alias("actions"))
 
 
 @catalog.add("""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailframe.operators import graph as G
 from trailframe.operators import sft
 from trailframe.plans.catalog import EVENTS, Catalog, events, r6, table
-from trailframe.plans.graphs import transition_edges
+from trailframe.plans.graphs import WALKS, transition_edges
 from trailframe.storage import shared_dir
 
 catalog = Catalog()
@@ -82,9 +82,9 @@ def merged_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sft.merged_reasoning(rows, better, "conv_id", "turn", "role").withColumn("texts", F.array_join("texts", ","))
 
 
-@catalog.add()
+@catalog.add(f"WITH {WALKS} SELECT walk, 'From ' || nodes[1] || ' reach ' || nodes[-1] || '.' AS prompt, array_to_string(actions, ' | ') AS answer FROM walks")
 def action_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sft.action_records(G.random_walks(transition_edges(spark, sf_dir), 300, 2, 4))
+    return sft.action_records(G.random_walks(transition_edges(spark, sf_dir), None, 2, 4))
 
 
 @catalog.add("""
