@@ -13,7 +13,8 @@ scores. For a block of queries:
    the product of norms, and a row that can't reach t for any query of a tile is
    not looked at again;
 3. rows with an entry whose upper bound reaches t are resolved: the partial
-   scores still missing are computed for just these pairs.
+   scores still missing are computed for just these pairs. Where the first list
+   spares less than it costs (DENSE), a tile's rest is computed as a whole.
 
 Queries are taken in id order in blocks of QUERY_BLOCK, the only thing that is
 broadcast or held on the driver; every block scans the written vectors once per
@@ -48,6 +49,8 @@ QUERY_BLOCK = 2048
 #: Queries in a tile, for which a row is dropped or kept together.
 TILE = 64
 ROWS = 1024
+#: Share of a tile's pairs that may still reach the bound after the first list, beyond which all of it is computed.
+DENSE = 0.3
 #: Phase 1 looks at every PROBE-th chunk of ROWS rows, from a task's first on.
 PROBE = 8
 _EXACT = float(1 << 53)
@@ -163,6 +166,10 @@ def resolve_tile(queries: np.ndarray, rows: np.ndarray, other: np.ndarray, t: np
         total[:, live] += part
         bound[:, live] += np.where(over, part, np.minimum(share + slack, cap[:, live])) - cap[:, live]
         alive &= bound >= t - slack
+        if a == 0 and len(live) == rows.shape[0] and alive.mean() > DENSE:  # the bounds spare too little here
+            total += queries[:, b:] @ rows[:, b:].T
+            q, r = np.nonzero((total >= t) & other)
+            return q, r, total[q, r], lists * other.size
         left = np.ones(rows.shape[0], bool)
         left[live] = False
         missing.append(left)
