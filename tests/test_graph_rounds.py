@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailframe.operators import connectivity, refinement, tolerance
+from trailframe.operators import graph as G
 
 EDGE = "src string, dst string, action string, ord long"
 
@@ -60,6 +61,35 @@ def test_names_are_numbered_not_hashed(spark, monkeypatch):
     assert dict(connectivity.weak_components(nodes, edges).collect()) == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}
 
 
+def test_shortest_paths(spark):
+    rng = random.Random(5)
+    edges = graph(rng, 25, 50) + [(f"c{i}", f"c{i + 1}", "go", 100 + i) for i in range(11)]
+    near = defaultdict(list)
+    for s, d, a, _ in edges:
+        near[s].append((d, a))
+    df = spark.createDataFrame(edges, EDGE)
+    for src, dst in (("n0", "n7"), ("c0", "c11"), ("n3", "n3"), ("c3", "c1"), ("n0", "none")):
+        seen, queue = {src: (0, None, None)}, [src]
+        for x in queue:
+            for d, a in near[x]:
+                hops = seen[x][0] + 1
+                if d not in seen:
+                    queue.append(d)
+                if d not in seen or (seen[d][0] == hops and (x, a) < seen[d][1:]):
+                    seen[d] = (hops, x, a)
+        got = G.shortest_path(df, src, dst)
+        if dst == "none":
+            assert got == {"length": None, "error": "unknown node"}
+        elif dst not in seen:
+            assert got == {"length": -1, "error": "no path"}
+        else:
+            path, actions = [dst], []
+            while path[0] != src:
+                actions.insert(0, seen[path[0]][2])
+                path.insert(0, seen[path[0]][1])
+            assert got == {"length": len(actions), "path": path, "actions": actions}
+
+
 def test_diameters():
     rng = random.Random(1)
     for _ in range(30):

@@ -137,22 +137,48 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
             seen = cut(spark, seen, "reach")
 
 
+def _parents(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, bool]:
+    """Breadth-first from src until dst is found or nothing new: (node, hops, parent, action), the least edge that leads to a node; and whether dst was found."""
+    spark = edges.sparkSession
+    start = spark.createDataFrame([(src, 0, None, None)], "node string, hops int, parent string, action string")
+    seen = front = cut(spark, start, "tree")
+    for hops in count(1):
+        best = edges.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "action")).alias("e"))
+        new = best.join(seen, "node", "left_anti").select("node", F.lit(hops).alias("hops"), F.col("e.src").alias("parent"), F.col("e.action").alias("action"))
+        front = cut(spark, new, "tree")
+        if front.isEmpty():
+            return seen, False
+        seen = seen.union(front) if hops % 20 else cut(spark, seen.union(front), "tree")
+        if not front.where(F.col("node") == dst).isEmpty():
+            return seen, True
+
+
 def shortest_path(edges: DataFrame, src: str, dst: str) -> dict:
-    """Nodes and actions of a shortest directed path; -1 with a reason without one; None for an unknown node."""
+    """Nodes and actions of a shortest directed path; -1 with a reason without one; None for an unknown node.
+
+    The search keeps the edge that led to each node; the path's nodes are then found by pointers that reach twice as far in
+    each round, so a path of n steps takes n rounds of the search and log n more. Only the path reaches the driver.
+    """
     known = edges.where(F.col("src").isin(src, dst) | F.col("dst").isin(src, dst)).select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").isin(src, dst)).distinct().count()
     if known < len({src, dst}):
         return {"length": None, "error": "unknown node"}
-    reach = distances(edges, edges.sparkSession.createDataFrame([(src,)], "node string"))
-    far = reach.where(F.col("node") == dst).first()
-    if far is None:
+    if src == dst:
+        return {"length": 0, "path": [src], "actions": []}
+    tree, found = _parents(edges, src, dst)
+    if not found:
         return {"length": -1, "error": "no path"}
-    path, actions, node = [dst], [], dst
-    for hops in range(far["hops"], 0, -1):  # one short lookup per step of one path
-        before = edges.where(F.col("dst") == node).join(reach.where(F.col("hops") == hops - 1).select(F.col("node").alias("src")), "src", "left_semi").agg(F.min(F.struct("src", "action")).alias("e")).first()["e"]
-        node = before["src"]
-        path.insert(0, node)
-        actions.insert(0, before["action"])
-    return {"length": far["hops"], "path": path, "actions": actions}
+    spark = edges.sparkSession
+    on = cut(spark, tree.where(F.col("node") == dst).select("node"), "path")
+    jump = cut(spark, tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("to")), "jumps")
+    while True:  # what is on the path, and what lies a jump before it
+        more = on.join(jump, "node").select(F.col("to").alias("node")).join(on, "node", "left_anti")
+        grown = cut(spark, on.union(more), "path")
+        if grown.count() == on.count():
+            break
+        on = grown
+        jump = cut(spark, jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), "jumps")
+    steps = tree.join(on, "node").orderBy("hops").collect()  # the path itself
+    return {"length": steps[-1]["hops"], "path": [r["node"] for r in steps], "actions": [r["action"] for r in steps[1:]]}
 
 
 def top_nodes(nodes: DataFrame, edges: DataFrame, n: int = 5000) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trailframe.functions import arrays
 from trailframe.operators.advantages import whiten
 from trailframe.operators.batch import numbered, running_total
-from trailframe.operators.sampling import SEED, order_key, uniform
+from trailframe.operators.sampling import SEED, group_rows, order_key, uniform
 
 
 def _field(array: str, name: str) -> Column:
@@ -105,37 +105,35 @@ def with_fallbacks(df: DataFrame, field: str, infos: str, meta: DataFrame, key:
     return df.join(side, key, "left").withColumn(field, found).drop("_meta")
 
 
-def spec_seeds(spark: SparkSession, specs: list[dict], seed: int = SEED) -> DataFrame:
-    """`n` seeds of each spec (name, n, seeds or rule): (name, place, value).
+def seed_rows(specs: DataFrame, seed: int = SEED) -> DataFrame:
+    """`n` seeds of each spec, a row (name, n, rule array, seeds array): (name, place, value).
 
-    seeds: the first n of a list. rule: () or (any,): any 31-bit number; (low, high): a number of that range;
-    (low, high, most): the same, each number `most` times at most.
+    seeds: the first n of a list. rule: none or empty: any 31-bit number; low, high: a number of that range; low, high, most:
+    the same, each number `most` times at most. A spec that can't give n seeds is an error.
     """
-    parts = []
+    size = F.size(F.coalesce("rule", F.array().cast("array<bigint>")))
+    low, high = (F.when(size >= 2, F.get("rule", F.lit(i))).otherwise(F.lit(x).cast("long")) for i, x in ((0, 0), (1, (1 << 31) - 1)))
+    plain = specs.select("name", "n", "seeds", size.alias("_size"), low.alias("low"), high.alias("high"), F.get("rule", F.lit(2)).alias("most"))
+    wrong = F.when(F.col("seeds").isNotNull(), F.size("seeds") < F.col("n")).when(F.col("_size") > 3, True).when(F.col("_size") < 3, F.col("high") < F.col("low"))
+    wrong = wrong.otherwise((F.col("high") < F.col("low")) | (F.col("most") < 1) | ((F.col("high") - F.col("low") + 1) * F.col("most") < F.col("n")))
+    fine = plain.where(F.when(wrong, F.raise_error(F.concat(F.lit("the spec can't give its seeds: "), F.col("name"))).cast("boolean")).otherwise(F.col("n") > 0))
+    upto = lambda first, last: F.explode(F.sequence(first, last))
+    placed = fine.where(F.col("seeds").isNotNull() | (F.col("_size") < 3)).withColumn("place", upto(F.lit(0).cast("long"), F.col("n") - 1))
+    drawn = (F.col("low") + F.floor(uniform("seed", "name", "place", seed=seed) * (F.col("high") - F.col("low") + 1))).cast("long")
+    open_ = placed.select("name", "place", F.when(F.col("seeds").isNotNull(), F.get("seeds", F.col("place").cast("int"))).otherwise(drawn).alias("value"))
+    capped = fine.where(F.col("seeds").isNull() & (F.col("_size") == 3)).withColumn("value", upto(F.col("low"), F.col("high"))).withColumn("copy", upto(F.lit(1).cast("long"), F.col("most")))
+    ranked = group_rows(capped.select("name", "n", "value", "copy", order_key("seed", "name", "value", "copy", seed=seed).alias("_h")), "name", ["_h", "value", "copy"], "place", "_n")
+    return open_.union(ranked.where(F.col("place") < F.col("n")).select("name", "place", "value"))
+
+
+def spec_seeds(spark: SparkSession, specs: list[dict], seed: int = SEED) -> DataFrame:
+    """`seed_rows` of listed specs (name, n, seeds or rule), checked at once."""
     for s in specs:
-        name, n, rule = s["name"], s["n"], tuple(s.get("rule", ()))
-        rows = spark.range(n).select(F.lit(name).alias("name"), F.col("id").alias("place"))
-        if s.get("seeds") is not None:
-            if len(s["seeds"]) < n:
-                raise ValueError(f"{name} lists fewer than {n} seeds")
-            parts.append(spark.createDataFrame([(name, i, v) for i, v in enumerate(s["seeds"][:n])], "name string, place long, value long"))
-        elif len(rule) < 3:
-            low, high = rule if len(rule) == 2 else (0, (1 << 31) - 1)
-            if high < low:
-                raise ValueError(f"the range of {name} is empty")
-            parts.append(rows.withColumn("value", (low + F.floor(uniform("seed", "name", "place", seed=seed) * (high - low + 1))).cast("long")))
-        elif len(rule) == 3:
-            low, high, most = rule
-            if high < low or most < 1 or (high - low + 1) * most < n:
-                raise ValueError(f"the range of {name} can't give {n} seeds")
-            pool = spark.range(low, high + 1).select(F.lit(name).alias("name"), F.col("id").alias("value"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("copy"))
-            parts.append(numbered(pool.withColumn("_h", order_key("seed", "name", "value", "copy", seed=seed)), ["_h", "value", "copy"], "place").where(F.col("place") < n).select("name", "place", "value"))
-        else:
-            raise ValueError(f"the rule of {name} has more than three numbers")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        n, rule, seeds = s["n"], tuple(s.get("rule", ())), s.get("seeds")
+        if len(rule) > 3 or (seeds is not None and len(seeds) < n) or (seeds is None and len(rule) > 1 and (rule[1] < rule[0] or len(rule) == 3 and (rule[2] < 1 or (rule[1] - rule[0] + 1) * rule[2] < n))):
+            raise ValueError(f"the spec can't give its seeds: {s['name']}")
+    rows = [(s["name"], s["n"], [x for x in s.get("rule", ()) if isinstance(x, int)], s.get("seeds")) for s in specs]
+    return seed_rows(spark.createDataFrame(rows, "name string, n long, rule array<bigint>, seeds array<bigint>"), seed)
 
 
 #: Moves and their opposites.

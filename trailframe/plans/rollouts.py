@@ -100,12 +100,18 @@ _U = "CAST('0x' || substr(md5('42|{}|' || {}), 1, 8) AS BIGINT) / 4294967296.0"
 
 
 @catalog.add(f"""
-WITH n AS (SELECT unnest(range(0, 500)) AS place), c AS (SELECT v AS value, row_number() OVER (ORDER BY md5('42|seed|capped|' || v || '|' || copy), v, copy) - 1 AS place FROM (SELECT unnest(range(10, 61)) AS v) a, (SELECT unnest(range(1, 4)) AS copy) b)
-SELECT 'any' AS name, place, CAST(floor({_U.format('seed', "'any|' || place")} * 2147483648) AS BIGINT) AS value FROM n UNION ALL SELECT 'range', place, CAST(5 + floor({_U.format('seed', "'range|' || place")} * 16) AS BIGINT) FROM n
-UNION ALL SELECT 'capped', place, value FROM c WHERE place < 100 UNION ALL SELECT * FROM (VALUES ('listed', 0, 7), ('listed', 1, 3))""")
+WITH p AS (SELECT 's' || s_suppkey AS name, s_suppkey % 5 + 1 AS n, s_suppkey % 4 AS kind, s_suppkey AS k FROM supplier), r AS (SELECT *, unnest(range(0, n)) AS place FROM p),
+c AS (SELECT name, n, v AS value, row_number() OVER (PARTITION BY name ORDER BY md5('42|seed|' || name || '|' || v || '|' || copy), v, copy) - 1 AS place FROM p, (SELECT unnest(range(10, 13)) AS v) a, (SELECT unnest(range(1, 3)) AS copy) b WHERE kind = 2)
+SELECT name, place, CASE kind WHEN 0 THEN CAST(floor({_U.format('seed', "name || '|' || place")} * 2147483648) AS BIGINT) WHEN 1 THEN CAST(5 + floor({_U.format('seed', "name || '|' || place")} * 16) AS BIGINT) ELSE [k, 2 * k, 3 * k, 7, 9][place + 1] END AS value FROM r WHERE kind <> 2
+UNION ALL SELECT name, place, value FROM c WHERE place < n""")
 def spec_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = [{"name": "any", "n": 500}, {"name": "range", "n": 500, "rule": (5, 20)}, {"name": "capped", "n": 100, "rule": (10, 60, 3)}, {"name": "listed", "n": 2, "seeds": [7, 3, 9]}]
-    return R.spec_seeds(spark, specs).select("name", "place", "value")
+    """A spec for each supplier: any number, a range, a range with each number twice at most, or a list."""
+    k = F.col("s_suppkey").cast("long")
+    kind = k % 4
+    rule = F.when(kind == 0, F.array().cast("array<bigint>")).when(kind == 1, F.array(F.lit(5), F.lit(20)).cast("array<bigint>")).otherwise(F.array(F.lit(10), F.lit(12), F.lit(2)).cast("array<bigint>"))
+    listed = F.array(k, 2 * k, 3 * k, F.lit(7).cast("long"), F.lit(9).cast("long"))
+    specs = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("name"), (k % 5 + 1).alias("n"), rule.alias("rule"), F.when(kind == 3, listed).alias("seeds"))
+    return R.seed_rows(specs).select("name", "place", "value")
 
 
 @catalog.add(f"""
