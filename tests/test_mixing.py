@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from trailframe.operators import sampling, sft
+from trailframe.operators import aggregates, batch, joins, sampling, sft
 
 
 def order(purpose, key):
@@ -79,3 +79,23 @@ def test_rewarded_records_are_appended_once(spark, tmp_path):
     assert sft.append_new(kept.where("id < 3"), path, ["id"]) == 1
     assert sft.append_new(kept, path, ["id"]) == 1 and sft.append_new(kept, path, ["id"]) == 0
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 5]
+
+
+def test_columns_of_a_batch(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a long, b long, c long")
+    left, popped = batch.columns(df, pop=["b"], rename={"c": "x"})
+    assert (left.columns, popped.columns, tuple(left.first()), tuple(popped.first())) == (["a", "x"], ["b"], (1, 3), (2,))
+    assert batch.columns(df, keep=["c", "a"])[0].columns == ["c", "a"]
+    for bad in ({"keep": ["z"]}, {"pop": ["z"]}, {"rename": {"a": "b"}}):
+        with pytest.raises(ValueError):
+            batch.columns(df, **bad)
+
+
+def test_factors_moments_and_sources(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0), (None, 5.0)], "k string, v double")
+    factors = spark.createDataFrame([("a", 7), ("b", None)], "k string, f long")
+    got = {r["k"]: r["f"] for r in joins.with_factors(rows, factors, "k").collect()}
+    assert got["a"] == 7.0 and got["b"] != got["b"] and got[None] != got[None]
+    moments = {r["k"]: tuple(r)[1:] for r in aggregates.group_moments(rows, "k", "v").collect()}
+    assert moments["a"] == (0.0, 1.0, 1) and moments["b"] == (3.0, pytest.approx(2**0.5), 2)
+    assert {r["source"]: (r["mean"], r["n"]) for r in aggregates.source_scores(rows, "k", "v").collect()} == {"a": (1.0, 1), "b": (3.0, 2), "unknown": (5.0, 1)}

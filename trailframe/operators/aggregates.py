@@ -171,6 +171,17 @@ def best_of_n(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(F.col(value) * up).alias("best"), F.sum(F.col(value) * down).alias("worst"))
 
 
+def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean, sample deviation and count of each group; a single row counts against mean 0 and deviation 1."""
+    n = F.count(value)
+    return df.groupBy(group).agg(F.when(n <= 1, 0.0).otherwise(F.avg(value)).alias("mean"), F.when(n <= 1, 1.0).otherwise(F.stddev_samp(value)).alias("std_samp"), n.alias("n"))
+
+
+def source_scores(df: DataFrame, source: str, score: str) -> DataFrame:
+    """Mean score of each data source; rows without a source are one of their own, `unknown`."""
+    return df.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("source")).agg(F.avg(score).alias("mean"), F.count(score).alias("n"))
+
+
 def validation(df: DataFrame, source: str, uid: str, value: str) -> DataFrame:
     """Mean and deviation per prompt, then their means per source."""
     prompts = df.groupBy(source, uid).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(F.lit(1)).alias("c"))

@@ -54,6 +54,19 @@ def concat(parts: Iterable[DataFrame], metas: Iterable[dict] = ()) -> tuple[Data
     return out, meta
 
 
+def columns(df: DataFrame, keep: list[str] | None = None, pop: Iterable[str] = (), rename: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A batch without the popped columns, of the others those kept, renamed; and the popped columns. Unknown names and names that clash are errors."""
+    pop, rename = list(pop), dict(rename or {})
+    unknown = [c for c in (*pop, *(keep or ()), *rename) if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no columns {sorted(unknown)}")
+    left = [c for c in (df.columns if keep is None else keep) if c not in pop]
+    names = [rename.get(c, c) for c in left]
+    if len(set(names)) < len(names):
+        raise ValueError(f"names clash in {names}")
+    return df.select(*(F.col(c).alias(n) for c, n in zip(left, names))), df.select(*pop)
+
+
 def sliced(df: DataFrame, row: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     keep = (F.col(row) >= start) & (F.pmod(F.col(row) - start, F.lit(step)) == 0)
     return df.where(keep if stop is None else keep & (F.col(row) < stop))

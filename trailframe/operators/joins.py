@@ -27,6 +27,12 @@ def lookup_or(rows: DataFrame, index: DataFrame, keys: list[tuple[str, str]], va
     return out.withColumn(value, F.coalesce(*found)).drop(*(f"_k{n}" for n in range(len(keys))), *(f"_v{n}" for n in range(len(keys))))
 
 
+def with_factors(rows: DataFrame, factors: DataFrame, key: str) -> DataFrame:
+    """Left join of numeric factors, one row per key at most; what a row lacks is NaN, and so is a factor that is null."""
+    names = [c for c in factors.columns if c != key]
+    return rows.join(factors, key, "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names})
+
+
 def common_keys(a: DataFrame, b: DataFrame, key: str, least: int = 10) -> DataFrame:
     """Keys of both sides, or none if there are fewer than `least`."""
     both = a.select(key).distinct().join(b.select(key), key, "left_semi")

@@ -238,3 +238,38 @@ def interleave_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three groups of documents drawn 5 : 3 : 2 until one has no more."""
     group = F.when(F.col("doc_id") % 5 == 0, "a").when(F.col("doc_id") % 5 < 3, "b").otherwise("c")
     return S.interleaved_by(table(spark, sf_dir, "documents").select("doc_id", group.alias("source")), "source", "doc_id", {"a": 0.5, "b": 0.3, "c": 0.2}).select("source", "doc_id", "draw")
+
+
+@catalog.add("""
+WITH f AS (SELECT o_custkey, avg(o_totalprice) AS spend, CAST(count(*) AS DOUBLE) AS orders FROM orders GROUP BY 1)
+SELECT c_custkey, coalesce(round(spend, 6), -1) AS spend, coalesce(orders, -1) AS orders, spend IS NULL AS missing FROM customer LEFT JOIN f ON o_custkey = c_custkey""")
+def coverage_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders' factors; NaN, shown as -1, without any."""
+    factors = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("spend"), F.count(F.lit(1)).alias("orders"))
+    out = J.with_factors(table(spark, sf_dir, "customer").select("c_custkey"), factors, "c_custkey")
+    shown = lambda c: F.when(F.isnan(c), -1.0).otherwise(F.round(c, 6)).alias(c)
+    return out.select("c_custkey", shown("spend"), shown("orders"), F.isnan("spend").alias("missing"))
+
+
+@catalog.add("""
+WITH RECURSIVE d AS (SELECT CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS b, n_chars AS s, row_number() OVER (PARTITION BY CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) ORDER BY doc_id) AS r FROM documents),
+g AS (SELECT b, CAST(0 AS BIGINT) AS r, list_transform(range(0, 4), lambda x: CAST(0 AS BIGINT)) AS l FROM (SELECT DISTINCT b FROM d)
+  UNION ALL SELECT d.b, d.r, list_transform(range(1, 5), lambda i: CASE WHEN i = list_position(l, list_min(l)) THEN l[i] + d.s ELSE l[i] END) FROM g JOIN d ON d.b = g.b AND d.r = g.r + 1),
+e AS (SELECT b, l FROM g QUALIFY row_number() OVER (PARTITION BY b ORDER BY r DESC) = 1)
+SELECT b AS batch, list_min(l) AS least, list_max(l) AS most, list_max(l) - list_min(l) AS gap FROM e""")
+def greedy_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, in id order, each to the least loaded of 4 parts; how unequal these become."""
+    rows = table(spark, sf_dir, "documents").select(F.regexp_extract("source", "([0-9]+)", 1).cast("long").alias("b"), "doc_id", "n_chars")
+    per = B.balanced(rows, "b", "doc_id", "n_chars", 4, "greedy").groupBy("batch", "part").agg(F.sum("size").alias("s"))
+    parts = per.groupBy("batch").agg(F.min("s").alias("lo"), F.max("s").alias("most"), F.count(F.lit(1)).alias("n"))
+    least = F.when(F.col("n") < 4, 0).otherwise(F.col("lo"))
+    return parts.select("batch", least.alias("least"), "most", (F.col("most") - least).alias("gap"))
+
+
+@catalog.add("""
+SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS popped FROM customer""")
+def batch_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some columns renamed and one popped, put side by side again by row."""
+    rows = B.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"), ["c_custkey"])
+    left, popped = B.columns(rows, ["row_no", "c_custkey", "c_mktsegment"], [], {"c_custkey": "id", "c_mktsegment": "segment"})[0], B.columns(rows, None, ["row_no", "c_acctbal"])[1]
+    return left.join(popped, "row_no").select("id", "segment", F.col("c_acctbal").alias("popped"))

@@ -258,3 +258,17 @@ def nested_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, round(avg((value > 20)::INT), 6) + 0.0 AS format_rate FROM events GROUP BY event_type""")
 def format_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(A.success_rate(F.col("value") > 20).alias("format_rate")))
+
+
+@catalog.add("""
+SELECT l_orderkey, round(CASE WHEN count(l_extendedprice) <= 1 THEN 0 ELSE avg(l_extendedprice) END, 6) + 0.0 AS mean, round(CASE WHEN count(l_extendedprice) <= 1 THEN 1 ELSE stddev_samp(l_extendedprice) END, 6) + 0.0 AS std_samp, CAST(count(l_extendedprice) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey""")
+def group_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.group_moments(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice")
+    return out.select("l_orderkey", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("std_samp", 6) + 0.0).alias("std_samp"), "n")
+
+
+@catalog.add("""
+SELECT coalesce(source, 'unknown') AS source, round(avg(n_chars), 6) + 0.0 AS mean, CAST(count(n_chars) AS BIGINT) AS n FROM documents GROUP BY 1""")
+def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.source_scores(table(spark, sf_dir, "documents"), "source", "n_chars")
+    return out.select("source", (F.round("mean", 6) + 0.0).alias("mean"), "n")
