@@ -193,7 +193,22 @@ def number_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("key_"), text.number_key(v)).alias("key"))
 
 
-@catalog.add()
+@catalog.add("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations),
+p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(gold, '\\s+'), lambda x: x <> '') AS b FROM t WHERE gold IS NOT NULL),
+g AS (SELECT conv_id, turn, n, side, gram, count(*) AS c FROM (
+    SELECT conv_id, turn, n, 'a' AS side, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], ' '))) AS gram FROM p, range(1, 5) r(n)
+    UNION ALL SELECT conv_id, turn, n, 'b', unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], ' '))) FROM p, range(1, 5) r(n)) GROUP BY ALL),
+h AS (SELECT x.conv_id, x.turn, x.n, sum(least(x.c, y.c)) AS hit FROM g x JOIN g y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.n = y.n AND x.gram = y.gram AND x.side = 'a' AND y.side = 'b' GROUP BY ALL),
+l AS (SELECT conv_id, turn, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS w FROM p WHERE len(a) > 0 AND len(b) > 0
+  UNION ALL SELECT conv_id, turn, a, b, i + 1, [0] || list_transform(range(1, len(b) + 1), lambda j: CAST(greatest(w[j + 1], coalesce(w[list_max(list_filter(pos, lambda q: q <= j))] + 1, 0)) AS INTEGER))
+    FROM (SELECT *, list_filter(range(1, len(b) + 1), lambda j: b[j] = a[i + 1]) AS pos FROM l WHERE i < len(a))),
+c AS (SELECT conv_id, turn, w[len(w)] AS common FROM l WHERE i = len(a)),
+m AS (SELECT p.conv_id, p.turn, len(a) AS la, len(b) AS lb, coalesce(common, 0) AS common, list_transform(range(1, 5), lambda n: coalesce(list_sum(list_transform(list_filter(hits, lambda x: x.n = n), lambda x: x.hit)), 0)) AS h
+  FROM p LEFT JOIN c ON c.conv_id = p.conv_id AND c.turn = p.turn LEFT JOIN (SELECT conv_id, turn, list({'n': n, 'hit': hit}) AS hits FROM h GROUP BY ALL) k ON k.conv_id = p.conv_id AND k.turn = p.turn),
+s AS (SELECT *, la > 0 AND lb > 0 AS ok FROM m)
+SELECT conv_id, turn, CASE WHEN ok AND h[1] > 0 THEN round_even(100 * exp(least(0.0, 1 - lb / la) + list_sum(list_transform(range(1, 5), lambda n: ln((h[n] + CASE WHEN n > 1 THEN 1 ELSE 0 END) / (greatest(la - n + 1, 0) + CASE WHEN n > 1 THEN 1 ELSE 0 END)))) / 4), 4) ELSE 0 END AS bleu4,
+  CASE WHEN ok THEN round_even(200 * h[1] / (la + lb), 4) ELSE 0 END AS rouge1, CASE WHEN la > 1 AND lb > 1 THEN round_even(200 * h[2] / (la + lb - 2), 4) ELSE 0 END AS rouge2, CASE WHEN ok THEN round_even(200 * common / (la + lb), 4) ELSE 0 END AS rougel FROM s""")
 def text_overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU and ROUGE of each answer against the turn before it."""
     from pyspark.sql import Window
