@@ -227,3 +227,38 @@ def camera_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     move = F.element_at(F.array(*map(F.lit, parse.ACTIONS)), (F.pmod(F.col("k"), F.lit(8)) + 1).cast("int"))
     seq = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", move.alias("m")))), lambda x: x["m"])
     return events(spark, sf_dir).groupBy("user_id").agg(seq.alias("moves")).select("user_id", geometry.camera_moves(F.col("moves")).alias("p")).select("user_id", r6("p.x").alias("x"), r6("p.y").alias("y"), "p.heading")
+
+
+@catalog.add(r"""
+WITH e AS (SELECT doc_id, right(text, 300) AS t FROM documents),
+f AS (SELECT doc_id, regexp_extract_all(t, '#### (-?[0-9.,]+)', 1)[-1] AS strict, regexp_extract_all(t, '(-?[0-9][0-9.,]*)', 1)[-1] AS flexible FROM e)
+SELECT doc_id, regexp_replace(replace(strict, ',', ''), '\.$', '') AS strict, regexp_replace(replace(flexible, ',', ''), '\.$', '') AS flexible FROM f""")
+def logged_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final numbers of whole documents as they are; null where a text's end has none."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.final_number(F.col("text")).alias("strict"), text.final_number(F.col("text"), strict=False).alias("flexible"))
+
+
+_MOVES = "[" + ", ".join(f"'{a}'" for a in parse.ACTIONS) + "]"
+
+
+@catalog.add(rf"""
+WITH w AS (SELECT conv_id, turn, role, text, CASE (conv_id + turn) % 6
+  WHEN 0 THEN '<action> Turn_Left |' || replace(text, ' ', '|') || '| look_up</action>' WHEN 1 THEN text || '<action>' || text || '</action><action>move_up</action>'
+  WHEN 2 THEN '<action>' || chr(10) || 'Answer (' || text || ')</action>' WHEN 3 THEN text WHEN 4 THEN '<action>||  |</action>' || text ELSE '<action>' || text END AS s FROM conversations),
+a AS (SELECT *, regexp_replace(regexp_extract(s, '(?s)<action>(.*?)</action>', 1), '^\s+|\s+$', '', 'g') AS body, regexp_matches(s, '(?s)<action>(.*?)</action>') AS tagged FROM w),
+b AS (SELECT *, CASE WHEN tagged AND NOT regexp_matches(body, '(?i)^answer\s*\(') THEN body END AS action FROM a),
+c AS (SELECT *, list_transform(string_split(action, '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS parts FROM b)
+SELECT conv_id, turn, role, action, nullif(array_to_string(list_filter(list_transform(parts, lambda x: lower(x)), lambda x: list_contains({_MOVES}, x)), ' | '), '') AS cleaned, CAST(len(list_filter(parts, lambda x: x <> '')) AS INTEGER) AS n_actions FROM c""")
+def logged_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of whole conversation texts in well and badly formed tags; null for none."""
+    t, k = F.col("text"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    s = (
+        F.when(k == 0, F.concat(F.lit("<action> Turn_Left |"), F.replace(t, F.lit(" "), F.lit("|")), F.lit("| look_up</action>")))
+        .when(k == 1, F.concat(t, F.lit("<action>"), t, F.lit("</action><action>move_up</action>")))
+        .when(k == 2, F.concat(F.lit("<action>\nAnswer ("), t, F.lit(")</action>")))
+        .when(k == 3, t)
+        .when(k == 4, F.concat(F.lit("<action>||  |</action>"), t))
+        .otherwise(F.concat(F.lit("<action>"), t))
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", parse.action(s).alias("action"))
+    return rows.select("conv_id", "turn", "role", "action", parse.clean_action(F.col("action")).alias("cleaned"), F.when(F.col("action").isNotNull(), parse.action_count(F.col("action"))).alias("n_actions"))
