@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailframe.llm._text import binary_slices, lanes, pack, read
-from trailframe.storage import cut
+from trailframe.storage import cut, discard
 
 WINDOW = 400
 #: Bytes of text that are hashed at once; a run ends where such a piece ends.
@@ -379,7 +379,7 @@ def _sharded(df: DataFrame, window: int) -> DataFrame:
 
 
 def _repeats(texts: DataFrame, window: int, group: int, level: int = 0) -> tuple[DataFrame, list[DataFrame]]:
-    """texts: (id, a, b, t binary), (a, b) naming t. Rows (a, b, t, id, copies, spans) of the texts that have passages, and tables to discard.
+    """texts: (id, a, b, t binary), (a, b) naming t. Rows (a, b, t, id, copies, spans) of the texts that have passages, and the tables they are read from.
 
     spans: sorted parts that repeated passages cover; they can touch or overlap.
     """
@@ -417,9 +417,13 @@ def _repeats(texts: DataFrame, window: int, group: int, level: int = 0) -> tuple
     shifted = pieces.drop("t").join(parts, ["key", "f", "g"]).select("a", "b", F.transform("spans", lambda x: F.struct((x["start"] + F.col("s")).alias("start"), (x["end"] + F.col("s")).alias("end"))).alias("spans"))
     by_text = shifted.groupBy("a", "b").agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
     by_text = keep(by_text, "marks")
+    kept = [dealt, by_text]
+    for df in made:
+        if all(df is not x for x in kept):
+            discard(df)
     out = dealt.join(by_text, ["a", "b"], "left")
     spans = F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", F.array().cast(_SPANS)))
-    return out.select("a", "b", "t", "id", "copies", spans.alias("spans")), made
+    return out.select("a", "b", "t", "id", "copies", spans.alias("spans")), kept
 
 
 def _removed(df: DataFrame) -> DataFrame:
@@ -461,7 +465,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     long = rows.where(F.length("t") >= window)
     part = lambda at: F.conv(F.substring(F.sha2("t", 256), at, 15), 16, 10).cast("long")
     named = long.select("id", part(1).alias("a"), part(16).alias("b"), "t")
-    out, made = _repeats(named, window, group)
+    out, _ = _repeats(named, window, group)
     done = cut(spark, _removed(out.where(F.size("spans") > 0).select("id", "t", "spans")), "removed")
     clean = out.where(F.size("spans") == 0).select("id", "t").union(rows.where(F.length("t") < window))
     return done.union(clean.select("id", F.length("t").cast("long"), F.array().cast(_SPANS), "t"))
