@@ -192,7 +192,11 @@ def links_brute(spans, scope):
     gap = lambda a, b: max(b[1] - a[2], a[1] - b[2])
     base = [s for s in spans if s[0] < 3]
     weak = [s for s in spans if s[0] > 2 and not any(over(s, b) for b in base)]
-    weak = [s for s in weak if not any(over(s, w) and (w[1], w[0]) < (s[1], s[0]) for w in weak)]
+    kept = []
+    for s in sorted(weak, key=lambda s: (s[1], s[0])):
+        if not any(over(s, w) for w in kept):
+            kept.append(s)
+    weak = kept
     identifiers = [s for s in base + weak if s[0] in (1, 3)]
     hidden = [s for s in base + weak if s[0] == 4 or s[0] in (0, 2) and not any(over(s, b) for b in base if b[0] == 1)]
     near = lambda s, parts: any(0 <= gap(s, p) <= scope for p in parts if p != s)
@@ -200,6 +204,13 @@ def links_brute(spans, scope):
     return sorted(base + [s for s in weak if all(near(s, parts) for parts in need[s[0]])])
 
 
+def test_a_span_that_only_overlaps_a_dropped_one_stays(spark):
+    spans = [(3, 0, 10), (4, 5, 20), (5, 15, 30), (1, 40, 60), (0, 70, 80)]  # ident, secret, endpoint in a chain
+    parts = spark.createDataFrame([(1, 1, *s) for s in spans], "k long, h long, kind int, start long, end long")
+    got = sorted((r["kind"], r["start"], r["end"]) for r in secrets.link_parts(parts, 100).collect())
+    assert got == links_brute(spans, 100) == [(0, 70, 80), (1, 40, 60), (3, 0, 10), (5, 15, 30)]
+
+
 def test_links_equal_the_definition(spark):
     rng = random.Random(9)
     docs = {}

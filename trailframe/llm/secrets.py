@@ -12,8 +12,8 @@ scan. Running sums over the pieces give code-point spans. Kinds, as listed:
     endpoint  URL with a host (weak)
 
 The first three are reported always. A weak span that overlaps one of them is
-dropped, and so is one that overlaps a weak span before it (by start, then in
-the order above): one value is one part. Identifiers are `access` and `ident`;
+dropped; of the others, taken by start and then in the order above, one is kept
+if it overlaps no weak span kept before it: one value is one part. Identifiers are `access` and `ident`;
 secrets are `secret`, and those of `assign` and `hex` that don't overlap an
 `access`. The weak spans left are linked by an interval join within a scope of
 SCOPE code points: an `ident` needs a secret, a `secret` an identifier, an
@@ -93,6 +93,20 @@ def secret_parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.where("ok").select("k", "h", "kind", "start", (F.col("start") + F.col("match")).alias("end"))
 
 
+def _apart(weak: DataFrame) -> DataFrame:
+    """weak: (k, h, kind, start, end). In order, those that overlap none kept before.
+
+    Only spans that hang together by overlaps, a few of the three kinds, are folded in one array.
+    """
+    order = Window.partitionBy("k", "h").orderBy("start", "kind", "end")
+    edge = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    rows = weak.withColumn("edge", edge.cast("int")).withColumn("cluster", F.sum("edge").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = F.sort_array(F.collect_list(F.struct("start", "kind", "end")))
+    none = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("kept"))
+    step = lambda acc, x: F.when(x["start"] >= acc["last"], F.struct(x["end"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    return rows.groupBy("k", "h", "cluster").agg(spans.alias("spans")).select("k", "h", F.explode(F.aggregate("spans", none, step, lambda acc: acc["kept"])).alias("x")).select("k", "h", "x.kind", "x.start", "x.end")
+
+
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Base spans, and the weak ones whose complementary parts stand within the scope."""
     kind = F.col("kind")
@@ -113,7 +127,8 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.coalesce(F.col("start") - before(of) <= scope, F.lit(False)) | F.coalesce(after(of) - F.col("end") <= scope, F.lit(False))
 
     rows = parts.withColumns({"covered": overlaps(base), "one": overlaps(kind == 1)}).where(base | ~F.col("covered"))
-    rows = rows.withColumn("second", F.coalesce(before(~base) > F.col("start"), F.lit(False))).where(base | ~F.col("second"))
+    apart = _apart(rows.where(~base)).withColumns({"one": F.lit(False), "covered": F.lit(False)})
+    rows = rows.where(base).select("k", "h", "kind", "start", "end", "one", "covered").unionByName(apart)
     secret = (kind == 4) | kind.isin(0, 2) & ~F.col("one")
     rows = rows.withColumns({"by_id": near(kind.isin(1, 3)), "by_secret": near(secret)})
     keep = base | F.when(kind == 3, F.col("by_secret")).when(kind == 4, F.col("by_id")).otherwise(F.col("by_id") & F.col("by_secret"))
@@ -152,7 +167,7 @@ def _sql() -> str:
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     text = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || fin, ',' ORDER BY start, kind)"
     return f"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS t FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS t FROM documents),
 s AS ({" UNION ALL ".join(arms)}),
 x AS (SELECT doc_id, kind, marks, unnest(a) AS piece, unnest(range(1, len(a) + 1)) AS i FROM s WHERE len(a) > 1),
 y AS (SELECT doc_id, kind, i, strpos(piece, chr(3)) AS shut, strpos(piece, chr(2)) AS mid, marks,
@@ -161,8 +176,10 @@ p AS (SELECT doc_id, kind, CAST(start AS BIGINT) AS start, CAST(start + shut - m
 o AS (SELECT a.doc_id, a.kind, a.start, a.fin, coalesce(bool_or(b.kind < 3), false) AS covered, coalesce(bool_or(b.kind = 1), false) AS one
   FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND (a.start, a.kind) <> (b.start, b.kind) AND b.start < a.fin AND a.start < b.fin GROUP BY ALL),
 w AS (SELECT * FROM o WHERE kind < 3 OR NOT covered),
-v AS (SELECT a.* FROM w a WHERE a.kind < 3 UNION ALL
-  SELECT a.* FROM w a ANTI JOIN w b ON a.doc_id = b.doc_id AND b.kind > 2 AND (b.start, b.kind) < (a.start, a.kind) AND b.fin > a.start WHERE a.kind > 2),
+wn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, kind, fin) AS r FROM w WHERE kind > 2),
+g AS (SELECT doc_id, r, kind, start, fin, fin AS last, true AS keep FROM wn WHERE r = 1
+  UNION ALL SELECT n.doc_id, n.r, n.kind, n.start, n.fin, CASE WHEN n.start >= g.last THEN n.fin ELSE g.last END, n.start >= g.last FROM g JOIN wn n ON n.doc_id = g.doc_id AND n.r = g.r + 1),
+v AS (SELECT doc_id, kind, start, fin, one FROM w WHERE kind < 3 UNION ALL SELECT doc_id, kind, start, fin, false FROM g WHERE keep),
 near AS (SELECT a.doc_id, a.kind, a.start, a.fin, coalesce(bool_or(b.kind IN (1, 3)), false) AS by_id, coalesce(bool_or(b.kind = 4 OR b.kind IN (0, 2) AND NOT b.one), false) AS by_secret
   FROM v a LEFT JOIN v b ON a.doc_id = b.doc_id AND (a.start - b.fin BETWEEN 0 AND {SCOPE} OR b.start - a.fin BETWEEN 0 AND {SCOPE}) GROUP BY ALL),
 k AS (SELECT * FROM near WHERE CASE kind WHEN 3 THEN by_secret WHEN 4 THEN by_id WHEN 5 THEN by_id AND by_secret ELSE true END)
